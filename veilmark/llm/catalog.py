@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_chat import op1_chat_formatting
+from .op2_pii import op2_pii
 from .op3_decontaminate import op3_benchmark_decontamination
 from .op4_sentencepiece import op4_sentencepiece
+from .op5_url_filter import op5_url_filter
+from .op6_sharding import op6_sharding
 from .op7_language import op7_language_id
 from .op8_quality_rules import op8_quality_rules
 from .op9_simhash import op9_simhash_near_dedup
 from .op10_crf import op10_quality_crf
 
 _ALL = [
+    op1_chat_formatting,
+    op2_pii,
     op3_benchmark_decontamination,
     op4_sentencepiece,
+    op5_url_filter,
+    op6_sharding,
     op7_language_id,
     op8_quality_rules,
     op9_simhash_near_dedup,

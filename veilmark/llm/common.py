@@ -18,11 +18,16 @@ def settle(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local runs and tests) a temporary one is used.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the shared checkpoint folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def crc_mod(column: str, n: int) -> Column:
