@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -107,49 +108,75 @@ def parsed_name(text: Column, lookups: Lookups, patterns: list[str] | None = Non
     return apply(text)
 
 
-def with_style(value: Column, style: Column) -> Column:
+def with_style(value: str, style: str) -> str:
     """All upper or all lower case if the style's letters are; otherwise unchanged."""
-    letters = F.regexp_replace(style, r"\P{L}", "")
-    plain = (value == "") | (letters == "")
-    return F.when(plain, value).when(letters == F.upper(letters), F.upper(value)).when(letters == F.lower(letters), F.lower(value)).otherwise(value)
+    letters = "".join(filter(str.isalpha, style))
+    return value.upper() if letters and letters.isupper() else value.lower() if letters and letters.islower() else value
 
 
-def initial_with_style(source: Column, style: Column, period: Column) -> Column:
-    letter = F.substring(F.coalesce(F.nullif(F.trim(source), F.lit("")), F.lit("X")), 1, 1)
-    head = F.substring(style, 1, 1)
-    small = (head != "") & (head == F.lower(head)) & (head != F.upper(head))
-    return F.concat(F.when(small, F.lower(letter)).otherwise(F.upper(letter)), F.when(period, ".").otherwise(""))
+def styled_initial(source: str, style: str, period: bool) -> str:
+    letter = (source.strip() or "X")[0]
+    return (letter.lower() if style[:1].islower() else letter.upper()) + "." * period
 
 
-def composed(parts: Column, first: Column, last: Column) -> Column:
+#: How each pattern writes first name (f), last name (l), initial (i) and middle initial (m).
+_WRITTEN = {
+    "first_only": "{f}",
+    "last_only": "{l}",
+    "initial_last": "{i} {l}",
+    "last_initial": "{l} {i}",
+    "last_comma_initial": "{l}, {i}",
+    "last_comma_first": "{l}, {f}",
+    "first_middle_initial_last": "{f} {m} {l}",
+    "last_first": "{l} {f}",
+    "first_last": "{f} {l}",
+}
+
+
+def composed(parts: dict, first: str, last: str) -> str:
     """A name in the pattern, casing and title of the parsed one."""
     first, last = with_style(first, parts["first_style"]), with_style(last, parts["last_style"])
-    source = F.coalesce(*[F.nullif(x, F.lit("")) for x in (first, parts["first_name"], parts["first_initial"])], F.lit("X"))
-    initial = initial_with_style(source, parts["initial_style"], parts["initial_has_period"])
-    middle = initial_with_style(F.coalesce(F.nullif(parts["first_initial"], F.lit("")), source), parts["initial_style"], parts["initial_has_period"])
-    forms = {
-        "first_only": first,
-        "last_only": last,
-        "initial_last": F.concat_ws(" ", initial, last),
-        "last_initial": F.concat_ws(" ", last, initial),
-        "last_comma_initial": F.concat(last, F.lit(", "), initial),
-        "last_comma_first": F.concat(last, F.lit(", "), first),
-        "first_middle_initial_last": F.concat_ws(" ", first, middle, last),
-        "last_first": F.concat_ws(" ", last, first),
-    }
-    body = F.coalesce(*[F.when(parts["pattern"] == p, x) for p, x in forms.items()], F.concat_ws(" ", first, last))
-    return F.when(parts["title"] != "", F.concat_ws(" ", parts["title"], body)).otherwise(body)
-
-
-def rendered(parts: Column, form: str, title: str = "dr.") -> Column:
-    """The name in one of FORMS with proper casing; null where a part that the form needs is missing."""
-    first, last = F.nullif(F.trim(parts["first_name"]), F.lit("")), F.nullif(F.trim(parts["last_name"]), F.lit(""))
-    f, la = (F.concat(F.upper(F.substring(x, 1, 1)), F.lit(".")) for x in (first, last))
-    return {
-        "same": composed(parts, parts["first_name"], parts["last_name"]),
-        "full_name": F.concat(first, F.lit(" "), last),
-        "first_only": first,
-        "initials_only": F.concat(f, la),
-        "first_initials": F.concat(first, F.lit(" "), la),
-        "title_dr": F.concat(F.lit(title + " "), F.nullif(F.concat_ws(" ", first, last), F.lit(""))),
-    }[form]
+    source = first or parts["first_name"] or parts["first_initial"]
+    initial, middle = (styled_initial(x, parts["initial_style"], parts["initial_has_period"]) for x in (source, parts["first_initial"] or source))
+    return " ".join(filter(None, (parts["title"], _WRITTEN[parts["pattern"]].format(f=first, l=last, i=initial, m=middle))))
+
+
+def rendered(parts: dict, form: str, title: str = "dr.") -> str | None:
+    """The name in one of FORMS with proper casing; None where a part that the form needs is missing."""
+    first, last = parts["first_name"].strip(), parts["last_name"].strip()
+    if form == "same":
+        return composed(parts, parts["first_name"], parts["last_name"])
+    if form == "title_dr":
+        return f"{title} {' '.join(filter(None, (first, last)))}" if first or last else None
+    needs_last = form != "first_only"
+    if not first or needs_last and not last:
+        return None
+    initials = [x[0].upper() + "." for x in (first, last) if x]
+    return {"full_name": f"{first} {last}", "first_only": first, "initials_only": "".join(initials), "first_initials": f"{first} {initials[-1]}"}.get(form)
+
+
+def recased(value: str, mode: str) -> str:
+    """The casing modes of the column function of this name, for one text."""
+    if mode == "full":
+        return re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), value)
+    if mode == "first_only":
+        low = value.lower()
+        at = next((i for i, c in enumerate(low) if c.isalpha()), len(low))
+        return low[:at] + low[at : at + 1].upper() + low[at + 1 :]
+    return {"lower": value.lower(), "upper": value.upper()}.get(mode, value)
+
+
+def drawn(*parts: object) -> int:
+    """A draw below 2**32 that depends only on the given values, not on order or partitioning."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def other_name(parts: dict, lookups: Lookups, *key: object) -> str:
+    """A listed name in the same form that differs from the parsed one; the last of ten keyed draws if none does."""
+    for attempt in range(10):
+        first, last = (names[drawn(*key, attempt, kind) % len(names)] for names, kind in ((lookups.first_names, "f"), (lookups.surnames, "l")))
+        new_first, new_last = first.lower() != parts["first_name"].lower(), last.lower() != parts["last_name"].lower()
+        pattern = parts["pattern"]
+        if new_first if pattern == "first_only" else new_last if pattern == "last_only" or "initial" in pattern and "middle" not in pattern else new_first or new_last:
+            break
+    return composed(parts, "" if pattern == "last_only" else first, "" if pattern == "first_only" else last)

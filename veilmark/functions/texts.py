@@ -96,9 +96,7 @@ def date_parsed(text: Column) -> Column:
     parts = F.split(F.regexp_replace(F.lower(F.trim(text)), "^(?:" + "|".join(WEEKDAYS) + ") ", ""), r"[-/. ]+")
     day, month, year = (F.get(parts, F.lit(i)) for i in range(3))
     names = {n: i + 1 for group in (MONTHS, SHORT_MONTHS) for i, n in enumerate(group)}
-    number = month.try_cast("int")
-    for name, i in names.items():
-        number = F.when(month == name, i).otherwise(number)
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, i)]), month), month.try_cast("int"))
     y = year.try_cast("int")
     whole = F.when(F.length(year) == 2, F.when(y > 50, y + 1900).otherwise(y + 2000)).when(F.length(year) == 4, y)
     written = F.concat_ws("-", F.lpad(whole.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))

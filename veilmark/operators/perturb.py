@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.labels import label_key, role_of
-from ..functions.names import CASINGS, FORMS, Lookups, composed, parsed_name, rendered
-from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, recased, spliced, years, years_shifted
+from ..functions.names import CASINGS, FORMS, Lookups, parsed_name
+from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, spliced, years, years_shifted
 
 #: Ways of writing an age, with %s for the number.
 AGE_FORMS = ["%s jaar", "%s j.", "%s jr.", "%s-jarige", "%s jaar oud", "%sj"]
@@ -49,25 +52,36 @@ def _new(options: Column, original: Column) -> Column:
     return F.filter(options, lambda o, i: (F.coalesce(o["replacement"], F.lit("")) != "") & (o["replacement"] != original) & (F.array_position(written, o["replacement"]) == i + 1))
 
 
-def other_name(parts: Column, lookups: Lookups, seed: int, *key: Column) -> Column:
-    """A name from the lists in the same form that differs from the parsed one, by up to ten keyed draws."""
-    firsts, lasts = (F.array(*[F.lit(x) for x in names]) for names in (lookups.first_names, lookups.surnames))
-
-    def attempt(n: Column) -> Column:
-        first = F.get(firsts, (drawn(F.lit(seed), *key, n, F.lit("f")) % len(lookups.first_names)).cast("int"))
-        last = F.get(lasts, (drawn(F.lit(seed), *key, n, F.lit("l")) % len(lookups.surnames)).cast("int"))
-        return F.struct(first.alias("first"), last.alias("last"))
-
-    def differs(x: Column) -> Column:
-        first, last = F.lower(x["first"]) != F.lower(parts["first_name"]), F.lower(x["last"]) != F.lower(parts["last_name"])
-        by_last = parts["pattern"].isin("last_only", "initial_last", "last_initial", "last_comma_initial")
-        return F.when(parts["pattern"] == "first_only", first).when(by_last, last).otherwise(first | last)
-
-    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), attempt)
-    chosen = F.coalesce(F.get(F.filter(tries, differs), F.lit(0)), F.get(tries, F.lit(9)))
-    first = F.when(parts["pattern"] == "last_only", "").otherwise(chosen["first"])
-    last = F.when(parts["pattern"] == "first_only", "").otherwise(chosen["last"])
-    return composed(parts, first, last)
+def name_options(plan: Plan, lookups: Lookups) -> Callable[[Column, Column, Column], Column]:
+    """A column function of document_id, span_index and the parts of a name: casings and forms share what they have
+    seen, other names have their own."""
+
+    @F.pandas_udf(_OPTION)
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        for documents, places, parts in batches:
+            out = []
+            for document, place, p, base in zip(documents, places, parts.to_dict("records"), parts["base_text"], strict=True):
+                if p["pattern"] is None:
+                    out.append([])
+                    continue
+                same = names.composed(p, p["first_name"], p["last_name"])
+                tried = [("capitalization", m, names.recased(same, m)) for m in plan.casings]
+                tried += [("format", f, names.rendered(p, f, plan.title)) for f in plan.forms]
+                found, seen = [], {base}
+                for option in tried:
+                    if option[2] and option[2] not in seen:
+                        seen.add(option[2])
+                        found.append(option)
+                seen = {base}
+                for trial in range(plan.trials):
+                    text = names.other_name(p, lookups, plan.seed, document, place, trial)
+                    if text and text not in seen:
+                        seen.add(text)
+                        found.append(("name_source", f"other_{trial}", text))
+                out.append([{"dimension": d, "value": v, "replacement": r} for d, v, r in found])
+            yield pd.Series(out, dtype=object)
+
+    return apply
 
 
 def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
@@ -76,7 +90,8 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     Spans out of the text are skipped; name spans that no pattern reads are skipped and take no index. A span counts as a
     name before it counts as a date.
     """
-    spans = notes.select(F.monotonically_increasing_id().alias("row"), "document_id", "text", F.posexplode("spans").alias("place", "s"))
+    numbered = notes.withColumn("row", F.monotonically_increasing_id())  # before the spans are taken apart
+    spans = numbered.select("row", "document_id", "text", F.posexplode("spans").alias("place", "s"))
     base = F.col("text").substr((F.col("s.begin") + 1).cast("int"), (F.col("s.end") - F.col("s.begin")).cast("int"))
     spans = spans.where("s.begin >= 0 and s.end > s.begin and s.end <= length(text)")
     spans = spans.select("row", "document_id", "text", "place", "s.begin", "s.end", "s.label", base.alias("base_text"))
@@ -95,32 +110,28 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     return spans.select("document_id", "text", "begin", "end", "label", "base_text", kind.alias("kind"), role.alias("role"), "parts", index.alias("span_index"))
 
 
-def options(plan: Plan, lookups: Lookups) -> Column:
-    """All changes to a target row as array<struct<dimension, value, replacement>>, the unchanged baseline first."""
-    parts, base = F.col("parts"), F.col("base_text")
-    same = composed(parts, parts["first_name"], parts["last_name"])
-    written = F.concat(
-        _options("capitalization", [(F.lit(m), recased(same, m)) for m in plan.casings]),
-        _options("format", [(F.lit(f), rendered(parts, f, plan.title)) for f in plan.forms]),
-    )
-    key = (F.col("document_id"), F.col("span_index"))
-    others = _options("name_source", [(F.lit(f"other_{t}"), other_name(parts, lookups, plan.seed, *key, F.lit(t))) for t in range(plan.trials)])
-    grid = list(range(plan.year_min, plan.year_max + 1, max(1, plan.year_step)))
-    first_year = F.get(years(base), F.lit(0))
-    shifts = _options("date_value_shift", [(F.lit(str(y)), years_shifted(base, y - first_year)) for y in grid])
-    shifts = F.filter(shifts, lambda o: first_year.isNotNull() & (o["replacement"] != base))
-    date = date_parsed(base)
-    formats = _options("date_format", [(F.lit(p), date_rendered(date, p)) for p in plan.date_profiles])
+def with_options(rows: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
+    """Targets with ``options``: all changes as array<struct<dimension, value, replacement>>, the unchanged baseline first."""
+    base, kind, first_year = F.col("base_text"), F.col("kind"), F.col("first_year")
+    parts = F.struct("parts.*", "base_text")
+    rows = rows.withColumn("named", name_options(plan, lookups)(F.col("document_id"), F.col("span_index"), parts))
+    rows = rows.withColumn("date", F.when(kind == "date", date_parsed(base))).withColumn("first_year", F.when(kind == "date", F.get(years(base), F.lit(0))))
+    grid = F.array(*[F.lit(y) for y in range(plan.year_min, plan.year_max + 1, max(1, plan.year_step))]).cast("array<int>")
+    shifted = F.transform(grid, lambda y: F.struct(F.lit("date_value_shift").alias("dimension"), y.cast("string").alias("value"), years_shifted(base, y - first_year).alias("replacement")))
+    formats = _options("date_format", [(F.lit(p), date_rendered(F.col("date"), p)) for p in plan.date_profiles])
     number = F.regexp_extract(base, "[0-9]+", 0)
     ages = _options("age_format", [(F.lit(f"age_{i}"), F.when(number != "", F.format_string(a, number))) for i, a in enumerate(AGE_FORMS)])
+    none = F.array().cast(_OPTION)
+    rows = rows.withColumn("written", F.when(kind == "date", formats).when(kind == "age", ages).otherwise(none))
+    rows = rows.withColumn("shifts", F.when(first_year.isNotNull(), F.filter(shifted, lambda o: o["replacement"] != base)).otherwise(none))
     start = _options("baseline", [(F.lit("original"), base)])
-    by_kind = F.when(F.col("kind") == "name", F.concat(_new(written, base), _new(others, base))).when(F.col("kind") == "date", F.concat(shifts, _new(formats, F.trim(base)))).otherwise(_new(ages, F.trim(base)))
-    return F.concat(start, by_kind)
+    return rows.withColumn("options", F.concat(start, "shifts", _new(F.col("written"), F.trim(base)), F.coalesce("named", none)))
 
 
 def variants(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     """variant_id, document_id, text and target struct, one row for each variant of each target of ``notes``."""
-    rows = targets(notes, plan, lookups).withColumn("o", F.explode(options(plan, lookups)))
+    # never empty; explode() would have Spark infer a filter that works out all options once more
+    rows = with_options(targets(notes, plan, lookups), plan, lookups).withColumn("o", F.explode_outer("options"))
     begin, end = F.col("begin"), F.col("begin") + F.length("o.replacement")
     text = spliced(F.col("text"), begin, F.col("end"), F.col("o.replacement"))
     target = F.struct(

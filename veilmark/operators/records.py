@@ -27,7 +27,7 @@ def full_names(given: Column, family: Column, aliases: Column) -> Column:
     """Aliases, then "given family", trimmed, without blanks and repetitions, in order."""
     whole = F.concat_ws(" ", F.nullif(given, F.lit("")), F.nullif(family, F.lit("")))
     names = F.concat(F.coalesce(aliases, F.array().cast("array<string>")), F.array(whole))
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != "")))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.isNotNull() & (n != "")))
 
 
 def metadata(patient_first: Column, patient_last: Column, caregiver_first: Column, caregiver_last: Column, date: Column) -> Column:
