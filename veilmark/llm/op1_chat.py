@@ -1,11 +1,12 @@
 """Chat formatting as a prefix tree.
 
 Conversations that share initial turns share nodes. Nodes are laid out depth-first in one stream of characters, each
-once; a node has its place in the stream, the position id of its first token, and the intervals of its ancestors, which
-its tokens may attend to besides those before them in the node. Tokens are code points here.
+once; a node has its place in the stream and the position id of its first token. Tokens are code points here.
 
-Depth-first order is the order of the nodes' paths (the turn hashes from the root down), so a range partitioning, a
-running sum inside each part and the sums of the parts lay out any number of nodes without gathering a tree anywhere.
+Sorted by their turns' hashes, conversations meet the tree depth-first: each adds one chunk, the turns that no
+conversation before it has. Chunks follow each other in the stream, so their places are running sums inside range
+partitions and over the partitions' totals, and no tree is ever gathered. What a conversation may attend to is one interval
+of each chunk on its way, which keeps the intervals few even for very long conversations.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .common import settle, table
 
 #: Fixed values of the query: a conversation of control strings.
 EXTRA = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
-_STEP = 32  # hex digits of a turn's hash in a path
+_BYTES = 16  # of a hash
 
 
 def escaped(text: Column) -> Column:
@@ -58,75 +59,82 @@ def parsed(turn: Column) -> Column:
     )
 
 
-def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of conversations given as rows (conv_id, turn, role, text).
+def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, ways, leaves) of conversations given as rows (conv_id, turn, role, text).
 
-    nodes: path, depth, segment, start, stop (in the stream), position (id of its first token), loss_start, loss_stop
-    (the assistant's text inside the segment; equal if there is none), ancestors (intervals of the nodes above, from the
-    root down, and last its own). leaves: conv_id, path of its last node.
+    nodes: id, depth, chunk, start, stop (in the stream), position (id of its first token), loss_start, loss_stop (the
+    assistant's text inside the segment; equal if there is none), segment. A node attends to itself up to each token and to
+    the part of its chunk's way before it. ways: leaf, attends (intervals of the stream from the root to the leaf, ancestors
+    only) and seats (the starts of its nodes). leaves: conv_id, leaf.
 
-    Null texts and roles are empty; turns are ordered by turn (null first), ties by role and text; repeated rows are
-    repeated turns; rows with a null conv_id are one conversation. A conversation's own turns are held together in a task;
-    no tree or level is. An empty table gives empty tables.
+    Null texts and roles are empty; turns are ordered by turn (null first), ties by role and then by hash; repeated rows
+    are repeated turns; rows with a null conv_id are one conversation. The layout moves hashes and lengths only; texts
+    meet their nodes at the end. A conversation's own hashes are held together in a task; no tree or level is. An empty
+    table gives empty tables.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     lines = turns.select("conv_id", "turn", role.alias("role"), formatted(role, text).alias("segment"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "segment")))
+    lines = lines.withColumn("key", F.unhex(F.substring(F.sha2("segment", 256), 1, 2 * _BYTES)))
+    segments = lines.groupBy("key").agg(F.first("segment").alias("segment"))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "key", F.length("segment").cast("long").alias("n"))))
     chats = lines.groupBy("conv_id").agg(ordered.alias("turns"))
-    chats = chats.withColumn("keys", F.transform("turns", lambda t: F.substring(F.sha2(t["segment"], 256), 1, _STEP)))
-    # read twice: for the nodes and for the leaves
-    chats = settle(chats.select("conv_id", F.transform("turns", lambda t: t["segment"]).alias("segments"), "keys", F.transform("turns", lambda t: t["role"] == "assistant").alias("told")))
-    leaves = chats.select("conv_id", F.array_join("keys", "").alias("path"))
-    rows = chats.select(F.posexplode("segments").alias("depth", "segment"), "segments", "keys", "told")
-    depth = F.col("depth")
-    rows = rows.select(
-        F.array_join(F.slice("keys", 1, depth + 1), "").alias("path"),
-        "segment",
-        F.aggregate(F.slice("segments", 1, depth), F.lit(0).cast("long"), lambda n, s: n + F.length(s)).alias("position"),
-        F.get("told", depth).alias("told"),
-    )
-    nodes = rows.groupBy("path").agg(F.first("segment").alias("segment"), F.first("position").alias("position"), F.first("told").alias("told"))
-    nodes = settle(nodes.withColumn("n", F.length("segment").cast("long")).repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
-    parts = nodes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each partition
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    nodes = nodes.withColumn("running", running).join(parts, "part").withColumn("stop", F.col("before") + F.col("running"))
+
+    def step(acc: Column, t: Column) -> Column:
+        here = F.unhex(F.substring(F.sha2(F.concat(acc["id"], t["key"]), 256), 1, 2 * _BYTES))
+        node = F.struct(here.alias("id"), t["key"].alias("key"), t["n"].alias("n"), (t["role"] == "assistant").alias("told"), acc["at"].alias("position"))
+        return F.struct(here.alias("id"), (acc["at"] + t["n"]).alias("at"), F.array_append(acc["nodes"], node).alias("nodes"))
+
+    none = F.array().cast("array<struct<id:binary,key:binary,n:bigint,told:boolean,position:bigint>>")
+    start = F.struct(F.expr("X''").alias("id"), F.lit(0).cast("long").alias("at"), none.alias("nodes"))
+    chats = settle(chats.select("conv_id", F.aggregate("turns", start, step).alias("way")).select("conv_id", F.col("way.id").alias("leaf_id"), "way.nodes"))
+    distinct = chats.groupBy("leaf_id").agg(F.first("nodes").alias("nodes"))
+    path = F.aggregate("nodes", F.expr("X''"), lambda p, t: F.concat(p, t["key"]))
+    # the id is the partition's number and the row's place in it, so it follows the order of the paths
+    distinct = distinct.withColumn("path", path).repartitionByRange("path").sortWithinPartitions("path")
+    distinct = settle(distinct.select(F.monotonically_increasing_id().alias("leaf"), "leaf_id", "nodes"))
+    rows = distinct.select("leaf", F.posexplode("nodes").alias("depth", "t")).select("leaf", "depth", "t.*")
+    nodes = rows.groupBy("id").agg(F.min("leaf").alias("chunk"), *[F.first(c).alias(c) for c in ("depth", "key", "n", "told", "position")])
+    nodes = settle(nodes)
+    chunks = nodes.groupBy("chunk").agg(F.sum("n").alias("size"), F.min("position").alias("first")).withColumn("part", F.shiftright("chunk", 33))
+    parts = chunks.groupBy("part").agg(F.sum("size").alias("total"))  # one row for each partition
+    parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    running = F.sum("size").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    chunks = chunks.withColumn("running", running).join(parts, "part").select("chunk", (F.col("before") + F.col("running") - F.col("first")).alias("shift"))
+    placed = nodes.join(chunks, "chunk").withColumn("start", F.col("shift") + F.col("position"))
     loss_start = F.when(F.col("told"), 9).otherwise(0)
     loss_stop = F.when(F.col("told"), F.col("n").cast("int") - 5).otherwise(0)
-    nodes = settle(
-        nodes.select("path", F.expr(f"int(length(path) / {_STEP})").alias("depth"), "segment", (F.col("stop") - F.col("n")).alias("start"), "stop", "position", loss_start.alias("loss_start"), loss_stop.alias("loss_stop"))
-    )
-    up = nodes.select("path", F.explode(F.sequence(F.lit(1), "depth")).alias("level")).select("path", F.expr(f"substring(path, 1, {_STEP} * level)").alias("above"))
-    seats = nodes.select(F.col("path").alias("above"), F.struct("start", "stop").alias("seat"))
-    ancestors = up.join(seats, "above").groupBy("path").agg(F.sort_array(F.collect_list("seat")).alias("ancestors"))
-    return nodes.join(ancestors, "path"), leaves
-
-
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(conv_id, formatted, losses) of every conversation, from the intervals that its last node may attend to."""
-    seen = leaves.join(nodes.select("path", "ancestors"), "path").select("conv_id", F.explode("ancestors").alias("seat")).select("conv_id", "seat.start")
-    found = seen.join(nodes.select("start", "segment", "loss_start", "loss_stop"), "start")
-    parts = F.sort_array(F.collect_list(F.struct("start", "segment", "loss_start", "loss_stop")))
-    whole = found.groupBy("conv_id").agg(parts.alias("parts"))
+    placed = settle(placed.select("id", "key", "depth", "chunk", "start", (F.col("start") + F.col("n")).alias("stop"), "position", loss_start.alias("loss_start"), loss_stop.alias("loss_stop")))
+    met = rows.select("leaf", "id").join(placed.select("id", "chunk", "start", "stop"), "id")
+    met = met.groupBy("leaf", "chunk").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_list("start").alias("seats"))
+    ways = met.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("attends"), F.flatten(F.collect_list("seats")).alias("seats"))
+    leaves = chats.select("conv_id", "leaf_id").join(distinct.select("leaf_id", "leaf"), "leaf_id").select("conv_id", "leaf")
+    return placed.join(segments, "key").drop("key"), ways, leaves
+
+
+def read_back(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """(leaf, formatted, losses) of every distinct conversation, from the nodes on its way."""
+    found = ways.select("leaf", F.explode("seats").alias("start")).join(nodes.select("start", "segment", "loss_start", "loss_stop"), "start")
+    whole = found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "loss_start", "loss_stop"))).alias("parts"))
     masked = F.transform(F.filter("parts", lambda p: p["loss_stop"] > p["loss_start"]), lambda p: p["segment"].substr(p["loss_start"] + 1, p["loss_stop"] - p["loss_start"]))
-    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("formatted"), masked.alias("losses"))
+    return whole.select("leaf", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("formatted"), masked.alias("losses"))
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the laid out tree."""
-    found = read_back(*prefix_tree(turns))
+    nodes, ways, leaves = prefix_tree(turns)
     said = F.transform(F.filter(F.split("formatted", "</s>"), lambda t: t != ""), parsed)
     loss = F.array_join(F.transform("losses", unescaped), "")
-    found = found.select("conv_id", "formatted", said.alias("said"), loss.alias("loss"))
+    found = read_back(nodes, ways).select("leaf", "formatted", said.alias("said"), loss.alias("loss"))
     told = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return found.select(
-        "conv_id",
+    found = found.select(
+        "leaf",
         F.size("said").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    return leaves.join(found, "leaf").drop("leaf")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
