@@ -28,7 +28,7 @@ from .common import table
 
 MARK = "▁"
 #: Chunks that a task remembers as lately used (and as many of the time before), and the longest of them.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 150_000, 48
 
 
 class PrefixTable:
@@ -83,7 +83,7 @@ class PrefixTable:
     def compatible(self, left: str, right: str) -> bool:
         """Whether the token ``right`` can follow ``left``; with an empty ``left``, whether it can be the first."""
         self.tests += 1
-        if self.tests > 2_000_000:
+        if self.tests > 400_000:
             self.fits.clear()
             self.tests = 0
         known = self.fits[left][right] = self.merge(list(left + right)) == ([left, right] if left else [right])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 #: The bounded sample: texts for each language, and characters of each text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 60, 1500
+SAMPLE_TEXTS, SAMPLE_CHARS = 50, 800
 _WORD = re.compile(r"[^\W\d_]+")
 _FIELD = 40
 
@@ -83,7 +83,7 @@ class PhraseCounts(dict):
         padded = f" {word} "
         value = sum(phrases(a, padded) << (_FIELD * i) for i, a in enumerate(self.automata))
         if len(word) <= 48:
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = value
         return value

@@ -27,7 +27,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 48:
-            if len(self) > 500_000:
+            if len(self) > 200_000:
                 self.clear()
             self[word] = value
         return value
