@@ -71,9 +71,10 @@ def baseline(rows: DataFrame) -> DataFrame:
 
 def pairs(rows: DataFrame) -> DataFrame:
     """dimension, role, entity, document_id, original, transformed (mean over the dimension's variants)."""
-    start = rows.where("dimension = 'baseline'").groupBy("entity", "role").agg(F.max("score").alias("original"))
-    moved = rows.where("dimension <> 'baseline'").groupBy("dimension", "role", "entity", "document_id").agg(F.avg("score").alias("transformed"))
-    return moved.join(start, ["entity", "role"])
+    own = Window.partitionBy("entity", "role")
+    marked = rows.withColumn("original", F.max(F.when(F.col("dimension") == "baseline", F.col("score"))).over(own))
+    moved = marked.where("dimension <> 'baseline' and original is not null")
+    return moved.groupBy("dimension", "role", "entity", "document_id").agg(F.avg("score").alias("transformed"), F.max("original").alias("original"))
 
 
 def degradation(paired: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import names as N
 from ..functions import texts as T
 from ..operators import intervals, perturb, records, scoring, stability
 from ..sources import derived
+from ..session import settle
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,7 +518,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = stability.pairs(scored(spark, sf_dir, model)).withColumn("model", F.lit(model))
         paired = one if paired is None else paired.unionByName(one)
     paired = paired.join(scope, "document_id")
-    stats = stability.clusters(paired, keys, F.col("original") - F.col("transformed"))
+    stats = settle(stability.clusters(paired, keys, F.col("original") - F.col("transformed")))  # read three times below
     p = stability.sign_flip_p(stats, keys, iterations=ITERATIONS).select(*keys, "p_one_sided")
     cells = stats.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_clusters"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_degradation"))
     return cells.join(p, keys)
@@ -538,7 +539,7 @@ fin AS (SELECT {_KEYS}, cells.n_pairs, cells.n_clusters, cells.mean_degradation,
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir)
+    cells = settle(_cells(spark, sf_dir))
     scopes = [r[0] for r in derived.table(spark, sf_dir, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]  # the five priorities
     return stability.adjusted(cells, scopes).withColumn("q", F.round("q", 9))
 
