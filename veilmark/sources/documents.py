@@ -84,7 +84,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         rows = whole.select(F.explode(F.variant_get("v", "$", "array<variant>")).alias("v"))
     elif kind and kind[0] and kind[0].startswith("OBJECT") and not has_document(whole):
         entries = whole.select(F.explode(F.variant_get("v", "$", "map<string,variant>")).alias("id", "v"))
-        return entries.select(F.col("id").alias("document_id"), F.coalesce(F.try_variant_get("v", "$", "string"), first_filled(field("text"), field("plain_text")), F.lit("")).alias("text"))
+        return entries.select(F.col("id").alias("document_id"), F.coalesce(first_filled(field("text"), field("plain_text")), F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")), F.lit("")).alias("text"))
     else:
         rows = lines(spark, path)
     return rows.select(identity("document_id", "doc_id", "id").alias("document_id"), F.coalesce(first_filled(field("text"), field("plain_text")), F.lit("")).alias("text"))
