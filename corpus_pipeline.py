@@ -14,21 +14,18 @@ from veilmark.llm.op4_sentencepiece import encode_documents, model_bytes
 from veilmark.llm.op7_language import learn, predictor
 from veilmark.llm.op9_simhash import near_duplicates
 
-#: Documents whose language wins by less than this share are rejected, besides those without any letter. Four equally
-#: likely languages would have a quarter each.
-MIN_LANGUAGE_SCORE = 0.3
-
-
 def _key() -> Column:
     """Identifies a row by its id (null last) and text, so that null and repeated ids are told apart."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus itself teaches; others, and those without letters, go."""
+    """Documents with a recognised language; those that get ``und``, for want of a text or of any letter, go.
+
+    A low score alone rejects nothing: it mostly marks clean documents in more than one language.
+    """
     predict = predictor(learn(docs.where(crc_mod("doc_id", 5) != 0)))
-    said = docs.withColumn("_said", predict.asNondeterministic()(F.col("text")))
-    return said.where((F.col("_said.lang_pred") != "und") & (F.col("_said.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return docs.where(predict(F.col("text"))["lang_pred"] != "und")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
