@@ -105,7 +105,8 @@ def parsed_name(text: Column, lookups: Lookups, patterns: list[str] | None = Non
         for batch in texts:
             yield pd.DataFrame([parser.parse(t) or (None,) * len(names) for t in batch], columns=names)
 
-    return apply(text)
+    # not deterministic only so that a filter on the result does not run it once more
+    return apply.asNondeterministic()(text)
 
 
 def with_style(value: str, style: str) -> str:

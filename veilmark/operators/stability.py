@@ -27,6 +27,18 @@ def inferred(variants: DataFrame, model: Callable[[], Callable[[str, str], list[
     return variants.select("variant_id", "text").mapInPandas(run, f"variant_id string, spans {PREDICTED}")
 
 
+def with_model(variants: DataFrame, model: Callable[[], Callable[[str, str], list[dict]]]) -> DataFrame:
+    """Variants with ``spans`` from a model in one pass, for models that run inside the job; texts are left behind."""
+
+    @F.pandas_udf(PREDICTED)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predict = model()
+        for ids, texts in batches:
+            yield pd.Series([predict(i, t) for i, t in zip(ids, texts, strict=True)], dtype=object)
+
+    return variants.withColumn("spans", run("variant_id", "text")).drop("text")
+
+
 def with_predictions(variants: DataFrame, predictions: DataFrame) -> DataFrame:
     """Variants with their predicted spans; none where a prediction is missing."""
     return variants.join(predictions, "variant_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(PREDICTED)))

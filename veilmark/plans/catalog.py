@@ -421,7 +421,7 @@ def predicted(spark: SparkSession, sf_dir: str, model: str = "alpha") -> DataFra
 
 
 def scored(spark: SparkSession, sf_dir: str, model: str = "alpha", level: str = "category") -> DataFrame:
-    return stability.scored(predicted(spark, sf_dir, model), level)
+    return stability.scored(stability.with_model(_variants(spark, sf_dir), stand_in(MODELS[model])), level)
 
 
 @register(_V + "SELECT count(*) AS n_variants, CAST(3 * count(*) FILTER (CAST('0x' || substr(md5(variant_id), 1, 1) AS BIGINT) <= 13) AS BIGINT) AS n_spans FROM v")
