@@ -25,7 +25,10 @@ INTERFIXES = ["van", "van den", "de"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of fewer parts than the session has cores is dealt out, since deriving spans is most of the work."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
