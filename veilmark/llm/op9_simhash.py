@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = classes.join(linked, "fp", "left").select(
         "fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("smallest")).alias("component_id"), F.coalesce("root", "fp").alias("root")
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    # settled, so that both sides of the last join are dealt anew and Spark may split a fingerprint with very many copies
+    return prints.join(settle(named), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
