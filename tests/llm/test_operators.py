@@ -9,10 +9,12 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 pytest.importorskip("veilmark.llm.catalog")
 
 from veilmark.llm import op1_chat, op2_pii, op3_decontaminate, op4_sentencepiece, op5_url_filter, op6_sharding, op7_language, op8_quality_rules, op9_simhash, op10_crf  # noqa: E402
+from veilmark.llm.common import smallest_hashes  # noqa: E402
 
 WORDS = "the of and over river stone light house garden winter summer paper window doctor street market bridge silver copper letter".split()
 DOCS = "doc_id long, text string, lang string, n_tokens string"
@@ -359,3 +361,14 @@ def test_crf(spark, docs, none):
     edge = op10_crf.score_documents(docs, labels).collect()
     assert len(edge) == 13 and all(0 <= r["score"] <= 1 for r in edge)
     assert {r["score"] for r in op10_crf.score_documents(docs, labels.limit(0)).collect()} == {0.5} and op10_crf.score_documents(none, labels).count() == 0
+
+
+def test_smallest_hashes_are_those_of_a_whole_sort(spark):
+    """Groups smaller and larger than the bound, a single row, and no rows at all."""
+    rows = spark.range(5000).select(F.when(F.col("id") == 0, "one").when(F.col("id") < 40, "few").otherwise("many").alias("g"), F.xxhash64("id").alias("h"))
+    expected = {g: sorted(r["h"] for r in rows.where(F.col("g") == g).collect())[:50] for g in ("one", "few", "many")}
+    found = {}
+    for r in smallest_hashes(rows, "g", "h", 50).collect():
+        found.setdefault(r["g"], []).append(r["h"])
+    assert {g: sorted(h) for g, h in found.items()} == expected
+    assert smallest_hashes(rows.where("false"), "g", "h", 50).isEmpty()

@@ -40,15 +40,28 @@ def joined_hash(parts: Column) -> Column:
     return F.sha2(F.concat_ws(",", parts), 256)
 
 
+def smallest_hashes(df: DataFrame, group: str, h: str, most: int) -> DataFrame:
+    """The rows among the ``most`` smallest hashes ``h`` of their ``group``; ``h`` is distinct and even over 64 bits.
+
+    Each group's count gives a bound under which twice as many rows are expected as are asked for, so the ranking sees
+    a bounded number of rows however large the input. ``group`` takes few values: the driver gets a count for each.
+    """
+    bound = F.lit(None).cast("long")
+    for value, n in df.groupBy(group).count().collect():
+        share = min(1.0, (2 * most + 100) / n)
+        bound = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).otherwise(bound)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h))
+    return df.where(F.col(h) <= bound).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
     """Rows (text, label): at most ``per_class`` documents of each label, those of smallest hashed doc_id.
 
     The choice depends on the ids alone, so it is the same however the tables are partitioned; texts are cut to
     ``max_chars`` for fitting only. Rows without a text or label are left out.
     """
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").distinct()
     chosen = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
+    chosen = smallest_hashes(chosen.withColumn("h", F.xxhash64("doc_id")), "label", "h", per_class).drop("h")
     # at most 2 * per_class rows by construction
     return docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label")

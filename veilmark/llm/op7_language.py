@@ -12,10 +12,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, smallest_hashes, table
 
 #: The bounded sample: texts for each language, and characters of each text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 50, 800
@@ -96,8 +96,7 @@ def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS)
     on what is fitted on and collected. Equal texts count once, so a large group of copies cannot fill it.
     """
     known = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-    hashes = known.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = hashes.where(F.col("rank") <= texts).select("lang", "h")  # bounded: texts rows for each language
+    chosen = smallest_hashes(known.select("lang", "h").distinct(), "lang", "h", texts)  # bounded: texts rows for each language
     rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
