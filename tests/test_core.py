@@ -1,5 +1,6 @@
 """The reference vectors of scoring, edits, names, dates, splices, stability and multiple testing, as data."""
 
+import hashlib
 import json
 import random
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import labels, names, texts
-from veilmark.operators import intervals, perturb, records, scoring, stability
+from veilmark.operators import draws, intervals, perturb, records, scoring, stability
 from veilmark.sources import documents
 
 GOLD = "document_id string, text string, spans array<struct<begin:bigint,end:bigint,label:string,subannotations:array<struct<begin:bigint,end:bigint,category:string>>>>, has_nested boolean, subannotations array<struct<begin:bigint,end:bigint,category:string>>"
@@ -241,3 +242,34 @@ def test_timings(spark):
     new = spark.createDataFrame([("m", "mps", 1.234), ("m", "cpu", 2.0)], "model string, device string, seconds double")
     got = sorted((r["device"], r["seconds"], r["source"] or "") for r in records.recorded(old, new).collect())
     assert got == [("cpu", 2.0, "measured"), ("cpu", 7.0, "manual"), ("gpu", 1.23, "measured"), ("gpu", 8.0, "")]
+
+
+def test_resampling_draws_against_brute_force(spark):
+    head = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    after = ["1", "599999", "é", "a" * 70]
+    got = draws.heads("42:date:4-NOT SPECIFIED", 7, 1100, after)
+    assert all(got[i, b - 7] == head(42, "date", "4-NOT SPECIFIED", b, a) for i, a in enumerate(after) for b in (7, 9, 10, 99, 100, 999, 1000, 1106))
+    r = random.Random(5)
+    cells = {(d, role): {str(i): (r.choice([-1.0, 0.0, 0.5, 1.0]), r.randrange(1, 4)) for i in range(r.randrange(5, 30))} for d in ("x", "y") for role in ("a", "b")}
+    rows = [(*k, doc, s, n) for k, docs in cells.items() for doc, (s, n) in docs.items()]
+    stats = spark.createDataFrame(rows, "dimension string, role string, document_id string, s double, n long").repartition(3)
+    for times in (123, 10):
+        p = {(x["dimension"], x["role"]): (x["p_one_sided"], x["p_two_sided"]) for x in stability.sign_flip_p(stats, ["dimension", "role"], iterations=times).collect()}
+        ci = {(x["dimension"], x["role"]): (x["lower"], x["upper"]) for x in stability.cluster_bootstrap(stats, ["dimension", "role"], iterations=times).collect()}
+        for cell, docs in cells.items():
+            whole = round(sum(s for s, _ in docs.values()), 9)
+            flips = [round(sum(s * (-1) ** head(42, *cell, b, doc) for doc, (s, _) in docs.items()), 9) for b in range(times)]
+            assert p[cell] == pytest.approx(((sum(v >= whole for v in flips) + 1) / (times + 1), (sum(abs(v) >= abs(whole) for v in flips) + 1) / (times + 1)))
+            ordered = [docs[k] for k in sorted(docs)]
+            taken = [[ordered[head(42, *cell, b, j) % len(ordered)] for j in range(len(ordered))] for b in range(times)]
+            means = sorted(round(sum(s for s, _ in t) / sum(n for _, n in t), 9) for t in taken)
+            assert ci[cell] == pytest.approx((means[int(0.025 * (times - 1))], means[int(0.975 * (times - 1))]))
+
+
+def test_registered_resampling_can_reject(spark):
+    from veilmark.plans import catalog
+
+    assert catalog.ITERATIONS == 10_000
+    stats = spark.createDataFrame([("x", "a", str(i), 1.0, 1) for i in range(20)], "dimension string, role string, document_id string, s double, n long")
+    p = stability.sign_flip_p(stats, ["dimension", "role"], iterations=catalog.ITERATIONS).first()
+    assert p["p_one_sided"] < stability.ALPHA

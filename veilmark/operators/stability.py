@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import category_key, first_filled, label_key
-from .perturb import drawn
+from .draws import heads
 
 PREDICTED = "array<struct<begin:bigint,end:bigint,label:string,category:string>>"
 #: Cells with fewer pairs or notes are not tested; the level of significance. Fixed values.
@@ -105,18 +106,53 @@ def clusters(values: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return values.groupBy(*keys, "document_id").agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores; small tables would else end up in one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _before(seed: int, values: tuple) -> str:
+    return ":".join([str(seed), *[str(v) for v in values if v is not None]])
+
+
 def sign_flip_p(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000, block: int = 50) -> DataFrame:
     """One- and two-sided p-values of the mean when whole documents change sign, with one added to both counts.
 
-    Signs are keyed draws. Each document meets the iterations in blocks, whose sums are combined before the shuffle, so
-    neither a cell nor an iteration has to fit into a task. Sums are rounded before ties are judged, since the order of
-    additions is not fixed.
+    Signs are keyed draws, made for many documents and all iterations at once. Each task adds its documents up and hands on
+    arrays of ``block`` sums for each cell, so documents never meet iterations as rows, and neither a cell nor an iteration
+    has to fit into a task. Sums are rounded before ties are judged, since the order of additions is not fixed.
     """
-    steps = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-    sign = F.when(drawn(F.lit(seed), *[F.col(k) for k in keys], F.col("b"), F.col("document_id")) % 2 == 0, 1.0).otherwise(-1.0)
-    flipped = stats.select(*keys, "document_id", "s", steps.alias("b")).groupBy(*keys, "b").agg(F.round(F.sum(F.col("s") * sign), 9).alias("v"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def blocks() -> pd.DataFrame:
+            rows = [(*cell, at // block, total[at : at + block]) for cell, total in sums.items() for at in range(0, iterations, block)]
+            sums.clear()
+            return pd.DataFrame(rows, columns=[*keys, "block", "sums"])
+
+        for batch in batches:
+            for cell, part in batch.groupby(keys, dropna=False, sort=False):
+                cell = tuple(None if pd.isna(v) else v for v in cell)
+                total = sums.setdefault(cell, np.zeros(iterations))
+                for at in range(0, len(part), 100):
+                    some = part.iloc[at : at + 100]
+                    odd = heads(_before(seed, cell), 0, iterations, some["document_id"].tolist()) & 1
+                    s = some["s"].to_numpy(float)
+                    total += s.sum() - 2 * (s @ odd)
+                if len(sums) > 200:
+                    yield blocks()
+        yield blocks()
+
+    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
+    parts = _dealt(stats.select(*keys, F.col("document_id").cast("string").alias("document_id"), F.col("s").cast("double").alias("s"))).mapInPandas(summed, f"{fields}, block int, sums array<double>")
+    values = [F.round(F.sum(F.get("sums", F.lit(i))), 9) for i in range(min(block, iterations))]
+    flipped = parts.groupBy(*keys, "block").agg(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    flipped = flipped.select(*keys, F.array(*[f"v{i}" for i in range(len(values))]).alias("values"))
     seen = stats.groupBy(*keys).agg(F.round(F.sum("s"), 9).alias("observed"), F.max(F.abs("s")).alias("most"))
-    counted = flipped.join(seen, keys).groupBy(*keys, "most").agg(F.count_if(F.col("v") >= F.col("observed")).alias("one"), F.count_if(F.abs("v") >= F.abs("observed")).alias("two"))
+    one = F.size(F.filter("values", lambda v: v >= F.col("observed")))
+    two = F.size(F.filter("values", lambda v: F.abs(v) >= F.abs("observed")))
+    counted = flipped.join(seen, keys).groupBy(*keys, "most").agg(F.sum(one).alias("one"), F.sum(two).alias("two"))
 
     def p(c: str) -> Column:
         return F.when(F.col("most") == 0, 1.0).otherwise((F.col(c) + 1) / F.lit(iterations + 1))
@@ -124,19 +160,42 @@ def sign_flip_p(stats: DataFrame, keys: list[str], seed: int = 42, iterations: i
     return counted.select(*keys, p("one").alias("p_one_sided"), p("two").alias("p_two_sided"))
 
 
+#: Documents of a cell whose sums one task of the bootstrap holds, and iterations that it draws.
+CHUNK, STEPS = 2**20, 250
+
+
 def cluster_bootstrap(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
     """95 % percentile interval of the mean when whole documents are drawn with replacement.
 
-    Draw j of iteration b takes the document whose number is a keyed draw; draws meet documents in an equi-join on (cell,
-    number), which spreads over all tasks. The bounds are order statistics, floor(q * (iterations - 1)).
+    Draw j of iteration b takes the document whose number is a keyed draw. A task makes the draws of STEPS iterations for
+    CHUNK values of j and adds up the documents of one chunk; the sums of chunks meet by iteration. The bounds are order
+    statistics, floor(q * (iterations - 1)).
     """
     numbered = stats.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("document_id")) - 1)
     numbered = numbered.withColumn("size", F.count("*").over(Window.partitionBy(*keys)))
-    steps = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-    draws = numbered.select(*keys, "size", F.col("number").alias("j"), steps.alias("b"))
-    draws = draws.select(*keys, "b", (drawn(F.lit(seed), *[F.col(k) for k in keys], F.col("b"), F.col("j")) % F.col("size")).alias("number"))
-    met = draws.groupBy(*keys, "b", "number").agg(F.count("*").alias("times")).join(numbered.select(*keys, "number", "s", "n"), [*keys, "number"])
-    means = met.groupBy(*keys, "b").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    held = F.array_sort(F.collect_list(F.struct("number", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))))
+    chunks = numbered.groupBy(*keys, "size", F.floor(F.col("number") / CHUNK).alias("chunk")).agg(held.alias("held"))
+    chunks = chunks.select(*keys, "size", "chunk", F.col("held.s").alias("s"), F.col("held.n").alias("n"))
+    tasks = chunks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(STEPS)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK))))
+
+    def drawn_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                cell = tuple(row[k] for k in keys)
+                first, size, low = row["first"], row["size"], row["chunk"] * CHUNK
+                held_s, held_n = np.asarray(row["s"], float), np.asarray(row["n"], float)
+                steps = min(STEPS, iterations - first)
+                s, n = np.zeros(steps), np.zeros(steps)
+                for at in range(row["part"] * CHUNK, min(size, (row["part"] + 1) * CHUNK), 2_000):
+                    picked = heads(_before(seed, cell), first, steps, [str(j) for j in range(at, min(at + 2_000, size, (row["part"] + 1) * CHUNK))]).astype(np.int64) % size - low
+                    here = (picked >= 0) & (picked < len(held_s))
+                    picked[~here] = 0
+                    s += (held_s[picked] * here).sum(axis=0)
+                    n += (held_n[picked] * here).sum(axis=0)
+                yield pd.DataFrame([(*cell, first + i, s[i], n[i]) for i in range(steps)], columns=[*keys, "b", "s", "n"])
+
+    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
+    means = _dealt(tasks).mapInPandas(drawn_sums, f"{fields}, b int, s double, n double").groupBy(*keys, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
     ordered = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.round("mean", 9))).alias("means"))  # ``iterations`` values
     low, high = int(0.025 * (iterations - 1)), int(0.975 * (iterations - 1))
     return ordered.select(*keys, F.get("means", F.lit(low)).alias("lower"), F.get("means", F.lit(high)).alias("upper"))

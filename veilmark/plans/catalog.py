@@ -23,8 +23,8 @@ ORACLES: dict[str, str] = {}
 LOOKUPS = N.Lookups(derived.PREFIXES, derived.FIRST_NAMES, derived.SURNAMES, derived.INTERFIXES, ["Berg", "Velde"])
 #: The variants that the registered queries make.
 PLAN = perturb.Plan(year_step=10, trials=5)
-#: Iterations of the registered resampling queries.
-ITERATIONS = 10
+#: Iterations of the registered resampling queries and of their SQL; the default of the operators.
+ITERATIONS = 10_000
 _V = sql.variants(PLAN.year_min, PLAN.year_max, PLAN.year_step, PLAN.trials, PLAN.seed)
 
 
