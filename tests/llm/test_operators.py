@@ -128,6 +128,26 @@ def test_pii_context_finds_unseen_and_leaves_clean(spark):
     assert text[50] == "the server address [IP] was seen" and text[0] == "the server address [IP] was seen" and text[52] == rows[-1][1]
 
 
+def test_pii_context_finds_other_forms(spark):
+    rows = [(i, f"please call me +1 (0{i}7) 555-771{i} today") for i in range(60)]
+    rows += [(100 + i, f"please write to ann{i}@mail.example.com today") for i in range(20)]
+    rows += [(200 + i, f"the card number 4111 1111 1111 {v} was used") for i, v in enumerate(["1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194", "1202", "1210", "1228"])]
+    # no plus sign; spaced; spelt out; a card that fails the checksum
+    new = {300: ("please call ", "me 017 555 7713 today", "phone"), 301: ("please call ", "me (017) 555-7714, today", "phone"), 302: ("please ", "write to bo.x at mail.example.com today", "email"), 303: ("please ", "write to bo [at] mail [dot] example.com today", "email"), 304: ("the ", "card number 4111 1111 1111 1112 was used", "card")}
+    want = {300: "017 555 7713", 301: "(017) 555-7714", 302: "bo.x at mail.example.com", 303: "bo [at] mail [dot] example.com", 304: "4111 1111 1111 1112"}
+    rows += [(i, a + b) for i, (a, b, _) in new.items()]
+    # a pattern that only accepted identifiers vouch for
+    rows += [(400 + i, f"please call me 01{i} 444 771{i} now") for i in range(8)] + [(410 + i, f"reachable under 01{i} 444 771{i} now") for i in range(8)] + [(420, "reachable under 099 444 7799 now")]
+    rows += [(500, "there are 017 555 7713 stones"), (501, "please call me at noon, 12 times"), (502, "we look at house.garden in 2024")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r["doc_id"]: {(op2_pii.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["stop"]]) for s in r["added"]} for r in op2_pii.find_personal_data(frame).collect()}
+    for i, value in want.items():
+        assert (new[i][2], value) in got[i], (i, got[i])
+    assert got[420] == {("phone", "099 444 7799")} and all(got[410 + i] for i in range(8))
+    assert not any(got[i] for i in [*range(60), *range(100, 120), 500, 501, 502])
+
+
 def contaminated(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = words(text), set(), set()

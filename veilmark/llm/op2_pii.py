@@ -2,8 +2,9 @@
 
 The base matches are seeds. The two words before a seed are a lexical pattern of its kind. Patterns and the identifiers
 that stand in them form a graph that is scored in turns: a pattern is as good as the share of its identifiers that are
-trusted, an unseen identifier as good as its patterns together. Identifiers above a threshold become spans, where a
-trusted pattern introduces them. All of it is DataFrame work; no text leaves the rows it is in.
+trusted, an unseen identifier as good as its patterns together. An unseen identifier is one to six words that pass a loose
+test of the kind; once it is trusted, the other patterns that it stands in join the graph. Identifiers above a threshold
+become spans, where a trusted pattern introduces them. All of it is DataFrame work; no text leaves the rows it is in.
 """
 
 from __future__ import annotations
@@ -28,25 +29,58 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: A white-space delimited token with a digit or an at sign.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds of scoring; distinct seeds that a pattern needs; scores that patterns and new identifiers need.
+#: At the same places, that token with up to five words after it.
+_RUN = r"(?<!\S)(?=([^\s0-9@]*+[0-9@]\S*+(?:\s\S++){0,5}))"
+#: An address with its at sign, and perhaps its dots, in words or set apart.
+_SPELT = r"(?i)(?<!\S)[a-z0-9._%+-]++(?:\s?[\[(]\s?(?:at|@)\s?[\])]\s?|\s(?:at|@)\s|@\s|\s@)[a-z0-9-]++(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9-]++)++"
+_END = r"(?=[.,;:!?)\]]*+(?:\s|$))"
+#: Loose forms of the kinds, longest first; what an unseen identifier must look like at the start of a run.
+LOOSE = {
+    "email": r"^[^\s@]++@[^\s@]*[^\s@.,;:!?)\]]",
+    "ip": r"(?i)^(?:[0-9]{1,5}(?:[\[(]?[.,:][\])]?\s?[0-9]{1,5}){3}|[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){3,7})" + _END,
+    "card": r"^[0-9](?:[./ -]{0,2}[0-9]){11,18}" + _END,
+    "phone": r"^[+(]{0,2}[0-9](?:[()./ -]{0,3}[0-9]){6,14}" + _END,
+}
+#: Rounds of scoring; distinct trusted identifiers that a pattern needs; scores that patterns and new identifiers need.
 ROUNDS, SUPPORT, TRUSTED = 3, 3, 0.8
 _SPANS = "array<struct<start:int,stop:int,value:string,before:string>>"
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """Every match with its place in code points and the two words before it, in lower case with digits as 0."""
+def _found(text: Column, pattern: str, values: Column | None = None) -> Column:
+    """Every match with its place in code points and the two words before it, in lower case with digits as 0.
+
+    ``values``, one for each match, stand in for the matched texts.
+    """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        before = F.regexp_extract(F.lower(F.right(x["gap"], F.lit(100))), r"(\S+\s+\S+)\s*$", 1)
+        stop = start + F.length(x["match"])
+        ahead = F.right(F.concat(acc["tail"], x["gap"]), F.lit(100))
+        before = F.regexp_extract(F.lower(ahead), r"(\S+\s+\S+)\s*$", 1)
         span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.regexp_replace(F.regexp_replace(before, r"\s+", " "), "[0-9]", "0").alias("before"))
-        return F.struct(stop.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+        return F.struct(stop.alias("at"), F.right(F.concat(ahead, x["match"]), F.lit(100)).alias("tail"), F.array_append(acc["spans"], span).alias("spans"))
+
+    both = F.zip_with(matches, matches if values is None else values, lambda match, value: F.struct(match.alias("match"), value.alias("value")))
+    pairs = F.zip_with(gaps, both, lambda gap, x: F.struct(gap.alias("gap"), x["match"].alias("match"), x["value"].alias("value")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPANS).alias("spans"))
+    return F.aggregate(pairs, start, add, lambda acc: acc["spans"])
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<kind, start, stop, value, before>>: what looks like an identifier, by the loose forms of all kinds."""
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans")), add, lambda acc: acc["spans"])
+    def as_kind(kind: int, span: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), (span["start"] + F.length(value)).alias("stop"), value.alias("value"), span["before"].alias("before"))
+
+    def of_run(span: Column) -> Column:
+        return F.filter(F.array(*[as_kind(i, span, F.regexp_extract(span["value"], LOOSE[k], 0)) for i, k in enumerate(KINDS)]), lambda c: c["value"] != "")
+
+    none = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string,before:string>>")
+    runs = F.flatten(F.transform(_found(text, _TOKEN, F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))), of_run))
+    spelt = F.transform(_found(text, _SPELT), lambda s: as_kind(0, s, s["value"]))
+    return F.concat(F.when(text.rlike("[0-9@]"), runs).otherwise(none), F.when(text.rlike(r"(?i)@|\sat\s|[\[(]\s?at"), spelt).otherwise(none))
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -76,39 +110,39 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of_kind(i, kind) for i, kind in enumerate(KINDS)])
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", "a"), "[0-9]+", "0")
-
-
 def contextual(scanned: DataFrame) -> DataFrame:
     """New spans (row, kind, start, stop), given rows (row, base, tokens).
 
-    An unseen identifier must have the shape of a seed of its kind and stand after a pattern with SUPPORT distinct seeds;
-    it must not overlap a base span of its row.
+    An unseen identifier must have a loose form of its kind and stand after a pattern with SUPPORT distinct identifiers that
+    are trusted, seeds at first; it must not overlap a base span of its row.
     """
-    seeds = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value", "s.before").distinct()
     free = F.filter(
         "tokens",
         lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])),
     )
-    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode(free).alias("t")).select("row", "t.start", F.rtrim("t.value", F.lit(".,;:!?")).alias("value"), "t.before")
-    tokens = tokens.where("before != ''")
-    shapes = seeds.select("kind", _shape(F.col("value")).alias("shape")).distinct()
-    patterns = seeds.where("before != ''").select("kind", "before").distinct()
-    unseen = tokens.select("before", "value").distinct().withColumn("shape", _shape(F.col("value"))).join(shapes, "shape").join(patterns, ["kind", "before"])
-    edges = seeds.where("before != ''").select("kind", "before", "value", F.lit(True).alias("seed"))
-    edges = settle(edges.unionByName(unseen.select("kind", "before", "value", F.lit(False).alias("seed"))))
-    support = F.count_if(F.col("seed")) >= SUPPORT
-    scores = edges.withColumn("score", F.col("seed").cast("double"))
+    tokens = scanned.where(F.size("tokens") > 0).select("row", F.explode(free).alias("t")).select("row", "t.kind", "t.start", "t.stop", "t.value", "t.before").where("before != ''")
+    seeds = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.before", "s.value").where("before != ''").distinct()
+    seeds = settle(seeds.withColumn("score", F.lit(1.0)))
+    unseen = settle(tokens.select("kind", "before", "value").distinct().join(seeds, ["kind", "before", "value"], "left_anti"))
+    scores = None
+
+    def standing() -> tuple[DataFrame, DataFrame]:
+        """Unseen identifiers with their scores in the patterns that trusted ones stand in; the patterns with support."""
+        known, held = seeds.select("kind", "before"), unseen.withColumn("score", F.lit(0.0))
+        if scores is not None:
+            held = unseen.join(scores, ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+            known = known.unionByName(held.where(F.col("score") >= TRUSTED).select("kind", "before"))
+        held = held.join(known.distinct(), ["kind", "before"], "left_semi")
+        good = held.unionByName(seeds, allowMissingColumns=True).groupBy("kind", "before").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= TRUSTED).alias("n"))
+        return held, good.where(F.col("n") >= SUPPORT).select("kind", "before", F.least("confidence", F.lit(0.999)).alias("confidence"))
+
     for _ in range(ROUNDS):
-        good = scores.groupBy("kind", "before").agg(F.avg("score").alias("confidence"), support.alias("enough"))
-        good = good.where("enough").withColumn("confidence", F.least("confidence", F.lit(0.999)))
-        held = edges.join(good, ["kind", "before"], "left")
-        doubt = held.groupBy("kind", "value").agg(F.exp(F.sum(F.log(1 - F.coalesce("confidence", F.lit(0.0))))).alias("doubt"))
-        scores = settle(edges.join(doubt, ["kind", "value"]).withColumn("score", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt"))).drop("doubt"))
-    good = scores.groupBy("kind", "before").agg(F.avg("score").alias("confidence"), support.alias("enough")).where(f"enough and confidence >= {TRUSTED}").select("kind", "before")
-    new = scores.where(f"not seed and score >= {TRUSTED}").select("kind", "before", "value").distinct().join(good, ["kind", "before"])
-    return tokens.join(new, ["before", "value"]).select("row", "kind", "start", (F.col("start") + F.length("value")).alias("stop"))
+        held, good = standing()
+        doubt = held.drop("score").join(good, ["kind", "before"]).groupBy("kind", "value").agg(F.exp(F.sum(F.log(1 - F.col("confidence")))).alias("doubt"))
+        scores = settle(doubt.select("kind", "value", (1 - F.col("doubt")).alias("score")))
+    held, good = standing()
+    new = held.where(F.col("score") >= TRUSTED).join(good.where(F.col("confidence") >= TRUSTED), ["kind", "before"]).select("kind", "before", "value")
+    return tokens.join(new, ["kind", "before", "value"]).select("row", "kind", "start", "stop")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -126,10 +160,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, key: Column) -> DataFrame:
-    """(row, doc_id, base, tokens) with ``key`` as row; written once, without the texts."""
+    """(row, doc_id, base, tokens) with ``key`` as row, tokens being the candidates; written once, without the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.when(text.rlike("[0-9@]"), _found(text, _TOKEN)).otherwise(F.array().cast(_SPANS))
-    return settle(docs.select(key.alias("row"), "doc_id", base_spans(text).alias("base"), tokens.alias("tokens")))
+    return settle(docs.select(key.alias("row"), "doc_id", base_spans(text).alias("base"), candidates(text).alias("tokens")))
 
 
 def spans_text(spans: Column) -> Column:
