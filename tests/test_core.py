@@ -273,3 +273,13 @@ def test_registered_resampling_can_reject(spark):
     stats = spark.createDataFrame([("x", "a", str(i), 1.0, 1) for i in range(20)], "dimension string, role string, document_id string, s double, n long")
     p = stability.sign_flip_p(stats, ["dimension", "role"], iterations=catalog.ITERATIONS).first()
     assert p["p_one_sided"] < stability.ALPHA
+
+
+def test_registered_variants_are_whole(spark, tmp_path):
+    from veilmark.plans import catalog
+
+    assert catalog.PLAN == perturb.Plan()
+    orders = [(7, 3, "1995-01-02"), (8, 21, "2001-05-06")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in catalog.year_shift_all_variants(spark, str(tmp_path)).collect())
+    assert got == sorted((k, z, f"{z} and ({z + c % 20}) not {k + 100000}") for k, c, d in orders for z in range(1980, 2051) if z != int(d[:4]))

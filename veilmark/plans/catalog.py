@@ -21,8 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 LOOKUPS = N.Lookups(derived.PREFIXES, derived.FIRST_NAMES, derived.SURNAMES, derived.INTERFIXES, ["Berg", "Velde"])
-#: The variants that the registered queries make.
-PLAN = perturb.Plan(year_step=10, trials=5)
+#: The variants that the registered queries make: all of the default plan.
+PLAN = perturb.Plan()
 #: Iterations of the registered resampling queries and of their SQL; the default of the operators.
 ITERATIONS = 10_000
 _V = sql.variants(PLAN.year_min, PLAN.year_max, PLAN.year_step, PLAN.trials, PLAN.seed)
@@ -328,6 +328,15 @@ def year_shift_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("shifted", T.years_shifted(F.col("t"), F.col("target_year") - first)).where("shifted <> t").select("o_orderkey", "target_year", "shifted")
 
 
+@register(None)
+def year_shift_all_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``year_shift_variants``, whose SQL is of ten years, for every year of the plan; checked by a brute-force test."""
+    years = F.sequence(F.lit(PLAN.year_min), F.lit(PLAN.year_max), F.lit(PLAN.year_step))
+    rows = _year_texts(spark, sf_dir).withColumn("target_year", F.explode(years))
+    first = F.get(T.years(F.col("t")), F.lit(0))
+    return rows.withColumn("shifted", T.years_shifted(F.col("t"), F.col("target_year") - first)).where("shifted <> t").select("o_orderkey", "target_year", "shifted")
+
+
 @register(_V + "SELECT document_id, span_index, value AS profile, repl AS rendered FROM v WHERE dimension = 'date_format'")
 def date_format_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _variants(spark, sf_dir).where("target.dimension = 'date_format'").select("document_id", "target.span_index", F.col("target.dimension_value").alias("profile"), F.col("target.text").alias("rendered"))
