@@ -226,6 +226,23 @@ def test_url_template_rejects_what_its_labels_reject(spark):
     assert got[999] == (None, "block") and got[0] == (None, "allow")
 
 
+def test_url_templates_whole(spark):
+    rules = [("block", "h.com", "/ads/a"), ("allow", "h.com", "/news/a"), ("block", "k.com", "/a/b/c/d/e/bad/x"), ("allow", "k.com", "/a/b/c/d/e/good/x"), ("block", "big.com", "/few/a"), ("allow", "big.com", "/b")]
+    # 100 blocked, 70 unlabelled: the labelled ones decide
+    rows = [(i, f"http://h.com/ads/{'a' if i < 100 else 'z'}{i}") for i in range(170)] + [(200 + i, f"http://h.com/news/a{i}") for i in range(100)]
+    # the branches part at the sixth segment
+    rows += [(1000 + i, f"http://k.com/a/b/c/d/e/{'bad' if i % 2 else 'good'}/{'x' if i % 40 > 1 else 'z'}{i}") for i in range(400)]
+    # a branch of one in a hundred rows of its host
+    rows += [(2000 + i, f"http://big.com/b{i % 10}/{i}") for i in range(2970)] + [(6000 + i, f"http://big.com/few/{'a' if i else 'z'}{i}") for i in range(30)]
+    rows += [(9999, "http://deep.com/" + "/".join(map(str, range(300))))]
+    got = {r["page_id"]: r for r in op5_url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert len(got) == len(rows)
+    assert (got[150]["rule"], got[150]["verdict"], got[150]["template"]) == (None, "block", "/ads/*") and got[150]["purity"] == pytest.approx(102.5 / 105)
+    assert (got[1001]["rule"], got[1001]["verdict"], got[1001]["template"]) == (None, "block", "/*/*/*/*/*/bad/*") and got[1000]["verdict"] == "allow"
+    assert (got[6000]["rule"], got[6000]["verdict"], got[6000]["template"]) == (None, "block", "/few/*") and got[2000]["verdict"] == "allow"
+    assert got[9999]["template"] == "/*" * 300 and got[9999]["purity"] == 0.5
+
+
 def test_sharding_law_and_places(spark, docs, none):
     rows = [(i, prose(i, 5 + i % 90)) for i in range(3000)]
     got = op6_sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, 512).toPandas()

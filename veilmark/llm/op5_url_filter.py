@@ -7,6 +7,8 @@ segments and statistically similar branches alike, merge into a wildcard.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .common import settle, table
 
 #: (verdict, host, path); fixed values of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DEPTH, MIN_ROWS, MIN_SHARE, Z, PRIOR_ROWS, PURITY = 4, 5, 0.02, 2.0, 5, 0.8
+MIN_ROWS, Z, PRIOR_ROWS, PURITY = 5, 2.0, 5, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,37 +38,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template) of every distinct (host, path); ``urls`` has host, path and verdict (null: unlabelled).
 
-    Everything beyond ``depth`` segments is one last segment. Counts are combined before each shuffle, by host, parent
-    and segment, so a host with very many urls is spread over its segments.
+    Counts are combined before each shuffle, by host, parent and segment, so a host with very many urls is spread over its
+    segments. Below a parent of few rows, or whose rows are all labelled alike, nothing can differ: its paths are
+    finished at once, and levels are worked on only as far as some parent is still open.
     """
+    counts = ("n", "block", "allow")
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow"))
-    state = settle(paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/", depth)).withColumn("template", F.lit("")))
-    key = ["host", "template", "segment"]
-    for level in range(depth):
-        state = state.withColumn("segment", F.get("segments", F.lit(level)))
-        branch = state.where("segment is not null").groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "block", "allow")])
-        parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "block", "allow")])
-
-        def differs(c: str) -> Column:
-            share = F.col(f"all_{c}") / F.col("all_n")
-            spread = F.sqrt(share * (1 - share) / F.col("n"))
-            return (spread > 0) & (F.abs(F.col(c) / F.col("n") - share) >= Z * spread)
-
-        frequent = (F.col("n") >= MIN_ROWS) & (F.col("n") >= MIN_SHARE * F.col("all_n"))
-        literal = branch.join(parent, ["host", "template"]).where(frequent & (differs("block") | differs("allow"))).select(*key, F.lit(True).alias("literal"))
-        token = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*")))
+    state = settle(paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/", -1)).withColumn("template", F.lit("")))
+    key, level, finished = ["host", "template", "segment"], 0, []
+
+    def mixed(c: str) -> Column:
+        return (F.col(f"all_{c}") > 0) & (F.col(f"all_{c}") < F.col("all_n"))
+
+    def differs(c: str) -> Column:
+        share = F.col(f"all_{c}") / F.col("all_n")
+        spread = F.sqrt(share * (1 - share) / F.col("n"))
+        return (spread > 0) & (F.abs(F.col(c) / F.col("n") - share) >= Z * spread)
+
+    while True:
+        parent = state.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
+        still = parent.where((F.col("all_n") >= MIN_ROWS) & (mixed("block") | mixed("allow"))).select("host", "template", F.lit(True).alias("still"))
+        more = F.coalesce(F.col("still") & (F.size("segments") > level), F.lit(False))
+        marked = settle(state.join(still, ["host", "template"], "left").withColumn("more", more).drop("still"))
+        rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))
+        finished.append(marked.where("not more").select("host", "path", F.concat("template", rest).alias("template"), *counts))
+        state = marked.where("more").drop("more").withColumn("segment", F.get("segments", F.lit(level)))
+        if state.isEmpty():
+            break
+        branch = state.groupBy(*key).agg(*[F.sum(c).alias(c) for c in counts])
+        parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
+        literal = branch.where(F.col("n") >= MIN_ROWS).join(parent, ["host", "template"]).where(differs("block") | differs("allow")).select(*key, F.lit(True).alias("literal"))
+        token = F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
         state = settle(state.join(literal, key, "left").withColumn("template", F.concat("template", token)).drop("segment", "literal"))
-    return state.select("host", "path", "template", "n", "block", "allow")
+        level += 1
+    return reduce(DataFrame.unionByName, finished)
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity: a row for each input row (page_id, url).
 
-    Null urls and urls without ``://`` have an empty host and path and are judged as such. A template is rejected if its
-    blocked share, with unlabelled urls and PRIOR_ROWS more counted as one half, reaches PURITY; without labels nothing is.
+    Null urls and urls without ``://`` have an empty host and path and are judged as such. A template is rejected if the
+    blocked share of its labelled urls, with PRIOR_ROWS more counted as one half, reaches PURITY; without labels nothing is.
     Ties between rules of equal length go to the later one in the list. Other columns are ignored.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -74,8 +89,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     parsed = parsed.withColumn("rule", rule).withColumn("said", said)
     paths = templates(parsed.select("host", "path", F.col("said").alias("verdict")))
     sums = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "block", "allow")])
-    neutral = F.col("n") - F.col("block") - F.col("allow") + PRIOR_ROWS
-    judged = sums.select("host", "template", ((F.col("block") + neutral / 2) / (F.col("n") + PRIOR_ROWS)).alias("purity"))
+    judged = sums.select("host", "template", ((F.col("block") + PRIOR_ROWS / 2) / (F.col("block") + F.col("allow") + PRIOR_ROWS)).alias("purity"))
     found = paths.select("host", "path", "template").join(judged, ["host", "template"])
     method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return parsed.join(found, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "purity")
