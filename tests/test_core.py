@@ -283,3 +283,14 @@ def test_registered_variants_are_whole(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted(tuple(r) for r in catalog.year_shift_all_variants(spark, str(tmp_path)).collect())
     assert got == sorted((k, z, f"{z} and ({z + c % 20}) not {k + 100000}") for k, c, d in orders for z in range(1980, 2051) if z != int(d[:4]))
+
+
+def test_recall_rows_have_intervals(spark):
+    r = random.Random(8)
+    rows = [(str(d), "name", "x", "v", s) for d in range(40) for s in [r.choice([0.0, 1.0]) for _ in range(r.randrange(1, 4))]]
+    frame = spark.createDataFrame(rows, "document_id string, kind string, dimension string, dimension_value string, score double").withColumn("outcome", F.when(F.col("score") == 0, "missed").otherwise("full"))
+    got = stability.recalls_with_intervals(frame, "kind", "dimension", "dimension_value").first()
+    docs = [[s for d, *_, s in rows if d == str(i)] for i in range(40)]
+    taken = [[docs[r.randrange(40)] for _ in docs] for _ in range(10_000)]
+    means = sorted(sum(map(sum, t)) / sum(map(len, t)) for t in taken)
+    assert got["lower"] == pytest.approx(means[249], abs=0.01) and got["upper"] == pytest.approx(means[9749], abs=0.01)

@@ -70,10 +70,12 @@ def analyze(spark: SparkSession, settings: config.Settings, only: list[str] | No
         joined = stability.with_predictions(variants, spark.read.parquet(str(path)))
         for level in ("category", "label"):
             rows = stability.scored(joined, level)
-            stability.recalls(rows, "kind", "role", "dimension", "dimension_value").withColumn("level", F.lit(level)).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{model.id}.{level}.recall")
+            pooled = stability.recalls_with_intervals(rows, "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
+            pooled.withColumn("level", F.lit(level)).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{model.id}.{level}.pooled_recall")
+            stability.recalls_with_intervals(rows, "kind", "role", "dimension", "dimension_value").withColumn("level", F.lit(level)).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{model.id}.{level}.recall")
             paired = stability.pairs(rows)
             stats = stability.clusters(paired, ["dimension", "role"], F.col("original") - F.col("transformed"))
-            cells: DataFrame = stability.degradation(paired).join(stability.sign_flip_p(stats, ["dimension", "role"], settings.plan.seed), ["dimension", "role"])
+            cells: DataFrame = stability.degradation(paired).join(stability.sign_flip_p(stats, ["dimension", "role"], settings.plan.seed), ["dimension", "role"]).join(stability.intervals(stats, ["dimension", "role"], settings.plan.seed), ["dimension", "role"])
             cells.write.mode("overwrite").parquet(f"{settings.output_dir}/{model.id}.{level}.degradation")
             if level == "category":
                 text = report.stability_report(model.id, stability.baseline(rows).first(), [r.asDict() for r in cells.collect()])

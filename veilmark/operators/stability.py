@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -201,6 +202,35 @@ def cluster_bootstrap(stats: DataFrame, keys: list[str], seed: int = 42, iterati
     return ordered.select(*keys, F.get("means", F.lit(low)).alias("lower"), F.get("means", F.lit(high)).alias("upper"))
 
 
+def intervals(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
+    """The interval of ``cluster_bootstrap`` for many cells: documents with equal sums are drawn by their number.
+
+    How often each kind of document is drawn is multinomial, so the means have the same distribution as when documents are
+    drawn one by one, with other seeded values. A task holds the distinct sums of a cell.
+    """
+    kinds = stats.select(*keys, F.round("s", 9).alias("s"), F.col("n").cast("long").alias("n")).groupBy(*keys, "s", "n").agg(F.count("*").alias("times"))
+
+    def bounds(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["s", "n"])
+        cell = tuple(part[k].iloc[0] for k in keys)
+        rng = np.random.default_rng(list(hashlib.md5(_before(seed, cell).encode()).digest()))
+        times, s, n = (part[c].to_numpy(float) for c in ("times", "s", "n"))
+        means = []
+        for at in range(0, iterations, 100):
+            drawn = rng.multinomial(int(times.sum()), times / times.sum(), min(100, iterations - at))
+            means.append((drawn @ s) / (drawn @ n))
+        ordered = np.sort(np.round(np.concatenate(means), 9))
+        return pd.DataFrame([(*cell, ordered[int(0.025 * (iterations - 1))], ordered[int(0.975 * (iterations - 1))])], columns=[*keys, "lower", "upper"])
+
+    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
+    return kinds.groupBy(*keys).applyInPandas(bounds, f"{fields}, lower double, upper double")
+
+
+def recalls_with_intervals(rows: DataFrame, *keys: str) -> DataFrame:
+    """``recalls`` with ``lower`` and ``upper`` of the full plus partial recall, documents drawn whole."""
+    return recalls(rows, *keys).join(intervals(clusters(rows, list(keys), F.col("score")), list(keys)), list(keys))
+
+
 def benjamini_hochberg(cells: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
     """Adds ``q``: adjusted p-values within each family. Values outside [0, 1] are an error; ties follow ``order``."""
     checked = cells.withColumn(p, F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.lit("p-values must lie in [0, 1]")).cast("double")))

@@ -459,6 +459,17 @@ def pooled_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.recalls(scored(spark, sf_dir), "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
 
 
+@register(None)
+def recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``recall_by_dimension`` with their intervals; a test holds them to plain resampling."""
+    return stability.recalls_with_intervals(scored(spark, sf_dir), "kind", "role", "dimension", "dimension_value")
+
+
+@register(None)
+def pooled_recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stability.recalls_with_intervals(scored(spark, sf_dir), "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
+
+
 @register(_SCORED + f"SELECT kind, role, dimension, {_COUNTS} FROM sc GROUP BY kind, role, dimension")
 def dimension_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.pooled_over_values(stability.recalls(scored(spark, sf_dir), "kind", "role", "dimension", "dimension_value"))
