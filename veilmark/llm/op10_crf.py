@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, labelled_sample, table
 
-#: The bounded sample that is fitted on: documents of each class, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 6000
+#: The bounded sample that is fitted on: whole documents of each class.
+SAMPLE_DOCS = 600
+#: Lines of one training sequence; a document of more lines is learnt whole, as several sequences.
+CHAIN = 64
 THRESHOLD = 0.7
 _CLASSES = 9  # 0 space, 1 lower case and other letters, 2 upper case, 3 digit, 4 symbol, 5 bar, 6 exclamation mark, 7 other marks, 8 later bytes of a character
 _CLASS = np.array(
@@ -84,22 +86,29 @@ def marginals(emission: np.ndarray, same: tuple[float, float]) -> np.ndarray:
     return np.array(out)
 
 
+def chains(features: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """All lines of all documents as sequences of at most CHAIN lines, with each sequence's label and lines of its document."""
+    cut = [(f[i : i + CHAIN], y, len(f)) for f, y in zip(features, labels, strict=True) for i in range(0, len(f), CHAIN)]
+    return [c[0] for c in cut], np.array([c[1] for c in cut], int), np.array([c[2] for c in cut], int)
+
+
 def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 150) -> np.ndarray:
     """Weights of the line features, then the two transition scores, by Adam on the regularised likelihood.
 
-    Every line of a document carries the document's label. Sequences are padded and all documents advance together.
+    Every line of a document carries the document's label. Sequences are padded and all advance together.
     """
     out = np.zeros(WIDTH + 2)
     if not features or len(set(labels.tolist())) < 2:
         return out
+    good_docs, bad_docs = (labels == 1).sum(), (labels == 0).sum()
+    features, labels, lines = chains(features, labels)
     n, longest = len(features), max(map(len, features))
     x = np.zeros((n, longest, WIDTH))
     real = np.zeros((n, longest), bool)
     for i, f in enumerate(features):
         x[i, : len(f)], real[i, : len(f)] = f, True
     y = np.repeat(labels[:, None] == 1, longest, axis=1)
-    lines = real.sum(axis=1)
-    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / np.sqrt(lines)
+    weight = np.where(labels == 1, 0.5 / good_docs, 0.5 / bad_docs) / np.sqrt(lines)
     first, second = np.zeros_like(out), np.zeros_like(out)
     for step in range(1, steps + 1):
         w, (gg, bb) = out[:WIDTH], np.clip(out[WIDTH:], -20, 20)
@@ -123,15 +132,15 @@ def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 150) -> n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, max_lines: int = 60) -> np.ndarray:
-    """Fit in one task on the bounded sample (also of lines of each document); the driver gets the few weights."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> np.ndarray:
+    """Fit in one task on the line features of the bounded sample's whole documents; the driver gets the few weights."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"text": [], "label": []}), *batches]).sort_values(["text", "label"], kind="stable")
-        w = train([line_features(t)[0][:max_lines] for t in rows["text"]], rows["label"].to_numpy(int))
+        w = train([line_features(t)[0] for t in rows["text"]], rows["label"].to_numpy(int))
         yield pd.DataFrame({"w": [w]})
 
-    found = labelled_sample(docs, labels, "quality", per_class, chars).repartition(1).mapInPandas(run, "w array<double>").first()
+    found = labelled_sample(docs, labels, "quality", per_class).repartition(1).mapInPandas(run, "w array<double>").first()
     return np.zeros(WIDTH + 2) if found is None else np.array(found["w"])
 
 
@@ -166,4 +175,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

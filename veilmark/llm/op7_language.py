@@ -1,30 +1,28 @@
 """Language identification by cross-parsing: the fewest phrases of labelled text that a text falls into.
 
 A suffix automaton of each language's sample accepts exactly the sample's substrings, so walking it gives the longest
-match at every point. Words (with the space around them) are parsed one by one, which lets a task remember the phrase
-counts of the words it has seen; the phrases of a text are those of its words.
+match at every point. Whole texts are parsed, in lower case, with all their characters; phrases run across words.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, smallest_hashes, table
+from .common import below, crc_mod, table
 
-#: The bounded sample: texts for each language, and characters of each text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 50, 800
-_WORD = re.compile(r"[^\W\d_]+")
-_FIELD = 40
+#: The bounded sample. Learnt texts are cut into pieces of PIECE characters over their whole length, each with the same chance:
+#: at most PIECES pieces for a language, and ALL_PIECES for all of them together (of more languages each has fewer).
+PIECE, PIECES, ALL_PIECES = 200, 200, 3200
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the smallest automaton that accepts the substrings of ``text``; state 0 is the start."""
+def suffix_automaton(text: str) -> dict:
+    """The start of the smallest automaton that accepts the substrings of ``text``; a state maps characters to states."""
     step: list[dict[str, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -50,58 +48,47 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return step
+    for state in step:  # places become the states themselves, which a walk follows faster
+        for c, after in state.items():
+            state[c] = step[after]
+    return step[0]
 
 
-def phrases(step: list[dict[str, int]], text: str) -> int:
+def phrases(start: dict, text: str) -> int:
     """Phrases of the greedy parse: longest substrings of the sample, or single unseen characters."""
-    count = state = 0
+    count, state, begins = 0, start, start.get
     for c in text:
-        after = step[state].get(c)
+        after = state.get(c)
         if after is None:
-            count += state > 0
-            after = step[0].get(c)
+            count += state is not start
+            after = begins(c)
             if after is None:
                 count += 1
-                after = 0
+                after = start
         state = after
-    return count + (state > 0)
+    return count + (state is not start)
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-class PhraseCounts(dict):
-    """Phrase counts of words for all languages, packed in one integer; remembered up to a bound."""
-
-    def __init__(self, samples: list[str]):
-        super().__init__()
-        self.automata = [suffix_automaton(s) for s in samples]
-
-    def __missing__(self, word: str) -> int:
-        padded = f" {word} "
-        value = sum(phrases(a, padded) << (_FIELD * i) for i, a in enumerate(self.automata))
-        if len(word) <= 48:
-            if len(self) > 200_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
-def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+def learn(docs: DataFrame) -> list[tuple[str, str]]:
     """(language, sample) for every non-null language of ``docs`` (text, lang), sorted by language.
 
-    The sample holds the ``texts`` distinct texts of smallest hash, each cut to ``chars`` characters: a documented bound
-    on what is fitted on and collected. Equal texts count once, so a large group of copies cannot fill it.
+    The sample holds the distinct pieces of smallest hash: the documented bound on what is fitted on and collected. Equal
+    pieces count once, so a large group of copies cannot fill it.
     """
-    known = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
-    chosen = smallest_hashes(known.select("lang", "h").distinct(), "lang", "h", texts)  # bounded: texts rows for each language
-    rows = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
-        samples.setdefault(r["lang"], []).extend(words_of(r["text"]))
-    return [(lang, " ".join(["", *words, ""])) for lang, words in samples.items() if words]
+    known = docs.where("text is not null and lang is not null").select("lang", F.lower("text").alias("text"))
+    counts = known.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / PIECE)).alias("n"))
+    most = max(1, min(PIECES, ALL_PIECES // max(1, counts.count())))
+    pieces = known.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece"))
+    pieces = pieces.withColumn("h", F.xxhash64("piece")).where(below(counts, "lang", "h", 8 * most))  # room for copies
+    first = pieces.groupBy("lang", "h").agg(F.min("piece").alias("piece")).groupBy("lang")
+    found = first.agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "piece"))), 1, most)["piece"].alias("pieces")).orderBy("lang").collect()
+    return [(r["lang"], "\n".join(r["pieces"])) for r in found if any(r["pieces"])]
+
+
+@lru_cache(2)
+def _automata(samples: tuple[str, ...]) -> list[dict]:
+    """One automaton for each sample, kept by a Python worker from task to task."""
+    return [suffix_automaton(s) for s in samples]
 
 
 def predictor(model: list[tuple[str, str]]):
@@ -113,21 +100,18 @@ def predictor(model: list[tuple[str, str]]):
     """
     langs = [lang for lang, _ in model]
     bits = [math.log2(len(sample) + 1) for _, sample in model]
-    mask = (1 << _FIELD) - 1
 
     @F.pandas_udf("lang_pred string, score double, rate double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counts = PhraseCounts([sample for _, sample in model])
+        automata = _automata(tuple(sample for _, sample in model))
         for batch in texts:
             rows = []
             for text in batch:
-                words = words_of(text or "")
                 if not langs or not any(map(str.isalpha, text or "")):
                     rows.append(("und", 0.0, None))
                     continue
-                total = sum(map(counts.__getitem__, words))
-                size = sum(map(len, words)) + len(words)
-                rates = [((total >> (_FIELD * i)) & mask) * b / size for i, b in enumerate(bits)]
+                low = text.lower()
+                rates = [phrases(a, low) * b / len(low) for a, b in zip(automata, bits, strict=True)]
                 best = min(range(len(langs)), key=rates.__getitem__)
                 share = [(rates[best] / r) ** 4 for r in rates]
                 rows.append((langs[best], 1 / sum(share), rates[best]))
@@ -148,4 +132,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
     return identify(table(spark, sf_dir, "documents"))
