@@ -148,6 +148,96 @@ def test_pii_context_finds_other_forms(spark):
     assert not any(got[i] for i in [*range(60), *range(100, 120), 500, 501, 502])
 
 
+def accepted(seeds, unseen, support=3, trusted=0.8):
+    """The graph scored with plain dicts: sets of (kind, before, value)."""
+    scores = {}
+    while True:
+        score = {**{(k, v): s for (k, v), s in scores.items()}}
+        known = {(k, b) for k, b, _ in seeds} | {(k, b) for k, b, v in unseen if score.get((k, v), 0) >= trusted}
+        held = [(k, b, v) for k, b, v in unseen if (k, b) in known]
+        marks = collections.defaultdict(list)
+        for k, b, v in held:
+            marks[k, b].append(score.get((k, v), 0.0))
+        for k, b, _ in seeds:
+            marks[k, b].append(1.0)
+        good = {p: min(sum(m) / len(m), 0.999) for p, m in marks.items() if sum(x >= trusted for x in m) >= support}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for k, b, v in held:
+            if (k, b) in good:
+                doubt[k, v] *= 1 - good[k, b]
+        new = {key: round(1 - d, 2) for key, d in doubt.items()}
+        if new == scores:
+            return {(k, b, v) for k, b, v in held if scores.get((k, v), 0) >= trusted and good.get((k, b), 0) >= trusted}
+        scores = new
+
+
+def test_pii_bootstrap_against_brute_force(spark):
+    r = random.Random(31)
+    for seed in range(3):
+        pairs = lambda n, values: sorted({(r.randrange(2), f"p{r.randrange(9)}", f"v{r.randrange(values)}") for _ in range(n)})
+        seeds, unseen = pairs(40 + 20 * seed, 30), [(k, b, "u" + v) for k, b, v in pairs(25, 12)]
+        columns = "kind int, before string, value string"
+        got = op2_pii.bootstrapped(spark.createDataFrame(seeds, columns), spark.createDataFrame(unseen, columns)).collect()
+        assert {tuple(x) for x in got} == accepted(seeds, unseen)
+
+
+def test_pii_recall_of_planted_identifiers(spark):
+    """Unseen forms of all kinds after cues that seeds have, in random prose; the same forms without cues stay."""
+    r = random.Random(37)
+    digits = lambda n: "".join(str(r.randrange(10)) for _ in range(n))
+    cues = {
+        "email": ["write to", "mail me", "contact address:"],
+        "ip": ["server address", "logged from", "host at"],
+        "card": ["card number", "account number", "paid with"],
+        "phone": ["call me", "phone number", "reach her"],
+        "secret": ["token =", "api key", "password is"],
+    }
+    seed = {
+        "email": lambda: f"{r.choice(WORDS)}.{digits(4)}@{r.choice(WORDS)}.example.com",
+        "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+        "card": lambda: r.choice([c for c in ("4" + digits(15) for _ in range(60)) if base(c) and base(c)[0][0] == "card"]),
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        "secret": lambda: '"' + sha(digits(9))[:40] + '"',
+    }
+    unseen = {
+        "email": lambda: r.choice([f"{r.choice(WORDS)}{digits(3)} at {r.choice(WORDS)} dot example dot com", f"{r.choice(WORDS)}{digits(3)} [at] mail.example.com"]),
+        "ip": lambda: r.choice([f"{r.randrange(300, 999)}.{digits(2)}.{digits(2)}.{digits(2)}", f"{digits(2)}[.]{digits(2)}[.]{digits(2)}[.]{digits(2)}"]),
+        "card": lambda: r.choice([f"{digits(4)} {digits(4)} {digits(2)}", f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"]),
+        "phone": lambda: r.choice([f"0{digits(2)} {digits(3)} {digits(4)}", f"(0{digits(3)}) {digits(6)}"]),
+        "secret": lambda: r.choice(["sk-" + digits(6) + "aZq" + digits(4), "Zx9" + digits(3) + "!pass" + digits(2)]),
+    }
+    rows, planted = [], {}
+    for kind, words in cues.items():
+        for i in range(60):
+            rows.append((len(rows), f"{prose(len(rows), 20)} {r.choice(words)} {seed[kind]()} {prose(len(rows) + 1, 10)}"))
+        for i in range(15):
+            head, value = f"{prose(len(rows), 20)} {r.choice(words)} ", unseen[kind]()
+            planted[len(rows)] = (kind, len(head), len(head) + len(value))
+            rows.append((len(rows), f"{head}{value} {prose(len(rows) + 1, 10)}"))
+            rows.append((len(rows), f"{prose(len(rows), 20)} {unseen[kind]()} {prose(len(rows) + 1, 10)}"))
+    found = op2_pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x["doc_id"], op2_pii.ALL_KINDS[s["kind"]], s["start"], s["stop"]) for x in found for s in x["added"]}
+    seeds = {(x["doc_id"]) for x in found if any(s["kind"] == 4 for s in x["added"])} - set(planted)
+    hits = {(i, *p) for i, p in planted.items()} & got
+    wrong = [g for g in got if g[0] not in planted and g[0] not in seeds]
+    assert len(hits) >= 0.9 * len(planted), (len(hits), len(planted))
+    assert len(wrong) <= 0.05 * len(hits), wrong
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (8_000, 32_000):
+        frame = spark.createDataFrame([(1, " ".join(["x1 a@b.c"] * (n // 2)))], "doc_id long, text string")
+        start = time.time()
+        assert frame.select(F.size(op2_pii.base_spans(F.col("text"))).alias("b"), F.size(op2_pii.candidates(F.col("text"))).alias("c")).first()["b"] == n // 2
+        redacted = op2_pii.redacted(F.col("text"), op2_pii.places(op2_pii.base_spans(F.col("text"))))
+        assert frame.select(redacted.alias("r")).first()["r"] == " ".join(["x1 [EMAIL]"] * (n // 2))
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0] + 5
+
+
 def contaminated(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = words(text), set(), set()
@@ -278,7 +368,7 @@ def test_language_parse_and_prediction(spark, docs, none):
         while i < len(text):
             n = max((n for n in range(1, len(text) - i + 1) if text[i : i + n] in sample), default=1)
             count, i = count + 1, i + n
-        assert op7_language.phrases(step, text) == count
+        assert op7_language.phrases(step, text) == count, text
     rows = [(i, prose(i, 50) if i % 2 else " ".join(w[::-1] for w in prose(i, 50).split()), "en" if i % 2 else "ne", None) for i in range(200)]
     got = op7_language.identify(spark.createDataFrame(rows, DOCS)).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
