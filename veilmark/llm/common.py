@@ -60,14 +60,19 @@ def joined_hash(parts: Column) -> Column:
 BLOCK = 256
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def blocks(items: Column, size: int = BLOCK) -> Column:
     """An array cut into arrays of ``size`` elements; one empty array if there are none."""
 
-    def cut(whole: Column) -> Column:  # ``items`` is worked out once, not for each block
+    def cut(whole: Column) -> Column:
         last = F.floor((F.greatest(F.size(whole), F.lit(1)) - 1) / size).cast("int")
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * size + 1, size))
 
-    return F.get(F.transform(F.array(items), cut), F.lit(0))
+    return let(items, cut)
 
 
 def running(items: Column, start: Column, empty: Column, state: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column]) -> Column:

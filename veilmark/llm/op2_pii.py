@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, running, settle, stored, table
+from .common import blocks, let, running, settle, stored, table
 
 #: The kinds with base patterns, and the kind that only the method finds.
 KINDS = ["email", "ip", "card", "phone"]
@@ -32,14 +32,15 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Seeds of secrets: 32 and more characters of a digest or key, which mix letters with digits.
 SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[a-f]*+[0-9])(?=[0-9]*+[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9+/_=-])"
-#: A white-space delimited token with a digit or an at sign.
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: At the same places, that token with up to five words after it.
-_RUN = r"(?<!\S)(?=([^\s0-9@]*+[0-9@]\S*+(?:\s\S++){0,5}))"
+#: A white-space delimited token from its first digit or at sign on, with up to five words after it.
+_TOKEN = r"[0-9@]\S*+"
+_AFTER = r"[0-9@]\S*+(?=((?:\s\S++){0,5}+))"
 #: An address with its at sign, and perhaps its dots, in words or set apart.
 _SPELT = r"(?i)(?<!\S)[a-z0-9._%+-]++(?:\s?[\[(]\s?(?:at|@)\s?[\])]\s?|\s(?:at|@)\s|@\s|\s@)[a-z0-9-]++(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9-]++)++"
+#: What a text must hold before that is tried.
+_MAY_BE_SPELT = r"@|\s[aA][tT]\s|[\[(]\s?[aA][tT]"
 #: What may open and close a quoted identifier; it is not part of the identifier.
-_OPEN, _END = r"^([\"'<\[]*+)", r"(?=[.,;:!?)\]\"'>]*+(?:\s|$))"
+_OPEN, _END = r"^[\"'<\[]*+", r"(?=[.,;:!?)\]\"'>]*+(?:\s|$))"
 #: Loose forms of the kinds, longest first; what an unseen identifier must look like at the start of a run.
 LOOSE = {
     "email": _OPEN + r"([^\s@]++@[^\s@]*[^\s@.,;:!?)\]\"'>])",
@@ -65,37 +66,58 @@ def _before(gap: Column, first: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(words, r"\s++", " "), r"[^ 0-9@#]*+[0-9@#][^ ]*+", "#")
 
 
-def _found(text: Column, pattern: str, values: Column | None = None) -> Column:
-    """Every match with its place in code points and the words before it.
+def _found(text: Column, pattern: str, after: str | None = None) -> Column:
+    """Every match of ``pattern`` with its place in code points and the words before it.
 
-    ``values``, one for each match, stand in for the matched texts.
+    With ``after``, a pattern of the same matches, each match is widened to the left up to white space, and its value goes on
+    with the first group of ``after``.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    values = matches if values is None else values
-    pairs = F.transform(F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value")), lambda x, i: F.struct(x["gap"].alias("gap"), F.length(x["gap"]).alias("skip"), F.length(x["match"]).alias("n"), x["value"].alias("value"), (i == 0).alias("first")))
+    wide = after is not None
 
-    def span(at: Column, x: Column) -> Column:
-        start = at + x["skip"]
-        return F.struct(start.alias("start"), (start + x["n"]).alias("stop"), x["value"].alias("value"), _before(x["gap"], x["first"]).alias("before"))
+    def parts(gap: Column, match: Column, more: Column, first: Column) -> Column:
+        lead = F.reverse(F.regexp_extract(F.reverse(gap), r"^\S++", 0)) if wide else F.lit("")
 
-    return running(pairs, F.lit(0), F.array().cast(f"array<{_SPAN}>"), lambda at, x: at + x["skip"] + x["n"], span)
+        def struct(lead: Column) -> Column:
+            rest = F.substring(gap, F.lit(1), F.length(gap) - F.length(lead)) if wide else gap
+            value = F.concat(lead, match, more) if wide else match
+            return F.struct(F.length(rest).alias("skip"), (F.length(lead) + F.length(match)).alias("n"), value.alias("value"), _before(rest, first).alias("before"))
+
+        return let(lead, struct)
+
+    def spans(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        more = F.regexp_extract_all(text, F.lit(after), F.lit(1)) if wide else matches
+        zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), more.alias("more"))
+        pairs = F.transform(zipped, lambda x, i: parts(x["gap"], x["match"], x["more"], i == 0))
+
+        def span(at: Column, x: Column) -> Column:
+            start = at + x["skip"]
+            return F.struct(start.alias("start"), (start + x["n"]).alias("stop"), x["value"].alias("value"), x["before"].alias("before"))
+
+        none = F.array().cast(f"array<{_SPAN}>")
+        return F.when(F.size(matches) == 0, none).otherwise(running(pairs, F.lit(0), none, lambda at, x: at + x["skip"] + x["n"], span))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, stop, value, before>>: what looks like an identifier, by the loose forms of all kinds."""
 
     def of_kind(kind: int, span: Column) -> Column:
-        value, start = F.regexp_extract(span["value"], LOOSE[ALL_KINDS[kind]], 2), span["start"] + F.length(F.regexp_extract(span["value"], LOOSE[ALL_KINDS[kind]], 1))
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), span["before"].alias("before"))
+        def cut(whole: Column) -> Column:
+            value = F.ltrim(whole, F.lit("\"'<["))
+            start = span["start"] + F.length(whole) - F.length(value)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), span["before"].alias("before"))
+
+        return let(F.regexp_extract(span["value"], LOOSE[ALL_KINDS[kind]], 0), cut)
 
     def of_run(span: Column) -> Column:
         return F.filter(F.array(*[of_kind(i, span) for i in range(len(ALL_KINDS))]), lambda c: c["value"] != "")
 
-    runs = F.flatten(F.transform(_found(text, _TOKEN, F.regexp_extract_all(text, F.lit(_RUN), F.lit(1))), of_run))
+    runs = F.flatten(F.transform(_found(text, _TOKEN, _AFTER), of_run))
     spelt = F.transform(_found(text, _SPELT), lambda s: _as_kind(0, s))
     none = F.array().cast(_NO_SPANS)
-    return F.concat(F.when(text.rlike("[0-9@]"), runs).otherwise(none), F.when(text.rlike(r"(?i)@|\sat\s|[\[(]\s?at"), spelt).otherwise(none))
+    return F.concat(F.when(text.rlike("[0-9@]"), runs).otherwise(none), F.when(text.rlike(_MAY_BE_SPELT), spelt).otherwise(none))
 
 
 def _as_kind(number: int, span: Column) -> Column:
