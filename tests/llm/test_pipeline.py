@@ -44,6 +44,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             text = text[:start] + f"[{kind.upper()}]" + text[stop:]
         return text
 
+    assert all(x["lang"] == "en" for x in kept["language_id"])
     want = sorted((*x[:2], redacted(x[2])) for x in want)
     assert sorted(map(key, kept["pii"])) == want and any("[EMAIL]" in x[2] for x in want)
     lib = sentencepiece.SentencePieceProcessor(model_proto=corpus_pipeline.model_bytes())
@@ -56,3 +57,18 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_are_handed_on(spark, tmp_path):
+    """Extra columns with the names of helper columns stay as they are in every stage."""
+    extra = ["key", "_key", "_added", "_row", "_spans", "row", "spans", "said", "doc", "text_2", "h"]
+    rows = [(i, prose(i, 50) + f" m{i}@mail.example.com", "en", "s", 1, *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = spark.createDataFrame([*rows, rows[0]], COLUMNS + "".join(f", `{c}` string" for c in extra))
+    spark.createDataFrame([(1, prose(900, 40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert len(found) == (6 if name == "simhash_near_dedup" else 7), name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in found for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 7
