@@ -448,7 +448,7 @@ def components(prints):
     return {i: top(i) for i in prints}
 
 
-@pytest.mark.parametrize("bucket", [8192, 3])
+@pytest.mark.parametrize("bucket", [1024, 8, 3])
 def test_simhash_links_lose_none(spark, bucket):
     r = random.Random(13)
     prints = {}

@@ -2,9 +2,10 @@
 
 A pair within ``RADIUS`` differing bits, cut into 13 ring segments, has by the pigeonring principle a start segment from
 which every chain of l consecutive segments differs in at most l * RADIUS / 13 bits. Hence the first three segments of
-that chain are equal and the next three hold at most one difference, so two of those three are equal as well. Each
-fingerprint is indexed under its 13 starts x 3 choices of five equal segments (24 or 25 bits); the whole chain condition
-prunes what meets there, and the full Hamming distance decides.
+that chain are equal, the first six hold at most one difference and the first nine at most two. Each fingerprint is indexed
+under its 13 starts x 3 choices of five equal segments among the first six (24 or 25 bits). Where many fingerprints share
+such a key, the chain is followed to nine segments: 6 choices of seven equal ones (34 or 35 bits). What meets there must
+pass the chain condition at six, nine, twelve and thirteen segments, one after the other; the last is the Hamming distance.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ SHINGLE = 4
 #: Ring segments, low bits first.
 WIDTHS = [5] * 12 + [4]
 SHIFTS = [sum(WIDTHS[:i]) for i in range(13)]
-BUDGETS = np.array([RADIUS * n // 13 for n in range(1, 14)], dtype=np.uint8)
-#: Buckets of more fingerprints are linked through common neighbours instead of compared in one task.
-BUCKET = 8192
+#: Members up to which a key's fingerprints are searched in one task; others take the longer chain first.
+BUCKET = 1024
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -62,81 +62,120 @@ def fingerprint(text: Column) -> Column:
     return apply(text)
 
 
-def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each pair passes the pigeonring chain condition from some start and then the full Hamming check."""
-    x = a ^ b
-    diff = np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in zip(SHIFTS, WIDTHS, strict=True)], axis=1)
-    ring = np.concatenate([diff, diff[:, :-1]], axis=1)
-    passed = np.zeros(len(x), bool)
-    for start in range(13):
-        passed |= (np.cumsum(ring[:, start : start + 13], axis=1) <= BUDGETS).all(axis=1)
-    return passed & (np.bitwise_count(x) <= RADIUS)
+def _chain(start: int, n: int) -> int:
+    """The bits of ``n`` consecutive segments from ``start`` on."""
+    return sum(((1 << WIDTHS[i % 13]) - 1) << SHIFTS[i % 13] for i in range(start, start + n))
 
 
-def forest(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that connect a bucket's fingerprints as all of its close pairs would: a spanning forest, found by search."""
+#: For each start, the chains that are tested beyond those that a key makes equal, and their budgets.
+CHAINS = [[(np.uint64(_chain(start, n)), RADIUS * n // 13) for n in (6, 9, 12, 13)] for start in range(13)]
+
+
+def chained(some: np.ndarray, at: np.uint64, start: int) -> np.ndarray:
+    """Places in ``some`` that pass the chain condition from ``start`` with ``at``; each longer chain sees the survivors only."""
+    places, x = np.arange(len(some)), some ^ at
+    for mask, budget in CHAINS[start]:
+        passed = np.bitwise_count(x & mask) <= budget
+        places, x = places[passed], x[passed]
+    return places
+
+
+def forest(bucket: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
+    """Links that connect a bucket's fingerprints as all of its chained pairs would: a spanning forest, found by search."""
     rest = bucket
     while len(rest):
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             at = front.pop()
-            near = chained(rest, np.full(len(rest), at, np.uint64))
-            for other in rest[near]:
-                yield int(at), int(other)
-            front.extend(rest[near])
-            rest = rest[~near]
+            near = chained(rest, at, start)
+            if len(near):
+                for other in rest[near]:
+                    yield int(at), int(other)
+                front.extend(rest[near])
+                rest = np.delete(rest, near)
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out: list[np.ndarray] = []
         arrays = [np.asarray(x, np.int64).view(np.uint64) for x in batch["members"]]
-        if pairs := [x for x in arrays if len(x) == 2]:
-            pairs = np.stack(pairs)
-            out.append(pairs[chained(pairs[:, 0], pairs[:, 1])])
-        if more := [p for x in arrays if len(x) > 2 for p in forest(x)]:
+        starts = batch["start"].to_numpy()
+        two = np.array([len(x) == 2 for x in arrays], bool)
+        for start in np.unique(starts[two]):
+            pairs = np.stack([arrays[i] for i in np.flatnonzero(two & (starts == start))])
+            out.append(pairs[chained(pairs[:, 0] ^ pairs[:, 1], np.uint64(0), start)])
+        if more := [p for i in np.flatnonzero(~two) for p in forest(arrays[i], starts[i])]:
             out.append(np.array(more, np.uint64))
         if out:
             found = np.concatenate(out).view(np.int64)
             yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
-def _keys() -> list:
-    """The 39 index keys of a fingerprint column ``fp``."""
-    segment = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(SHIFTS, WIDTHS, strict=True)]
+#: (start, skipped segment of the first six), and for each the pairs of skipped segments of the first nine: the chain holds
+#: two differences at most, and the first six segments one.
+SHORT = [(start, skipped) for start in range(13) for skipped in (3, 4, 5)]
+LONG = [[(skipped, x) for x in (6, 7, 8)] + [(6, 7), (6, 8), (7, 8)] for _, skipped in SHORT]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _short_keys() -> list[Column]:
+    """The 39 index keys of a fingerprint column ``fp``: five segments in one number, led by the number of the key."""
     keys = []
-    for start in range(13):
-        for skipped in (3, 4, 5):
-            key = F.lit(start * 3 + skipped - 3).cast("long")
-            for step in range(6):
-                if step != skipped:
-                    key = F.shiftleft(key, 5).bitwiseOR(segment[(start + step) % 13])
-            keys.append(key)
+    for number, (start, skipped) in enumerate(SHORT):
+        key = F.lit(number).cast("long")
+        for step in range(6):
+            if step != skipped:
+                at = (start + step) % 13
+                key = F.shiftleft(key, 5).bitwiseOR(F.shiftrightunsigned("fp", SHIFTS[at]).bitwiseAND(F.lit((1 << WIDTHS[at]) - 1)))
+        keys.append(key)
     return keys
 
 
+def _long_masks() -> Column:
+    """For each short key the bits that its 6 longer keys hold equal: seven of the nine segments."""
+    masks = [[sum(_chain(start + step, 1) for step in range(9) if step not in pair) for pair in LONG[i]] for i, (start, _) in enumerate(SHORT)]
+    return F.array(*[F.array(*[F.lit(_signed(m)) for m in some]) for some in masks])
+
+
+def _met(keyed: DataFrame, by: list[str], start: Column, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(start, members) of every key (columns ``by``) with up to ``bucket`` members ``fp``, and the rows of the other keys.
+
+    Keys of two need one aggregation; the others up to ``bucket`` are gathered. ``start`` follows from the key.
+    """
+    counts = settle(keyed.groupBy(*by).agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    twos = counts.where("n = 2").select(start.alias("start"), F.array("a", "b").alias("members"))
+    some = counts.where(F.col("n").between(3, bucket)).select(*by)
+    gathered = keyed.join(some, by).groupBy(*by).agg(F.collect_list("fp").alias("members")).select(start.alias("start"), "members")
+    return twos.union(gathered), keyed.join(counts.where(F.col("n") > bucket).select(*by), by)
+
+
 def close_links(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that have the same components as all pairs within RADIUS bits.
 
-    Buckets of two need one aggregation, other buckets up to ``bucket`` members are gathered and searched in a task.
-    Fingerprints in larger buckets are linked to the smallest fingerprint that shares a point within RADIUS / 2 bits of
-    both: two fingerprints share such a point exactly if they are within RADIUS bits, so no link is lost there either,
-    and the work stays in proportion to the members.
+    Keys with more than ``bucket`` members take the longer chain. Fingerprints that even crowd a longer key agree in 34
+    bits; they are linked to the smallest fingerprint that shares a point within RADIUS / 2 bits of both: two fingerprints
+    share such a point exactly if they are within RADIUS bits, so no link is lost there either, and the work stays in
+    proportion to the members.
     """
-    keyed = fingerprints.select("fp", F.explode(F.array(*_keys())).alias("key"))
-    buckets = settle(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    twos = buckets.where("n = 2").select(F.array("a", "b").alias("members"))
-    some = buckets.where(F.col("n").between(3, bucket)).select("key")
-    gathered = keyed.join(some, "key").groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
-    links = twos.union(gathered).mapInPandas(_links, "a long, b long")
-    crowded = buckets.where(F.col("n") > bucket).select("key")
-    flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
-    flips = F.explode(F.array(*[F.lit(x - (1 << 64) if x >> 63 else x) for x in flips]))
+    keyed = fingerprints.select("fp", F.explode(F.array(*_short_keys())).alias("key"))
+    number = F.shiftright("key", 25).cast("int")
+    short, crowded = _met(keyed, ["key"], F.floor(number / 3).cast("int"), bucket)
+    crowded = settle(crowded)
+    links = short.mapInPandas(_links, "a long, b long")
     if not crowded.isEmpty():
-        near = keyed.join(crowded, "key").select("fp").distinct().select("fp", flips.alias("flip"))
-        near = near.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+        longer = crowded.select("fp", number.alias("number"), F.posexplode(F.get(_long_masks(), number)).alias("pair", "mask"))
+        longer = longer.select("fp", (F.col("number") * 6 + F.col("pair")).alias("number"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        long, dense = _met(longer, ["number", "key"], F.floor(F.col("number") / 18).cast("int"), bucket)
+        dense = settle(dense.select("fp").distinct())
+        flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)]
+        flips = F.explode(F.array(*[F.lit(_signed(x)) for x in flips]))
+        near = dense.select("fp", flips.alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
         first = near.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("point", "a")
-        links = links.union(near.join(first, "point").where("fp != a").select("a", F.col("fp").alias("b")))
+        shared = near.join(first, "point").where("fp != a").select("a", F.col("fp").alias("b"))
+        links = links.union(long.mapInPandas(_links, "a long, b long")).union(shared)
     return links.distinct()
 
 
