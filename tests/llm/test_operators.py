@@ -333,6 +333,73 @@ def test_url_templates_whole(spark):
     assert got[9999]["template"] == "/*" * 300 and got[9999]["purity"] == 0.5
 
 
+def tree(urls, level=0, template=""):
+    """{path: template} of one host's paths [(path, segments, n, block, allow)], by plain recursion."""
+    going = [u for u in urls if len(u[1]) > level]
+    total = [sum(u[i] for u in going) for i in (2, 3, 4)]
+    out = {u[0]: template for u in urls if len(u[1]) <= level}
+    if total[0] < 5 or not any(0 < x < total[0] for x in total[1:]):
+        return out | {u[0]: template + "/*" * (len(u[1]) - level) for u in going}
+    angle = lambda n, b, a: 2 * np.arcsin(np.sqrt(min(1, max(0, (b + (n - b - a) / 2) / n))))
+    sizes = collections.Counter()
+    for u in going:
+        sizes[u[1][level]] += u[2]
+    branch = collections.defaultdict(list)
+    for u in going:
+        branch[u[1][level] if sizes[u[1][level]] >= 5 else None].append(u)
+    add = lambda us: [sum(u[i] for u in us) for i in (2, 3, 4)]
+    bins = collections.defaultdict(list)
+    for segment, us in branch.items():
+        bins[min(int(angle(*add(us)) / np.pi * 32), 31)].append(segment)
+    groups, last = [], None
+    for b in sorted(bins):
+        now = add([u for s in bins[b] for u in branch[s]])
+        if last is None or abs(angle(*now) - angle(*last)) * np.sqrt(now[0] * last[0] / (now[0] + last[0])) >= 2:
+            groups.append([])
+        groups[-1] += bins[b]
+        last = now
+    keeps = [len(groups) > 1 and len(g) == 1 and g[0] is not None for g in groups]
+    for i, g in enumerate(groups):
+        token = f"/{g[0]}" if keeps[i] else f"/*{i + 1}" if keeps.count(False) > 1 else "/*"
+        out |= tree([u for s in g for u in branch[s]], level + 1, template + token)
+    return out
+
+
+def test_url_tree_against_brute_force(spark):
+    r = random.Random(41)
+    rules = [("block", "h.com", "/a/x"), ("block", "h.com", "/b/x"), ("allow", "h.com", "/c"), ("block", "i.com", "/q"), ("allow", "i.com", "/q/ok")]
+    vocabulary = ["a", "b", "c", "q", "x1", "x2", "ok", "ok/y", "", "7"]
+    rows = []
+    for i in range(2500):
+        path = "/".join(r.choice(vocabulary) for _ in range(r.randrange(1, 5))) + r.choice(["", f"/{r.randrange(400)}"])
+        rows.append((i, f"http://{r.choice(['h.com', 'i.com', 'www.h.com'])}/{path}"))
+    got = op5_url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert len(got) == len(rows)
+    counts = collections.defaultdict(lambda: [0, 0, 0])
+    for x in got:
+        said = next((v for v, h, p in sorted(rules, key=lambda z: -len(z[1] + z[2])) if (x["host"] == h or x["host"].endswith("." + h)) and x["path"].startswith(p)), None)
+        c = counts[x["host"], x["path"]]
+        c[0] += 1
+        c[1] += said == "block"
+        c[2] += said == "allow"
+    want = {}
+    for host in {h for h, _ in counts}:
+        urls = [(p, re.sub("^/+", "", p).split("/"), *c) for (h, p), c in counts.items() if h == host]
+        want |= {(host, p): t for p, t in tree(urls).items()}
+    sums = collections.defaultdict(lambda: [0, 0])
+    for key, c in counts.items():
+        for i in (0, 1):
+            sums[key[0], want[key]][i] += c[i + 1]
+    for x in got:
+        template = want[x["host"], x["path"]]
+        assert x["template"] == template, (x["host"], x["path"])
+        block, allow = sums[x["host"], template]
+        assert x["purity"] == pytest.approx((block + 2.5) / (block + allow + 5))
+        if x["rule"] is None:
+            assert x["verdict"] == ("block" if x["purity"] >= 0.8 else "allow")
+    assert any(x["rule"] is None and x["verdict"] == "block" for x in got)
+
+
 def test_sharding_law_and_places(spark, docs, none):
     rows = [(i, prose(i, 5 + i % 90)) for i in range(3000)]
     got = op6_sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8, 512).toPandas()

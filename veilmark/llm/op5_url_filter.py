@@ -1,15 +1,15 @@
 """URL filtering: fixed rules first, then templates of each host's paths judged by smoothed labelled purity.
 
-Urls that a rule decides are the labelled ones. Level by level, a path segment stays literal only if it is frequent below
-its parent and its branch differs significantly from its siblings in how its urls are labelled; all others, variable
-segments and statistically similar branches alike, merge into a wildcard.
+Urls that a rule decides are the labelled ones. A path template tree grows level by level below each host: segments of few
+urls are variable and go into one branch; branches whose urls lean alike, from all allowed over unlabelled to all blocked,
+merge into a wildcard; a branch that leans unlike its siblings keeps its segment.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -17,6 +17,10 @@ from .common import settle, table
 #: (verdict, host, path); fixed values of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MIN_ROWS, Z, PRIOR_ROWS, PURITY = 5, 2.0, 5, 0.8
+#: Steps of the lean that siblings are sorted into, so that a parent has a bounded number of them to compare.
+BINS = 32
+#: Parts of a host's or template's paths, so that a hot one is spread over tasks.
+SALTS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,41 +42,75 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
+def _spread(paths: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The join of paths with a table of one row for each key, the paths of a key being dealt over SALTS parts."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+
+
+def _angle(n: Column, block: Column, allow: Column) -> Column:
+    """The lean of urls, the blocked share with unlabelled ones as one half, on a scale of even spread (0 to pi)."""
+    return 2 * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (block + (n - block - allow) / 2) / n))))
+
+
+def _tokens(branch: DataFrame) -> DataFrame:
+    """(host, template, segment, token) of the branches of open parents; segment null is that of variable segments.
+
+    ``branch`` has host, template, segment, n, block and allow. Branches of MIN_ROWS urls stand for themselves. Sorted by
+    lean in BINS steps, neighbouring steps merge unless their urls lean differently by Z standard errors. A group of one
+    literal segment keeps it, if there are others; groups of more are wildcards, numbered if there are several.
+    """
+    counts, parent = ("n", "block", "allow"), ["host", "template"]
+    own = F.when(F.col("n") >= MIN_ROWS, F.col("segment"))
+    branch = branch.withColumn("segment", own).groupBy(*parent, "segment").agg(*[F.sum(c).alias(c) for c in counts])
+    step = F.least(F.floor(_angle(*map(F.col, counts)) / F.pi() * BINS), F.lit(BINS - 1)).cast("int")
+    branch = settle(branch.withColumn("bin", step))
+    bins = branch.groupBy(*parent, "bin").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("members"), F.count("segment").alias("literal"))
+    order = Window.partitionBy(*parent).orderBy("bin")
+    before = {c: F.lag(c).over(order) for c in counts}
+    apart = F.abs(_angle(*map(F.col, counts)) - _angle(*before.values())) * F.sqrt(F.col("n") * before["n"] / (F.col("n") + before["n"]))
+    bins = bins.withColumn("cut", F.when(before["n"].isNull() | (apart >= Z), 1).otherwise(0)).withColumn("part", F.sum("cut").over(order))
+    parts = bins.groupBy(*parent, "part").agg(F.sum("members").alias("members"), F.sum("literal").alias("literal"), F.collect_list("bin").alias("bins"))
+    alone = (F.col("members") == 1) & (F.col("literal") == 1)
+    whole = Window.partitionBy(*parent)
+    parts = parts.withColumn("parts", F.count("*").over(whole)).withColumn("keeps", alone & (F.col("parts") > 1))
+    several = F.count_if(~F.col("keeps")).over(whole) > 1
+    parts = parts.withColumn("wild", F.when(F.col("keeps"), None).when(several, F.concat(F.lit("/*"), F.col("part").cast("string"))).otherwise("/*"))
+    named = branch.join(parts.select(*parent, "wild", F.explode("bins").alias("bin")), [*parent, "bin"])
+    return named.select(*parent, "segment", F.coalesce("wild", F.concat(F.lit("/"), F.col("segment"))).alias("token"))
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """(host, path, template) of every distinct (host, path); ``urls`` has host, path and verdict (null: unlabelled).
+    """(host, path, template, n, block, allow) of every distinct (host, path); ``urls`` has host, path and verdict (null: unlabelled).
 
     Counts are combined before each shuffle, by host, parent and segment, so a host with very many urls is spread over its
-    segments. Below a parent of few rows, or whose rows are all labelled alike, nothing can differ: its paths are
-    finished at once, and levels are worked on only as far as some parent is still open.
+    segments; joins with parents are salted. Below a parent of few rows, or whose rows are all labelled alike, nothing can
+    differ: its paths are finished at once, with wildcards, and levels are worked on only as far as some parent is still open.
     """
-    counts = ("n", "block", "allow")
+    counts, parent = ("n", "block", "allow"), ["host", "template"]
     paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow"))
     state = settle(paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/", -1)).withColumn("template", F.lit("")))
-    key, level, finished = ["host", "template", "segment"], 0, []
+    level, finished = 0, []
 
     def mixed(c: str) -> Column:
-        return (F.col(f"all_{c}") > 0) & (F.col(f"all_{c}") < F.col("all_n"))
-
-    def differs(c: str) -> Column:
-        share = F.col(f"all_{c}") / F.col("all_n")
-        spread = F.sqrt(share * (1 - share) / F.col("n"))
-        return (spread > 0) & (F.abs(F.col(c) / F.col("n") - share) >= Z * spread)
+        return (F.col(c) > 0) & (F.col(c) < F.col("n"))
 
     while True:
-        parent = state.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
-        still = parent.where((F.col("all_n") >= MIN_ROWS) & (mixed("block") | mixed("allow"))).select("host", "template", F.lit(True).alias("still"))
-        more = F.coalesce(F.col("still") & (F.size("segments") > level), F.lit(False))
-        marked = settle(state.join(still, ["host", "template"], "left").withColumn("more", more).drop("still"))
+        rows = state.withColumn("segment", F.get("segments", F.lit(level)))
+        branch = rows.where(F.size("segments") > level).groupBy(*parent, "segment").agg(*[F.sum(c).alias(c) for c in counts])
+        sums = branch.groupBy(*parent).agg(*[F.sum(c).alias(c) for c in counts])
+        open_ = sums.where((F.col("n") >= MIN_ROWS) & (mixed("block") | mixed("allow"))).select(*parent)
+        tokens = settle(_tokens(branch.join(open_, parent, "left_semi")))
+        known = tokens.groupBy(*parent).agg(F.max(F.when(F.col("segment").isNull(), F.col("token"))).alias("variable"), F.lit(True).alias("open"))
+        rows = _spread(rows, known, parent, "left").withColumn("more", F.coalesce("open", F.lit(False)) & (F.size("segments") > level))
+        rows = settle(rows.drop("open"))
         rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))
-        finished.append(marked.where("not more").select("host", "path", F.concat("template", rest).alias("template"), *counts))
-        state = marked.where("more").drop("more").withColumn("segment", F.get("segments", F.lit(level)))
-        if state.isEmpty():
+        finished.append(rows.where("not more").select("host", "path", F.concat("template", rest).alias("template"), *counts))
+        rows = rows.where("more").drop("more")
+        if rows.isEmpty():
             break
-        branch = state.groupBy(*key).agg(*[F.sum(c).alias(c) for c in counts])
-        parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts])
-        literal = branch.where(F.col("n") >= MIN_ROWS).join(parent, ["host", "template"]).where(differs("block") | differs("allow")).select(*key, F.lit(True).alias("literal"))
-        token = F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
-        state = settle(state.join(literal, key, "left").withColumn("template", F.concat("template", token)).drop("segment", "literal"))
+        rows = _spread(rows, tokens.where("segment is not null"), [*parent, "segment"], "left")
+        state = settle(rows.withColumn("template", F.concat("template", F.coalesce("token", "variable"))).drop("segment", "token", "variable"))
         level += 1
     return reduce(DataFrame.unionByName, finished)
 
@@ -82,7 +120,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
 
     Null urls and urls without ``://`` have an empty host and path and are judged as such. A template is rejected if the
     blocked share of its labelled urls, with PRIOR_ROWS more counted as one half, reaches PURITY; without labels nothing is.
-    Ties between rules of equal length go to the later one in the list. Other columns are ignored.
+    Ties between rules of equal length go to the later one in the list. Repeated rows each keep their row and count as urls
+    each. Other columns are ignored; an empty table gives an empty result.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
@@ -90,10 +129,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     paths = templates(parsed.select("host", "path", F.col("said").alias("verdict")))
     sums = paths.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "block", "allow")])
     judged = sums.select("host", "template", ((F.col("block") + PRIOR_ROWS / 2) / (F.col("block") + F.col("allow") + PRIOR_ROWS)).alias("purity"))
-    found = paths.select("host", "path", "template").join(judged, ["host", "template"])
+    found = _spread(paths.select("host", "path", "template"), judged, ["host", "template"])
     method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return parsed.join(found, ["host", "path"]).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "template", "purity")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"))
