@@ -427,6 +427,43 @@ def test_sharding_map_versions(spark, tmp_path):
     assert all(new[s] in (old[s], 4) for s in old) and 4 in new.values()
 
 
+def test_sharding_against_brute_force(spark, tmp_path):
+    """Slots, both versions of the map, shards and places by plain Python; the map is read back from where it is stored."""
+    import struct
+
+    import xxhash
+
+    rows = [(i, prose(i, 3 + i % 70)) for i in range(400)] + [(None, "é"), (7, None)]
+    shards, slots = 5, 64
+    got = op6_sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards, slots, str(tmp_path / "map")).collect()
+    slot_of = lambda i: (42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)) % slots
+    size = lambda t: len((t or "").encode()) + 16
+    weight = collections.Counter()
+    for i, t in rows:
+        weight[slot_of(i)] += size(t)
+    first = {s: s * shards // slots for s in range(slots)}
+    target, loads, loose = sum(weight.values()) / shards, [0] * shards, []
+    for shard in range(shards):
+        filled = 0
+        for s in sorted((s for s in first if first[s] == shard), key=lambda s: (-weight[s], s)):
+            filled += weight[s]
+            if filled > target and weight[s]:
+                loose.append(s)
+            else:
+                loads[shard] += weight[s]
+    second = dict(first)
+    for s in sorted(loose, key=lambda s: (-weight[s], s)):
+        second[s] = loads.index(min(loads))
+        loads[second[s]] += weight[s]
+    for version, want in ((0, first), (1, second)):
+        assert {r["slot"]: r["shard"] for r in op6_sharding.stored_map(spark, str(tmp_path / "map"), version).collect()} == want
+    assert all(r["version"] == 1 and r["virtual_slot"] == slot_of(r["doc_id"]) and r["shard"] == second[r["virtual_slot"]] for r in got)
+    places = collections.defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(got) == len(rows)
+
+
 def test_language_parse_and_prediction(spark, docs, none):
     sample = "banana bandana"
     step = op7_language.suffix_automaton(sample)

@@ -6,10 +6,13 @@ the map is edited, and every edit makes a new version.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, shared_folder, table
 
 SLOTS = 4096
 #: Each slot's rows are numbered in so many parts, so that no task has to hold a whole slot.
@@ -79,17 +82,23 @@ def stored_map(spark: SparkSession, path: str, version: int | None = None) -> Da
     maps = spark.read.parquet(path)
     if version is None:
         version = maps.agg(F.max("version")).first()[0]
-    return maps.where(F.col("version") == version).select("version", "slot", "shard")
+    return maps.where(F.col("version") == version).select("version", "slot", "shard").coalesce(1)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, version: a row for each input row.
 
     The law is ``bytes``: shards are near equal in bytes, as far as single slots allow. size is the UTF-8 length of the
     text plus 16; a null text has no bytes and the checksum of an empty one. slot is the row's place in its shard,
-    gapless from 0. Null ids share a virtual slot; repeated rows each get a place of their own; an empty table gives an
-    empty result.
+    gapless from 0, by virtual slot, part, id (null first), checksum and size; equal rows are in any order. Null ids share
+    a virtual slot, so very many of them weigh one shard down; repeated rows each get a place of their own; other columns are
+    left out; an empty table gives an empty result.
+
+    The map is kept at ``path``, in the shared folder by default: version 0 if there is none yet, then a version rebalanced by
+    the bytes of ``docs``, which the rows are placed by as it is read back.
     """
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     sized = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
@@ -98,7 +107,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> Da
     sized = settle(sized.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots)).withColumn("part", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(PARTS)).cast("int")))
     counts = settle(sized.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     per_slot = counts.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("bytes").alias("bytes"))
-    final = settle(rebalanced(first_map(docs.sparkSession, shards, slots), per_slot, shards))
+    try:
+        current = stored_map(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        store_map(first_map(spark, shards, slots), path)
+        current = stored_map(spark, path)
+    store_map(settle(rebalanced(current, per_slot, shards)), path)
+    final = stored_map(spark, path)
     places = counts.join(final.withColumnRenamed("slot", "virtual_slot"), "virtual_slot")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1))
     places = places.select("virtual_slot", "part", "shard", "version", F.coalesce(before, F.lit(0)).alias("before"))
@@ -112,4 +129,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> Da
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document."""
     return shard_documents(table(spark, sf_dir, "documents"))
