@@ -74,6 +74,9 @@ def test_chat_round_trip_and_edges(spark):
     for conv, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
         r = got[conv]
+        starts = [int(x) for x in r["turn_positions"].split(",")]
+        assert starts[0] == 0 and starts == sorted(starts) and len(starts) == len(turns)
+        assert sum(int(b) - int(a) for a, b in (i.split(":") for i in r["attends"].split(","))) == r["formatted_chars"]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
     assert op1_chat.chat_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 

@@ -36,11 +36,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
-e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?(?:INST|ANS|SYS|ROLE)\])', '[\\\1', 'g') AS body FROM t)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?(?:INST|ANS|SYS|ROLE)\])', '[\\\1', 'g') AS body FROM t),
+f AS (SELECT *, CASE role WHEN 'user' THEN '<s>[INST] ' || body || ' [/INST] </s>' WHEN 'assistant' THEN '<s>[ANS] ' || body || ' </s>' WHEN 'system' THEN '<s>[SYS] ' || body || ' </s>' ELSE '<s>[ROLE] ' || role || ' [/ROLE] ' || body || ' </s>' END AS segment FROM e),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(body) + CASE role WHEN 'user' THEN 23 WHEN 'assistant' THEN 14 WHEN 'system' THEN 14 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id""",
+  CAST(sum(length(segment)) AS BIGINT) AS formatted_chars, string_agg(substr(sha256(segment), 1, 32), '' ORDER BY turn) AS path FROM f GROUP BY conv_id),
+p AS (SELECT conv_id, turn, length(segment) AS n, row_number() OVER w AS depth, substr(path, 1, 32 * row_number() OVER w) AS prefix, dense_rank() OVER (ORDER BY path) AS leaf,
+  CAST(sum(length(segment)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(segment) AS BIGINT) AS position FROM f JOIN d USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+nodes AS (SELECT prefix, min(leaf) AS chunk, min(n) AS n, min(depth) AS depth FROM p GROUP BY prefix),
+placed AS (SELECT *, CAST(sum(n) OVER (ORDER BY chunk, depth ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM nodes),
+ways AS (SELECT conv_id, chunk, min(stop - placed.n) AS lo, max(stop) AS hi FROM p JOIN placed USING (prefix) GROUP BY conv_id, chunk),
+a AS (SELECT conv_id, string_agg(lo || ':' || hi, ',' ORDER BY lo) AS attends FROM ways GROUP BY conv_id),
+o AS (SELECT conv_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY turn) AS turn_positions FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, turn_positions, attends FROM d JOIN a USING (conv_id) JOIN o USING (conv_id)""",
     "op3_benchmark_decontamination": r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM b)),

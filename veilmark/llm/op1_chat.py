@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import running, settle, table
 
 #: Fixed values of the query: a conversation of control strings.
 EXTRA = "VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -68,9 +68,9 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     only) and seats (the starts of its nodes). leaves: conv_id, leaf.
 
     Null texts and roles are empty; turns are ordered by turn (null first), ties by role and then by hash; repeated rows
-    are repeated turns; rows with a null conv_id are one conversation. The layout moves hashes and lengths only; texts
-    meet their nodes at the end. A conversation's own hashes are held together in a task; no tree or level is. An empty
-    table gives empty tables.
+    are repeated turns; rows with a null conv_id are one conversation; other columns are left out. Time is linear in the
+    turns of a conversation and in the length of a text. The layout moves hashes and lengths only; texts meet their nodes at
+    the end. A conversation's own hashes are held together in a task; no tree or level is. An empty table gives empty tables.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     lines = turns.select("conv_id", "turn", role.alias("role"), formatted(role, text).alias("segment"))
@@ -79,16 +79,20 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "key", F.length("segment").cast("long").alias("n"))))
     chats = lines.groupBy("conv_id").agg(ordered.alias("turns"))
 
-    def step(acc: Column, t: Column) -> Column:
-        here = F.unhex(F.substring(F.sha2(F.concat(acc["id"], t["key"]), 256), 1, 2 * _BYTES))
-        node = F.struct(here.alias("id"), t["key"].alias("key"), t["n"].alias("n"), (t["role"] == "assistant").alias("told"), acc["at"].alias("position"))
-        return F.struct(here.alias("id"), (acc["at"] + t["n"]).alias("at"), F.array_append(acc["nodes"], node).alias("nodes"))
+    def here(at: Column, t: Column) -> Column:
+        return F.unhex(F.substring(F.sha2(F.concat(at["id"], t["key"]), 256), 1, 2 * _BYTES))
+
+    def after(at: Column, t: Column) -> Column:
+        return F.struct(here(at, t).alias("id"), (at["position"] + t["n"]).alias("position"))
+
+    def node(at: Column, t: Column) -> Column:
+        return F.struct(here(at, t).alias("id"), t["key"].alias("key"), t["n"].alias("n"), (t["role"] == "assistant").alias("told"), at["position"].alias("position"))
 
     none = F.array().cast("array<struct<id:binary,key:binary,n:bigint,told:boolean,position:bigint>>")
-    start = F.struct(F.expr("X''").alias("id"), F.lit(0).cast("long").alias("at"), none.alias("nodes"))
-    chats = settle(chats.select("conv_id", F.aggregate("turns", start, step).alias("way")).select("conv_id", F.col("way.id").alias("leaf_id"), "way.nodes"))
+    start = F.struct(F.expr("X''").alias("id"), F.lit(0).cast("long").alias("position"))
+    chats = settle(chats.select("conv_id", running(F.col("turns"), start, none, after, node).alias("nodes")).select("conv_id", F.element_at("nodes", -1)["id"].alias("leaf_id"), "nodes"))
     distinct = chats.groupBy("leaf_id").agg(F.first("nodes").alias("nodes"))
-    path = F.aggregate("nodes", F.expr("X''"), lambda p, t: F.concat(p, t["key"]))
+    path = F.array_join(F.transform("nodes", lambda t: F.hex(t["key"])), "")
     # the id is the partition's number and the row's place in it, so it follows the order of the paths
     distinct = distinct.withColumn("path", path).repartitionByRange("path").sortWithinPartitions("path")
     distinct = settle(distinct.select(F.monotonically_increasing_id().alias("leaf"), "leaf_id", "nodes"))
@@ -98,8 +102,8 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = nodes.groupBy("chunk").agg(F.sum("n").alias("size"), F.min("position").alias("first")).withColumn("part", F.shiftright("chunk", 33))
     parts = chunks.groupBy("part").agg(F.sum("size").alias("total"))  # one row for each partition
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    running = F.sum("size").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    chunks = chunks.withColumn("running", running).join(parts, "part").select("chunk", (F.col("before") + F.col("running") - F.col("first")).alias("shift"))
+    ahead = F.sum("size").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    chunks = chunks.withColumn("ahead", ahead).join(parts, "part").select("chunk", (F.col("before") + F.col("ahead") - F.col("first")).alias("shift"))
     placed = nodes.join(chunks, "chunk").withColumn("start", F.col("shift") + F.col("position"))
     loss_start = F.when(F.col("told"), 9).otherwise(0)
     loss_stop = F.when(F.col("told"), F.col("n").cast("int") - 5).otherwise(0)
@@ -112,19 +116,28 @@ def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def read_back(nodes: DataFrame, ways: DataFrame) -> DataFrame:
-    """(leaf, formatted, losses) of every distinct conversation, from the nodes on its way."""
-    found = ways.select("leaf", F.explode("seats").alias("start")).join(nodes.select("start", "segment", "loss_start", "loss_stop"), "start")
-    whole = found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "loss_start", "loss_stop"))).alias("parts"))
+    """(leaf, formatted, losses, positions) of every distinct conversation, from the nodes on its way."""
+    found = ways.select("leaf", F.explode("seats").alias("start")).join(nodes.select("start", "segment", "loss_start", "loss_stop", "position"), "start")
+    whole = found.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("start", "segment", "loss_start", "loss_stop", "position"))).alias("parts"))
     masked = F.transform(F.filter("parts", lambda p: p["loss_stop"] > p["loss_start"]), lambda p: p["segment"].substr(p["loss_start"] + 1, p["loss_stop"] - p["loss_start"]))
-    return whole.select("leaf", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("formatted"), masked.alias("losses"))
+    return whole.select("leaf", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("formatted"), masked.alias("losses"), F.transform("parts", lambda p: p["position"]).alias("positions"))
+
+
+#: Parts that conversations of one way are dealt over.
+SALTS = 8
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the laid out tree."""
+    """A row for each conv_id, read back from the laid out tree.
+
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, turn_positions (the position id of each turn's first
+    token; its others follow one by one), attends (the intervals ``start:stop`` of the stream that hold the conversation: what
+    its tokens may attend to, each up to its own place). Both are joined by commas.
+    """
     nodes, ways, leaves = prefix_tree(turns)
     said = F.transform(F.filter(F.split("formatted", "</s>"), lambda t: t != ""), parsed)
     loss = F.array_join(F.transform("losses", unescaped), "")
-    found = read_back(nodes, ways).select("leaf", "formatted", said.alias("said"), loss.alias("loss"))
+    found = read_back(nodes, ways).select("leaf", "formatted", "positions", said.alias("said"), loss.alias("loss"))
     told = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     found = found.select(
         "leaf",
@@ -133,10 +146,15 @@ def chat_digests(turns: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("turn_positions"),
     )
-    return leaves.join(found, "leaf").drop("leaf")
+    attends = F.array_join(F.transform("attends", lambda i: F.concat_ws(":", i["start"], i["stop"])), ",")
+    found = found.join(ways.select("leaf", attends.alias("attends")), "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = leaves.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(found, ["leaf", "salt"]).drop("leaf", "salt")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests, positions and attention intervals of every conversation and of the extra one."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(turns.unionByName(spark.sql(f"SELECT * FROM {EXTRA}")))
