@@ -126,13 +126,16 @@ def test_name_patterns(text, pattern, first, last):
     assert (found and (found[3], found[1], found[2])) == (pattern and (pattern, first, last))
 
 
-def test_name_writing():
-    parts = dict(zip([p.split()[0] for p in names.PARTS.split(", ")], names.NameParser(LOOKUPS).parse("DR. EVA MAES"), strict=True))
-    assert names.composed(parts, "Jan", "Claes") == "DR. JAN CLAES"
-    assert [names.rendered(parts, f) for f in names.FORMS[1:]] == ["Eva MAES", "Eva", "E.M.", "Eva M.", "dr. Eva MAES"]
-    only = dict(zip([p.split()[0] for p in names.PARTS.split(", ")], names.NameParser(LOOKUPS).parse("maes"), strict=True))
-    assert [names.rendered(only, f) for f in names.FORMS] == ["maes", None, None, None, None, "dr. maes"]
-    assert names.recased("jan-pieter o'neil", "full") == "Jan-Pieter O'Neil" and names.recased("1jan JAN", "first_only") == "1Jan jan"
+def test_name_writing(spark):
+    rows = spark.createDataFrame([("DR. EVA MAES",), ("maes",), ("Maes, e.",), ("Eva J. Maes",)], "n string").select("n", names.parsed_name(F.col("n"), LOOKUPS).alias("p"))
+    parts, jan, claes = F.col("p"), F.lit("Jan"), F.lit("Claes")
+    got = {r["n"]: r for r in rows.select("n", names.composed(parts, jan, claes).alias("c"), *[names.rendered(parts, f).alias(f) for f in names.FORMS]).collect()}
+    assert got["DR. EVA MAES"]["c"] == "DR. JAN CLAES"
+    assert [got["DR. EVA MAES"][f] for f in names.FORMS[1:]] == ["Eva MAES", "Eva", "E.M.", "Eva M.", "dr. Eva MAES"]
+    assert [got["maes"][f] for f in names.FORMS] == ["maes", None, None, None, None, "dr. maes"]
+    assert got["Maes, e."]["c"] == "Claes, j." and got["Eva J. Maes"]["c"] == "Jan J. Claes"
+    low = spark.createDataFrame([("jan-pieter o'neil", "1jan JAN")], "a string, b string")
+    assert tuple(low.select(texts.recased(F.col("a"), "full"), texts.recased(F.col("b"), "first_only")).first()) == ("Jan-Pieter O'Neil", "1Jan jan")
 
 
 def test_texts(spark):

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Orders of parts that can be switched on and off, casing modes and forms, in their fixed order.
+#: Orders of parts that can be switched on and off, casing modes and forms; fixed values, in their fixed order.
 PATTERNS = ["first_last", "last_first", "first_only", "last_only", "last_comma_first", "initial_last", "last_initial", "last_comma_initial", "first_middle_initial_last"]
 CASINGS = ["full", "first_only", "lower", "upper"]
 FORMS = ["same", "full_name", "first_only", "initials_only", "first_initials", "title_dr"]
-PARTS = "title string, first_name string, last_name string, pattern string, first_initial string, first_style string, last_style string, initial_style string, initial_has_period boolean"
+#: A parsed name; ``written`` are its parts in the order of the text, each with its sort: first, last, initial or comma.
+PARTS = "title string, first_name string, last_name string, pattern string, first_initial string, written array<struct<sort:string,text:string>>"
 _INITIAL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]\.?")
+#: Draws of another name before the last one is taken as it is.
+DRAWS = 10
 
 
 @dataclass(frozen=True)
@@ -41,11 +43,10 @@ class NameParser:
         self.after = self.last | {n.lower() for n in lookups.interfix_surnames}
         self.titles = sorted((p.strip() for p in lookups.prefixes if p.strip()), key=len, reverse=True)
 
-    def is_last(self, text: str) -> bool:
-        words = text.lower().split()
-        if " ".join(words) in self.last:
-            return True
-        return any(" ".join(words[:i]) in self.inner and " ".join(words[i:]) in self.after for i in range(1, len(words)))
+    def surname(self, text: str) -> bool:
+        """Whether a text is a listed surname, or a listed interfix with a name that may follow one."""
+        low = " ".join(text.lower().split())
+        return low in self.last or any(low.startswith(f"{i} ") and low.removeprefix(f"{i} ") in self.after for i in self.inner)
 
     def title(self, text: str) -> tuple[str, str]:
         """All leading titles and the rest; a title never takes the whole text."""
@@ -60,39 +61,38 @@ class NameParser:
             else:
                 return " ".join(taken), text
 
-    def readings(self, text: str) -> Iterator[tuple[str, str, str, str]]:
-        """(pattern, first, last, initial) in order of preference; empty where a pattern lacks the part."""
+    def readings(self, text: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+        """(pattern, parts as (sort, text) in written order), in order of preference."""
+        words = text.split()
         if "," in text:
             left, right = (x.strip() for x in text.split(",", 1))
-            yield "last_comma_first", right, left, ""
-            yield "last_comma_initial", "", left, right
-        words = text.split()
-        known = [n for n in range(len(words), 0, -1) if " ".join(words[:n]).lower() in self.first]
-        if known:
-            first, rest = " ".join(words[: known[0]]), words[known[0] :]
-            if not rest:
-                yield "first_only", first, "", ""
+            yield "last_comma_first", [("last", left), ("comma", ","), ("first", right)]
+            yield "last_comma_initial", [("last", left), ("comma", ","), ("initial", right)]
+        if known := next((n for n in range(len(words), 0, -1) if " ".join(words[:n]).lower() in self.first), 0):
+            first, rest = ("first", " ".join(words[:known])), words[known:]
+            if rest:
+                yield "first_last", [first, ("last", " ".join(rest))]
+                yield "first_middle_initial_last", [first, ("initial", rest[0]), ("last", " ".join(rest[1:]))]
             else:
-                yield "first_last", first, " ".join(rest), ""
-                yield "first_middle_initial_last", first, " ".join(rest[1:]), rest[0]
-        yield "initial_last", "", " ".join(words[1:]), words[0]
-        yield "last_initial", "", " ".join(words[:-1]), words[-1]
-        yield "last_only", "", text, ""
+                yield "first_only", [first]
+        yield "initial_last", [("initial", words[0]), ("last", " ".join(words[1:]))]
+        yield "last_initial", [("last", " ".join(words[:-1])), ("initial", words[-1])]
+        yield "last_only", [("last", text)]
         for n in range(1, len(words)):
-            yield "last_first", " ".join(words[n:]), " ".join(words[:n]), ""
+            yield "last_first", [("last", " ".join(words[:n])), ("first", " ".join(words[n:]))]
+
+    def holds(self, sort: str, text: str) -> bool:
+        if sort == "first":
+            return text.lower() in self.first
+        return self.surname(text) if sort == "last" else sort == "comma" or bool(_INITIAL.fullmatch(text))
 
     def parse(self, text: str | None) -> tuple | None:
-        """Values of PARTS, or None. Names from the list replace the written first name, whose casing is kept as style."""
+        """Values of PARTS, or None. ``first_name`` is written as in the list."""
         title, body = self.title(" ".join((text or "").split()))
-        if not body:
-            return None
-        for pattern, first, last, initial in self.readings(body):
-            if pattern not in self.on:
-                continue
-            needs_first, needs_last, needs_initial = "first" in pattern.replace("first_middle", "first"), "last" in pattern, "initial" in pattern
-            if needs_first and first.lower() not in self.first or needs_last and not self.is_last(last) or needs_initial and not _INITIAL.fullmatch(initial):
-                continue
-            return title, self.first.get(first.lower(), ""), last, pattern, initial[:1].upper(), first, last, initial, initial.endswith(".") if initial else True
+        for pattern, written in self.readings(body) if body else ():
+            if pattern in self.on and all(self.holds(*part) for part in written):
+                have = dict(written)
+                return title, self.first.get(have.get("first", "").lower(), ""), have.get("last", ""), pattern, have.get("initial", "")[:1].upper(), [{"sort": s, "text": t} for s, t in written]
         return None
 
 
@@ -109,75 +109,66 @@ def parsed_name(text: Column, lookups: Lookups, patterns: list[str] | None = Non
     return apply.asNondeterministic()(text)
 
 
-def with_style(value: str, style: str) -> str:
-    """All upper or all lower case if the style's letters are; otherwise unchanged."""
-    letters = "".join(filter(str.isalpha, style))
-    return value.upper() if letters and letters.isupper() else value.lower() if letters and letters.islower() else value
-
-
-def styled_initial(source: str, style: str, period: bool) -> str:
-    letter = (source.strip() or "X")[0]
-    return (letter.lower() if style[:1].islower() else letter.upper()) + "." * period
-
-
-#: How each pattern writes first name (f), last name (l), initial (i) and middle initial (m).
-_WRITTEN = {
-    "first_only": "{f}",
-    "last_only": "{l}",
-    "initial_last": "{i} {l}",
-    "last_initial": "{l} {i}",
-    "last_comma_initial": "{l}, {i}",
-    "last_comma_first": "{l}, {f}",
-    "first_middle_initial_last": "{f} {m} {l}",
-    "last_first": "{l} {f}",
-    "first_last": "{f} {l}",
-}
-
-
-def composed(parts: dict, first: str, last: str) -> str:
-    """A name in the pattern, casing and title of the parsed one."""
-    first, last = with_style(first, parts["first_style"]), with_style(last, parts["last_style"])
-    source = first or parts["first_name"] or parts["first_initial"]
-    initial, middle = (styled_initial(x, parts["initial_style"], parts["initial_has_period"]) for x in (source, parts["first_initial"] or source))
-    return " ".join(filter(None, (parts["title"], _WRITTEN[parts["pattern"]].format(f=first, l=last, i=initial, m=middle))))
-
-
-def rendered(parts: dict, form: str, title: str = "dr.") -> str | None:
-    """The name in one of FORMS with proper casing; None where a part that the form needs is missing."""
-    first, last = parts["first_name"].strip(), parts["last_name"].strip()
-    if form == "same":
-        return composed(parts, parts["first_name"], parts["last_name"])
-    if form == "title_dr":
-        return f"{title} {' '.join(filter(None, (first, last)))}" if first or last else None
-    needs_last = form != "first_only"
-    if not first or needs_last and not last:
-        return None
-    initials = [x[0].upper() + "." for x in (first, last) if x]
-    return {"full_name": f"{first} {last}", "first_only": first, "initials_only": "".join(initials), "first_initials": f"{first} {initials[-1]}"}.get(form)
-
-
-def recased(value: str, mode: str) -> str:
-    """The casing modes of the column function of this name, for one text."""
-    if mode == "full":
-        return re.sub(r"[^\W\d_]+", lambda m: m[0].capitalize(), value)
-    if mode == "first_only":
-        low = value.lower()
-        at = next((i for i, c in enumerate(low) if c.isalpha()), len(low))
-        return low[:at] + low[at : at + 1].upper() + low[at + 1 :]
-    return {"lower": value.lower(), "upper": value.upper()}.get(mode, value)
-
-
-def drawn(*parts: object) -> int:
-    """A draw below 2**32 that depends only on the given values, not on order or partitioning."""
-    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
-
-
-def other_name(parts: dict, lookups: Lookups, *key: object) -> str:
-    """A listed name in the same form that differs from the parsed one; the last of ten keyed draws if none does."""
-    for attempt in range(10):
-        first, last = (names[drawn(*key, attempt, kind) % len(names)] for names, kind in ((lookups.first_names, "f"), (lookups.surnames, "l")))
-        new_first, new_last = first.lower() != parts["first_name"].lower(), last.lower() != parts["last_name"].lower()
-        pattern = parts["pattern"]
-        if new_first if pattern == "first_only" else new_last if pattern == "last_only" or "initial" in pattern and "middle" not in pattern else new_first or new_last:
-            break
-    return composed(parts, "" if pattern == "last_only" else first, "" if pattern == "first_only" else last)
+def cased_like(value: Column, model: Column) -> Column:
+    """``value`` in capitals or small letters if all letters of ``model`` are; otherwise as it is."""
+    letters = F.regexp_replace(model, r"\P{L}+", "")
+    return F.when(F.upper(letters) == F.lower(letters), value).when(letters == F.upper(letters), F.upper(value)).when(letters == F.lower(letters), F.lower(value)).otherwise(value)
+
+
+def composed(parts: Column, first: Column, last: Column) -> Column:
+    """A name with the title, order and casing of the parsed one; an initial is that of ``first``, or stays if that is empty.
+
+    The initial between a first name and a surname is a middle one and stays.
+    """
+    middle = parts["pattern"] == "first_middle_initial_last"
+
+    def letter(w: Column) -> Column:
+        source = F.when(middle | (first == ""), w["text"]).otherwise(first)
+        return F.concat(cased_like(F.upper(F.substring(F.trim(source), 1, 1)), F.substring(w["text"], 1, 1)), F.when(w["text"].endswith("."), ".").otherwise(""))
+
+    def write(w: Column) -> Column:
+        return F.when(w["sort"] == "first", cased_like(first, w["text"])).when(w["sort"] == "last", cased_like(last, w["text"])).when(w["sort"] == "initial", letter(w)).otherwise(w["text"])
+
+    whole = F.concat(F.array(parts["title"]), F.transform(parts["written"], write))
+    return F.replace(F.array_join(F.filter(whole, lambda x: x != ""), " "), F.lit(" ,"), F.lit(","))
+
+
+def rendered(parts: Column, form: str, title: str = "dr.") -> Column:
+    """The name in one of FORMS; null where a part that the form needs is missing, and for other forms."""
+    first, last = F.trim(parts["first_name"]), F.trim(parts["last_name"])
+    initial = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lit("."))
+    both = F.when((first != "") & (last != ""), F.concat(first, F.lit(" "), last))
+    forms = {
+        "same": composed(parts, parts["first_name"], parts["last_name"]),
+        "full_name": both,
+        "first_only": F.nullif(first, F.lit("")),
+        "initials_only": F.when(both.isNotNull(), F.concat(initial(first), initial(last))),
+        "first_initials": F.when(both.isNotNull(), F.concat(first, F.lit(" "), initial(last))),
+        "title_dr": F.concat(F.lit(f"{title} "), F.coalesce(both, F.nullif(F.concat(first, last), F.lit("")))),
+    }
+    return forms.get(form, F.lit(None).cast("string"))
+
+
+def listed(values: list[str]) -> Column:
+    """A list of texts as one constant."""
+    return F.split(F.lit("\u001f".join(values)), "\u001f")
+
+
+def other_name(parts: Column, lookups: Lookups, draw: Callable[[Column, str], Column]) -> Column:
+    """A listed name written like the parsed one but not equal to it; the last of DRAWS draws if none differs.
+
+    ``draw`` gives a number for an attempt and ``f`` or ``l``. A draw must bring a new first name if only that is written, a
+    new surname if that is written alone or with an initial, otherwise one of both.
+    """
+    written = F.transform(parts["written"], lambda w: w["sort"])
+    has_first, has_last = F.array_contains(written, "first"), F.array_contains(written, "last")
+
+    def pick(attempt: Column) -> Column:
+        return F.struct(*[F.get(listed(values), F.pmod(draw(attempt, kind), F.lit(len(values))).cast("int")).alias(name) for name, kind, values in (("first", "f", lookups.first_names), ("last", "l", lookups.surnames))])
+
+    def fresh(name: Column) -> Column:
+        first, last = F.lower(name["first"]) != F.lower(parts["first_name"]), F.lower(name["last"]) != F.lower(parts["last_name"])
+        return F.when(~has_last, first).when(~has_first, last).otherwise(first | last)
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS - 1)), pick(F.lit(0)), lambda name, attempt: F.when(fresh(name), name).otherwise(pick(attempt)))
+    return F.get(F.transform(F.array(chosen), lambda name: composed(parts, name["first"], name["last"])), F.lit(0))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.labels import label_key, role_of
-from ..functions.names import CASINGS, FORMS, Lookups, parsed_name
-from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, spliced, years, years_shifted
+from ..functions.names import CASINGS, FORMS, PATTERNS, Lookups, parsed_name
+from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, recased, spliced, years, years_shifted
 
 #: Ways of writing an age, with %s for the number.
 AGE_FORMS = ["%s jaar", "%s j.", "%s jr.", "%s-jarige", "%s jaar oud", "%sj"]
@@ -34,6 +32,7 @@ class Plan:
     trials: int = 25
     seed: int = 42
     title: str = "dr."
+    patterns: list[str] = field(default_factory=lambda: list(PATTERNS))
 
 
 def drawn(*parts: Column) -> Column:
@@ -48,40 +47,27 @@ def _options(dimension: str, values: list[tuple[Column, Column]]) -> Column:
 
 def _new(options: Column, original: Column) -> Column:
     """Options whose replacement is filled and neither the original nor an earlier option's."""
-    written = F.transform(options, lambda o: F.coalesce(o["replacement"], F.lit("")))
-    return F.filter(options, lambda o, i: (F.coalesce(o["replacement"], F.lit("")) != "") & (o["replacement"] != original) & (F.array_position(written, o["replacement"]) == i + 1))
-
-
-def name_options(plan: Plan, lookups: Lookups) -> Callable[[Column, Column, Column], Column]:
-    """A column function of document_id, span_index and the parts of a name: casings and forms share what they have
-    seen, other names have their own."""
-
-    @F.pandas_udf(_OPTION)
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
-        for documents, places, parts in batches:
-            out = []
-            for document, place, p, base in zip(documents, places, parts.to_dict("records"), parts["base_text"], strict=True):
-                if p["pattern"] is None:
-                    out.append([])
-                    continue
-                same = names.composed(p, p["first_name"], p["last_name"])
-                tried = [("capitalization", m, names.recased(same, m)) for m in plan.casings]
-                tried += [("format", f, names.rendered(p, f, plan.title)) for f in plan.forms]
-                found, seen = [], {base}
-                for option in tried:
-                    if option[2] and option[2] not in seen:
-                        seen.add(option[2])
-                        found.append(option)
-                seen = {base}
-                for trial in range(plan.trials):
-                    text = names.other_name(p, lookups, plan.seed, document, place, trial)
-                    if text and text not in seen:
-                        seen.add(text)
-                        found.append(("name_source", f"other_{trial}", text))
-                out.append([{"dimension": d, "value": v, "replacement": r} for d, v, r in found])
-            yield pd.Series(out, dtype=object)
-
-    return apply
+
+    def fresh(known: Column) -> Column:  # the options are worked out once
+        written = F.transform(known, lambda o: F.coalesce(o["replacement"], F.lit("")))
+        return F.filter(known, lambda o, i: (F.coalesce(o["replacement"], F.lit("")) != "") & (o["replacement"] != original) & (F.array_position(written, o["replacement"]) == i + 1))
+
+    return F.get(F.transform(F.array(options), fresh), F.lit(0))
+
+
+def name_options(plan: Plan, lookups: Lookups) -> Column:
+    """All changes of a name target: casings and forms share what they have seen, other names have their own."""
+    parts, base = F.col("parts"), F.col("base_text")
+    same = names.composed(parts, parts["first_name"], parts["last_name"])
+    tried = _options("capitalization", [(F.lit(m), recased(same, m)) for m in plan.casings])
+    tried = F.concat(tried, _options("format", [(F.lit(f), names.rendered(parts, f, plan.title)) for f in plan.forms]))
+
+    def other(trial: Column) -> Column:
+        draw = lambda attempt, kind: drawn(F.lit(str(plan.seed)), F.col("document_id"), F.col("span_index").cast("string"), trial.cast("string"), attempt.cast("string"), F.lit(kind))
+        return F.struct(F.lit("name_source").alias("dimension"), F.concat(F.lit("other_"), trial.cast("string")).alias("value"), names.other_name(parts, lookups, draw).alias("replacement"))
+
+    others = F.transform(F.sequence(F.lit(0), F.lit(plan.trials - 1)), other) if plan.trials > 0 else _options("name_source", [])
+    return F.concat(_new(tried, base), _new(others, base))
 
 
 def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
@@ -101,7 +87,7 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
         return F.exists(F.array(*[label_key(F.lit(x)) for x in labels]), lambda a: F.contains(key, a)) if labels else F.lit(False)
 
     spans = spans.withColumn("is_name", among(plan.name_labels)).where(F.col("is_name") | among(plan.date_labels))
-    spans = spans.withColumn("parts", parsed_name(F.when(F.col("is_name"), F.col("base_text")), lookups))
+    spans = spans.withColumn("parts", parsed_name(F.when(F.col("is_name"), F.col("base_text")), lookups, plan.patterns))
     spans = spans.where(~F.col("is_name") | F.col("parts.pattern").isNotNull())
     dated = date_parsed(F.col("base_text")).isNotNull()
     kind = F.when(F.col("is_name"), "name").when(dated, "date").otherwise("age")
@@ -113,8 +99,7 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
 def with_options(rows: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     """Targets with ``options``: all changes as array<struct<dimension, value, replacement>>, the unchanged baseline first."""
     base, kind, first_year = F.col("base_text"), F.col("kind"), F.col("first_year")
-    parts = F.struct("parts.*", "base_text")
-    rows = rows.withColumn("named", name_options(plan, lookups)(F.col("document_id"), F.col("span_index"), parts))
+    rows = rows.withColumn("named", F.when(kind == "name", name_options(plan, lookups)))
     rows = rows.withColumn("date", F.when(kind == "date", date_parsed(base))).withColumn("first_year", F.when(kind == "date", F.get(years(base), F.lit(0))))
     grid = F.array(*[F.lit(y) for y in range(plan.year_min, plan.year_max + 1, max(1, plan.year_step))]).cast("array<int>")
     shifted = F.transform(grid, lambda y: F.struct(F.lit("date_value_shift").alias("dimension"), y.cast("string").alias("value"), years_shifted(base, y - first_year).alias("replacement")))

@@ -252,12 +252,15 @@ def span_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edits(spark, sf_dir).groupBy("document_id").agg(*counts, F.count("*").alias("total_ops"))
 
 
-@register("SELECT doc_id, 3 AS \"begin\", 7 AS \"end\", md5(substr(text, 1, 2) || '[X' || lang || ']' || substr(text, 6)) AS text_md5 FROM documents WHERE length(text) >= 5")
+@register("""SELECT doc_id, 2 AS "begin", 2 + length(new) AS "end", md5(changed) AS text_md5, substr(changed, 3, length(new)) = new AS valid
+FROM (SELECT *, substr(text, 1, 2) || new || substr(text, 6) AS changed FROM (SELECT doc_id, text, '[' || coalesce(source, '') || repeat('x', CAST(doc_id % 7 AS INTEGER)) || ']' AS new FROM documents WHERE length(text) >= 5))""")
 def replace_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters 2 to 5 replaced by texts of several lengths, with the new offsets and whether they hold the new text."""
     docs = derived.table(spark, sf_dir, "documents").where(F.length("text") >= 5)
-    new = F.concat(F.lit("[X"), F.col("lang"), F.lit("]"))
-    text = T.spliced(F.col("text"), F.lit(2), F.lit(5), new)
-    return docs.select("doc_id", F.lit(3).alias("begin"), (F.lit(2) + F.length(new)).alias("stop"), F.md5(text).alias("text_md5")).select("doc_id", "begin", F.lit(7).alias("end"), "text_md5")
+    new = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.repeat(F.lit("x"), (F.col("doc_id") % 7).cast("int")), F.lit("]"))
+    begin, text = F.lit(2), T.spliced(F.col("text"), F.lit(2), F.lit(5), new)
+    end = begin + F.length(new)
+    return docs.select("doc_id", begin.alias("begin"), end.alias("end"), F.md5(text).alias("text_md5"), T.offsets_valid(text, begin, end, new).alias("valid"))
 
 
 @register("SELECT doc_id, md5('[A]' || substr(text, 4, 3) || substr(text, 9, 12) || '[longer]' || substr(text, 26)) AS text_md5 FROM documents WHERE length(text) >= 25")
