@@ -49,6 +49,9 @@ def test_settings_and_lists(spark, tmp_path, monkeypatch):
     assert "100.0%" in (tmp_path / "out/x/m.md").read_text()
     cli.adjust(spark, {"a": got.output_dir}, str(tmp_path / "adjusted"))
     assert json.loads((tmp_path / "adjusted/stability_multiple_testing.json").read_text())[0]["family_size"] == 0
+    with pytest.raises(ValueError, match="missing scopes: .'b'.; unexpected scopes: .'a'."):
+        cli.adjust(spark, {"a": got.output_dir}, str(tmp_path / "adjusted"), ["b"])
+    assert spark.read.option("header", True).csv(f"{got.output_dir}/recall").columns == cli.RECALL_COLUMNS
     assert cli.scopes(["a=b"]) == {"a": "b"}
     with pytest.raises(ValueError, match="NAME=PATH"):
         cli.scopes(["a=b", "a=c"])
@@ -59,6 +62,30 @@ def test_settings_and_lists(spark, tmp_path, monkeypatch):
     assert config.read_timings(spark, str(tmp_path / "again.yaml")).count() == 1
 
 
+def finder(checkpoint, device):
+    return lambda variant_id, text: [{"begin": text.find("Eva"), "end": text.find("Eva") + 3, "label": "Name:Patient", "category": None}] if "Eva" in text else []
+
+
+def test_run_from_documents_to_report(spark, tmp_path):
+    for name, body in (("prefixes", "dr.\n"), ("first_names", "Eva\nBo\n"), ("surnames", "Maes\nClaes\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "items.txt").write_text(body)
+    docs = [{"document_id": f"n{i}", "text": "Eva zag ons.", "spans": [{"begin": 0, "end": 3, "label": "Name:Patient"}, {"begin": 4, "end": 7, "label": "Name:Patient"}]} for i in (3, 1, 2)]
+    (tmp_path / "g.jsonl").write_text("".join(json.dumps(d) + "\n" for d in docs))
+    (tmp_path / "c.yaml").write_text("dataset: g.jsonl\nname: {other_trials: 2}\nmodels: [{id: m, loader: 'tests.test_commands:finder'}]\n")
+    flags = ["--config", str(tmp_path / "c.yaml"), "--names", str(tmp_path)]
+    assert cli.main(["stability", "run", *flags, "--max-docs", "2"]) == 0
+    out = tmp_path / "outputs"
+    made = spark.read.parquet(f"{out}/variants")
+    assert {r[0] for r in made.select("document_id").distinct().collect()} == {"n3", "n1"}
+    assert json.loads((out / "expand_summary.json").read_text())["counts"]["name::parse_failed"] == 2
+    assert json.loads((out / "inference_summary.json").read_text())["m"]["n_variants"] == made.count()
+    recall = spark.read.option("header", True).csv(f"{out}/recall").where("dimension = 'baseline' and level = 'label'").first()
+    assert (recall["full_recall"], recall["bootstrap_ci95_lower"], recall["n_clusters"]) == ("1.0", "1.0", "2")
+    with pytest.raises(SystemExit):
+        cli.main(["stability", "analyze", *flags, "--only", "other"])
+
+
 def test_streaming_scores(spark, tmp_path):
     gold = spark.createDataFrame([("n1", "Eva zag Bo.", [(0, 3, "A", [(0, 3, "given")])], True, None), ("n2", "abc", [], False, None)], "document_id string, text string, spans array<struct<begin:bigint,end:bigint,label:string,subannotations:array<struct<begin:bigint,end:bigint,category:string>>>>, has_nested boolean, subannotations array<struct<begin:bigint,end:bigint,category:string>>")
     (tmp_path / "in").mkdir()

@@ -7,14 +7,19 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import importlib
 import json
 import sys
+from functools import reduce
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import perturb, report, scoring, stability
+from .session import settle
 from .sources import config, documents
 
 
@@ -39,61 +44,117 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
         print(json.dumps(made, indent=2, sort_keys=True, ensure_ascii=False))
 
 
+#: Names of the counters of variants; fixed values where they differ from the dimension.
+COUNTERS = {"name_source": "other", "date_value_shift": "value_shift", "date_format": "format", "age_format": "format"}
+#: Columns of the recall table and the scopes that are adjusted together; fixed values.
+RECALL_COLUMNS = ["model", "level", "kind", "role", "dimension", "dimension_value", "total", "full", "partial", "missed", "full_recall", "partial_recall", "full_plus_partial_recall", "n_clusters", "bootstrap_ci95_lower", "bootstrap_ci95_upper"]
+SCOPES = ["uza", "synthetic", "primary-care"]
+
+
 def expand(spark: SparkSession, settings: config.Settings, names: str, dry_run: bool) -> dict:
     """Write variants and a summary of their counts."""
-    rows = documents.read_gold(spark, settings.dataset)
+    rows = documents.read_gold(spark, settings.dataset, settings.max_docs)
     if settings.text_source:
         rows = documents.with_texts(rows.withColumn("plain_text", F.lit(None).cast("string")), documents.read_texts(spark, settings.text_source))
-    if settings.max_docs:
-        rows = rows.orderBy("document_id").limit(settings.max_docs)
     notes = rows.select("document_id", "text", F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label"))).alias("spans"))
-    made = perturb.variants(notes, settings.plan, config.read_lookups(names))
+    lookups = config.read_lookups(names)
+    made = perturb.variants(notes, settings.plan, lookups)
     if not dry_run:
         made.write.mode("overwrite").parquet(f"{settings.output_dir}/variants")
         made = spark.read.parquet(f"{settings.output_dir}/variants")
-    counts = {f"{r[0]}::{r[1]}": r[2] for r in made.groupBy("target.kind", "target.dimension").count().collect()}
-    summary = {"counts": counts | {"variants_total": sum(counts.values())}, "dry_run": dry_run, "seed": settings.plan.seed}
+    counts = {f"{r[0]}::{COUNTERS.get(r[1], r[1])}": r[2] for r in made.groupBy("target.kind", "target.dimension").count().collect()}
+    total = sum(counts.values())
+    if failed := perturb.unread(notes, settings.plan, lookups).count():
+        counts["name::parse_failed"] = failed
+    summary = {"counts": counts | {"variants_total": total}, "dry_run": dry_run, "seed": settings.plan.seed}
     if not dry_run:
         report.write_json(summary, f"{settings.output_dir}/expand_summary.json")
     return summary
 
 
+def chosen(settings: config.Settings, only: list[str] | None) -> list[config.Model]:
+    """The models of a run; unknown names in ``only`` are an error."""
+    if unknown := set(only or []) - {m.id for m in settings.models}:
+        raise ValueError(f"no such models: {sorted(unknown)}")
+    return [m for m in settings.models if not only or m.id in only]
+
+
+def infer(spark: SparkSession, settings: config.Settings, only: list[str] | None) -> dict:
+    """Predictions of each model for the written variants, and a summary.
+
+    A model's option ``loader`` names a function as module:function; called with the checkpoint and the device in each task, it
+    gives the function of id and text that predicts.
+    """
+    variants, summary = spark.read.parquet(f"{settings.output_dir}/variants"), {}
+    for model in chosen(settings, only):
+        module, _, name = str(model.options.get("loader") or "").partition(":")
+        if not module or not name:
+            raise ValueError(f"model {model.id} has no loader (module:function)")
+        checkpoint, device = model.checkpoint, settings.device
+        path = f"{settings.output_dir}/predictions/{model.id}"
+        stability.inferred(variants, lambda m=module, n=name, c=checkpoint, d=device: getattr(importlib.import_module(m), n)(c, d)).write.mode("overwrite").parquet(path)
+        totals = spark.read.parquet(path).agg(F.count("*").alias("n_variants"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n_spans")).first()
+        summary[model.id] = totals.asDict() | {"device": device}
+    report.write_json(summary, f"{settings.output_dir}/inference_summary.json")
+    return summary
+
+
+def _predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """A model's predictions; None if there are none at all."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def analyze(spark: SparkSession, settings: config.Settings, only: list[str] | None) -> None:
-    """Recall tables, degradation and a report for each model that has predictions (variant_id, spans)."""
-    variants = spark.read.parquet(f"{settings.output_dir}/variants").drop("text")
-    done = 0
-    for model in settings.models:
-        path = Path(settings.output_dir, "predictions", model.id)
-        if only and model.id not in only or not path.exists():
+    """Recall tables, degradation and a report for each model that has predictions (variant_id, spans).
+
+    Under the output folder: ``recall`` (CSV), ``pooled_recall`` (CSV, roles pooled) and ``degradation`` (Parquet by model and
+    level), with intervals, and a report in Markdown for each model.
+    """
+    variants, done = spark.read.parquet(f"{settings.output_dir}/variants").drop("text"), 0
+    recall, pooled, cells = [], [], []
+    for model in chosen(settings, only):
+        predictions = _predictions(spark, f"{settings.output_dir}/predictions/{model.id}")
+        if predictions is None:
             continue
         done += 1
-        joined = stability.with_predictions(variants, spark.read.parquet(str(path)))
+        joined = stability.with_predictions(variants, predictions)
         for level in ("category", "label"):
-            rows = stability.scored(joined, level)
-            pooled = stability.recalls_with_intervals(rows, "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
-            pooled.withColumn("level", F.lit(level)).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{model.id}.{level}.pooled_recall")
-            stability.recalls_with_intervals(rows, "kind", "role", "dimension", "dimension_value").withColumn("level", F.lit(level)).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{model.id}.{level}.recall")
-            paired = stability.pairs(rows)
-            stats = stability.clusters(paired, ["dimension", "role"], F.col("original") - F.col("transformed"))
-            cells: DataFrame = stability.degradation(paired).join(stability.sign_flip_p(stats, ["dimension", "role"], settings.plan.seed), ["dimension", "role"]).join(stability.intervals(stats, ["dimension", "role"], settings.plan.seed), ["dimension", "role"])
-            cells.write.mode("overwrite").parquet(f"{settings.output_dir}/{model.id}.{level}.degradation")
+            rows = settle(stability.scored(joined, level))  # narrow, and read by all that follows
+            mark = lambda df, m=model.id, v=level: df.withColumn("model", F.lit(m)).withColumn("level", F.lit(v))
+            ends = lambda df: df.withColumnsRenamed({"lower": "bootstrap_ci95_lower", "upper": "bootstrap_ci95_upper"})
+            recall.append(mark(ends(stability.recalls_with_intervals(rows, "kind", "role", "dimension", "dimension_value"))).select(*RECALL_COLUMNS))
+            pooled.append(mark(ends(stability.recalls_with_intervals(rows, "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__")))).select(*RECALL_COLUMNS))
+            paired, keys = stability.pairs(rows), ["dimension", "role"]
+            stats = settle(stability.clusters(paired, keys, F.col("original") - F.col("transformed")))
+            tested = stability.sign_flip_p(stats, keys, settings.plan.seed).join(stability.intervals(stats, keys, settings.plan.seed), keys)
+            one = settle(stability.degradation(paired).join(tested, keys))
+            cells.append(mark(one))
             if level == "category":
-                text = report.stability_report(model.id, stability.baseline(rows).first(), [r.asDict() for r in cells.collect()])
-                Path(settings.output_dir, f"{model.id}.md").write_text(text, encoding="utf-8")
+                text = report.stability_report(model.id, stability.baseline(rows).first(), [r.asDict() for r in one.collect()])
+                report.write_text(text, f"{settings.output_dir}/{model.id}.md")
     if not done:
         raise ValueError("no model has predictions")
+    for name, parts in (("recall", recall), ("pooled_recall", pooled)):
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{name}")
+    reduce(DataFrame.unionByName, cells).write.mode("overwrite").partitionBy("model", "level").parquet(f"{settings.output_dir}/degradation")
+
 
+def adjust(spark: SparkSession, files: dict[str, str], output: str, expected: list[str] | None = None) -> None:
+    """Adjust degradation cells across scopes; each path is the output folder of an analysis.
 
-def adjust(spark: SparkSession, files: dict[str, str], output: str) -> None:
-    """Adjust degradation cells across scopes; each path is a folder of <model>.category.degradation tables."""
-    cells = None
-    for scope, folder in files.items():
-        for path in sorted(Path(folder).glob("*.category.degradation")):
-            one = spark.read.parquet(str(path)).withColumn("scope", F.lit(scope)).withColumn("model", F.lit(path.name.split(".")[0]))
-            cells = one if cells is None else cells.unionByName(one)
-    if cells is None:
+    The scopes must be exactly the ``expected`` ones; by default any are taken.
+    """
+    if expected is not None and set(expected) != set(files):
+        raise ValueError(f"missing scopes: {sorted(set(expected) - set(files))}; unexpected scopes: {sorted(set(files) - set(expected))}")
+    parts = [spark.read.parquet(f"{folder}/degradation").where("level = 'category'").withColumn("scope", F.lit(scope)) for scope, folder in files.items()]
+    if not parts:
         raise ValueError("no degradation tables")
-    adjusted = stability.adjusted(cells, list(files))
+    adjusted = stability.adjusted(reduce(DataFrame.unionByName, parts), list(files))
     documents.write_table(adjusted.select("model", "scope", "dimension", "role", "n_pairs", "n_clusters", "mean_degradation", "p_one_sided", "q", "significant"), f"{output}/stability_multiple_testing")
     report.write_json([r.asDict() for r in stability.manifest(adjusted).collect()], f"{output}/stability_multiple_testing.json")
 
@@ -114,14 +175,16 @@ def main(argv: list[str] | None = None) -> int:
     two.add_argument("--formats", default="png,pdf")
     two.add_argument("--dpi", type=int, default=300)
     steps = commands.add_parser("stability").add_subparsers(dest="step", required=True)
-    for step in ("expand", "analyze"):
+    for step in ("expand", "infer", "analyze", "run"):
         sub = steps.add_parser(step)
         sub.add_argument("--config", required=True)
         sub.add_argument("--names", help="folder of name lists")
+        sub.add_argument("--max-docs", type=int)
         sub.add_argument("--dry-run", action="store_true")
         sub.add_argument("--only", type=lambda v: [x.strip() for x in v.split(",") if x.strip()])
     sub = steps.add_parser("adjust")
     sub.add_argument("--scope", action="append", required=True)
+    sub.add_argument("--expected", type=lambda v: [x.strip() for x in v.split(",") if x.strip()], default=SCOPES)
     sub.add_argument("--output-dir", required=True)
     args = parser.parse_args(argv)
     try:
@@ -131,12 +194,18 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.getOrCreate()
         if args.command == "score":
             score(spark, args)
-        elif args.step == "expand":
-            print(json.dumps(expand(spark, config.read_settings(args.config), args.names, args.dry_run)))
-        elif args.step == "analyze":
-            analyze(spark, config.read_settings(args.config), args.only)
+        elif args.step == "adjust":
+            adjust(spark, scopes(args.scope), args.output_dir, args.expected)
         else:
-            adjust(spark, scopes(args.scope), args.output_dir)
+            settings = config.read_settings(args.config)
+            if args.max_docs is not None:
+                settings = dataclasses.replace(settings, max_docs=args.max_docs)
+            if args.step in ("expand", "run"):
+                print(json.dumps(expand(spark, settings, args.names, args.dry_run)))
+            if args.step in ("infer", "run") and not args.dry_run:
+                print(json.dumps(infer(spark, settings, args.only)))
+            if args.step in ("analyze", "run") and not args.dry_run:
+                analyze(spark, settings, args.only)
     except ValueError as error:
         parser.error(str(error))
     return 0

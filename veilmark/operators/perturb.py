@@ -70,12 +70,8 @@ def name_options(plan: Plan, lookups: Lookups) -> Column:
     return F.concat(_new(tried, base), _new(others, base))
 
 
-def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
-    """One row for each usable target: document_id, text, begin, end, label, base_text, kind, role, parts, span_index.
-
-    Spans out of the text are skipped; name spans that no pattern reads are skipped and take no index. A span counts as a
-    name before it counts as a date.
-    """
+def candidates(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
+    """Spans inside their texts with a label of the plan: row, document_id, text, place, begin, end, label, base_text, is_name, parts."""
     numbered = notes.withColumn("row", F.monotonically_increasing_id())  # before the spans are taken apart
     spans = numbered.select("row", "document_id", "text", F.posexplode("spans").alias("place", "s"))
     base = F.col("text").substr((F.col("s.begin") + 1).cast("int"), (F.col("s.end") - F.col("s.begin")).cast("int"))
@@ -87,8 +83,21 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
         return F.exists(F.array(*[label_key(F.lit(x)) for x in labels]), lambda a: F.contains(key, a)) if labels else F.lit(False)
 
     spans = spans.withColumn("is_name", among(plan.name_labels)).where(F.col("is_name") | among(plan.date_labels))
-    spans = spans.withColumn("parts", parsed_name(F.when(F.col("is_name"), F.col("base_text")), lookups, plan.patterns))
-    spans = spans.where(~F.col("is_name") | F.col("parts.pattern").isNotNull())
+    return spans.withColumn("parts", parsed_name(F.when(F.col("is_name"), F.col("base_text")), lookups, plan.patterns))
+
+
+def unread(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
+    """Name spans that no pattern reads."""
+    return candidates(notes, plan, lookups).where(F.col("is_name") & F.col("parts.pattern").isNull())
+
+
+def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
+    """One row for each usable target: document_id, text, begin, end, label, base_text, kind, role, parts, span_index.
+
+    Spans out of the text are skipped; name spans that no pattern reads are skipped and take no index. A span counts as a
+    name before it counts as a date.
+    """
+    spans = candidates(notes, plan, lookups).where(~F.col("is_name") | F.col("parts.pattern").isNotNull())
     dated = date_parsed(F.col("base_text")).isNotNull()
     kind = F.when(F.col("is_name"), "name").when(dated, "date").otherwise("age")
     role = F.when(F.col("is_name"), F.coalesce(role_of(F.col("label")), F.lit("name"))).when(dated, "date").otherwise("age")

@@ -42,6 +42,11 @@ def write_json(value: Any, path: str) -> None:
     part.replace(target)
 
 
+def write_text(text: str, path: str) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(text, encoding="utf-8")
+
+
 def percent(x: float | None) -> str:
     return "n/a" if x is None else f"{100 * x:.1f}%"
 

@@ -6,6 +6,8 @@ VARIANT and projected. A malformed line is an error; blank lines are passed over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,12 @@ _SUB = "array<struct<begin:bigint,end:bigint,category:string>>"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(ord, v): a VARIANT for each line that is not blank, numbered in reading order."""
-    text = spark.read.text(path).where("trim(value) <> ''")
-    return text.select(F.monotonically_increasing_id().alias("ord"), F.parse_json("value").alias("v"))
+    """(ord, v): a VARIANT for each line that is not blank, numbered in reading order: by path as given, then by line."""
+    parts = []
+    for i, one in enumerate([path] if isinstance(path, str) else path):
+        text = spark.read.text(one).where("trim(value) <> ''")
+        parts.append(text.select((F.monotonically_increasing_id() + i * 2**50).alias("ord"), F.parse_json("value").alias("v")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def field(path: str, kind: str = "string", of: str = "v") -> Column:
@@ -41,8 +46,8 @@ def _whole(name: str, v: Column) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"span without a valid {name}")).cast("bigint"))
 
 
-def read_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """document_id, text, spans, has_nested, subannotations as scoring takes them."""
+def read_gold(spark: SparkSession, path: str | list[str], first: int = 0) -> DataFrame:
+    """document_id, text, spans, has_nested, subannotations as scoring takes them; of the ``first`` documents read, or all."""
     rows = lines(spark, path)
     spans = F.coalesce(F.try_variant_get("v", "$.spans", "array<variant>"), F.array().cast("array<variant>"))
 
@@ -68,7 +73,8 @@ def read_gold(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.exists(spans, lambda s: has_key(s, "subannotations")).alias("has_nested"),
         subs(F.col("v")).alias("subannotations"),
     )
-    return last_rows(docs, "document_id", "ord").drop("ord")
+    last = last_rows(docs, "document_id", "ord")
+    return (last.orderBy("ord").limit(first) if first > 0 else last).drop("ord")
 
 
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -77,7 +83,12 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(document_id, text) from lines, a JSON list of rows, or a JSON object of texts or of objects with a text."""
+    """(document_id, text) from lines, a JSON list of rows, or a JSON object of texts or of objects with a text.
+
+    Files whose names say that they hold lines are never read whole.
+    """
+    if path.endswith((".jsonl", ".jsonl.gz", ".ndjson")):
+        return _with_text(lines(spark, path))
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     kind = whole.select(F.schema_of_variant("v")).first()
     if kind and kind[0] and kind[0].startswith("ARRAY"):
@@ -87,6 +98,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         return entries.select(F.col("id").alias("document_id"), F.coalesce(first_filled(field("text"), field("plain_text")), F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")), F.lit("")).alias("text"))
     else:
         rows = lines(spark, path)
+    return _with_text(rows)
+
+
+def _with_text(rows: DataFrame) -> DataFrame:
     return rows.select(identity("document_id", "doc_id", "id").alias("document_id"), F.coalesce(first_filled(field("text"), field("plain_text")), F.lit("")).alias("text"))
 
 
