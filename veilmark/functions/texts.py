@@ -46,11 +46,21 @@ def years(text: Column) -> Column:
 
 def years_shifted(text: Column, delta: Column) -> Column:
     """Every year moved by ``delta``, written with four digits."""
-    moved = F.transform(years(text), lambda y: F.lpad((y + delta).cast("string"), 4, "0"))
-    gaps = F.split(text, _YEAR, -1)
+    return _rewritten(F.split(text, _YEAR, -1), years(text), delta)
+
+
+def _rewritten(gaps: Column, found: Column, delta: Column) -> Column:
+    moved = F.transform(found, lambda y: F.lpad((y + delta).cast("string"), 4, "0"))
     return F.array_join(F.zip_with(gaps, moved, lambda gap, year: F.concat(gap, F.coalesce(year, F.lit("")))), "")
 
 
+def years_moved(text: Column, first: Column) -> Column:
+    """The text's years moved so that the first becomes each of the array ``first``; the text is searched once."""
+    known = F.array(F.struct(F.split(text, _YEAR, -1).alias("gaps"), years(text).alias("years")))
+    each = F.transform(known, lambda k: F.transform(first, lambda y: _rewritten(k["gaps"], k["years"], y - F.get(k["years"], F.lit(0)))))
+    return F.get(each, F.lit(0))
+
+
 def recased(value: Column, mode: str) -> Column:
     """full: each run of letters capitalised; first_only: the first letter alone; lower; upper. Others leave it as it is."""
     if mode == "lower":

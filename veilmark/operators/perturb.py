@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.labels import label_key, role_of
 from ..functions.names import CASINGS, FORMS, PATTERNS, Lookups, parsed_name
-from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, recased, spliced, years, years_shifted
+from ..functions.texts import DATE_PROFILES, date_parsed, date_rendered, recased, spliced, years, years_moved
 
 #: Ways of writing an age, with %s for the number.
 AGE_FORMS = ["%s jaar", "%s j.", "%s jr.", "%s-jarige", "%s jaar oud", "%sj"]
@@ -111,7 +111,7 @@ def with_options(rows: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     rows = rows.withColumn("named", F.when(kind == "name", name_options(plan, lookups)))
     rows = rows.withColumn("date", F.when(kind == "date", date_parsed(base))).withColumn("first_year", F.when(kind == "date", F.get(years(base), F.lit(0))))
     grid = F.array(*[F.lit(y) for y in range(plan.year_min, plan.year_max + 1, max(1, plan.year_step))]).cast("array<int>")
-    shifted = F.transform(grid, lambda y: F.struct(F.lit("date_value_shift").alias("dimension"), y.cast("string").alias("value"), years_shifted(base, y - first_year).alias("replacement")))
+    shifted = F.zip_with(grid, years_moved(base, grid), lambda y, text: F.struct(F.lit("date_value_shift").alias("dimension"), y.cast("string").alias("value"), text.alias("replacement")))
     formats = _options("date_format", [(F.lit(p), date_rendered(F.col("date"), p)) for p in plan.date_profiles])
     number = F.regexp_extract(base, "[0-9]+", 0)
     ages = _options("age_format", [(F.lit(f"age_{i}"), F.when(number != "", F.format_string(a, number))) for i, a in enumerate(AGE_FORMS)])
