@@ -161,25 +161,26 @@ def bootstrapped(seeds: DataFrame, unseen: DataFrame) -> DataFrame:
     A pattern (kind, before) that a trusted identifier stands in has the mean score of its identifiers as its confidence,
     if SUPPORT of them are trusted; seeds score 1, unseen ones at first 0. An unseen identifier's score is one minus the
     product of its patterns' doubts, rounded. Scores only rise, so rounds end. Accepted are identifiers of a trusted score in
-    their places after patterns of a trusted confidence.
+    their places after patterns of a trusted confidence. Seeds count once, by pattern, before the rounds; a round groups by
+    pattern and by identifier, and its scores are stored, so Spark knows their size and shuffles no more than it has to.
     """
-    seeds = seeds.withColumn("score", F.lit(1.0))
+    trusted = seeds.groupBy("kind", "before").agg(F.count("*").alias("n"))
+    trusted = trusted.select("kind", "before", F.col("n").cast("double").alias("sum"), F.col("n").alias("trusted"), "n")
     scores, seen = None, None
     while True:
-        known, held = seeds.select("kind", "before"), unseen.withColumn("score", F.lit(0.0))
+        held = unseen.withColumn("score", F.lit(0.0))
         if scores is not None:
             held = unseen.join(scores, ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-            known = known.unionByName(held.where(F.col("score") >= TRUSTED).select("kind", "before"))
-        held = held.join(known.distinct(), ["kind", "before"], "left_semi")
-        good = held.unionByName(seeds).groupBy("kind", "before").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= TRUSTED).alias("n"))
-        good = good.where(F.col("n") >= SUPPORT).select("kind", "before", F.least("confidence", F.lit(0.999)).alias("confidence"))
+        one = held.select("kind", "before", F.col("score").alias("sum"), (F.col("score") >= TRUSTED).cast("long").alias("trusted"), F.lit(1).cast("long").alias("n"))
+        sums = one.unionByName(trusted).groupBy("kind", "before").agg(F.sum("sum").alias("sum"), F.sum("trusted").alias("trusted"), F.sum("n").alias("n"))
+        good = sums.where(F.col("trusted") >= SUPPORT).select("kind", "before", F.least(F.col("sum") / F.col("n"), F.lit(0.999)).alias("confidence"))
         now = scores and scores.agg(F.count("*"), F.bit_xor(F.xxhash64("kind", "value", "score"))).first()
         if scores is not None and now == seen:
             accepted = held.where(F.col("score") >= TRUSTED).join(good.where(F.col("confidence") >= TRUSTED), ["kind", "before"])
             return accepted.select("kind", "before", "value")
         seen = now
-        doubt = held.drop("score").join(good, ["kind", "before"]).groupBy("kind", "value").agg(F.exp(F.sum(F.log(1 - F.col("confidence")))).alias("doubt"))
-        scores = settle(doubt.select("kind", "value", F.round(1 - F.col("doubt"), DECIMALS).alias("score")))
+        doubt = unseen.join(good, ["kind", "before"]).groupBy("kind", "value").agg(F.exp(F.sum(F.log(1 - F.col("confidence")))).alias("doubt"))
+        scores = stored(doubt.select("kind", "value", F.round(1 - F.col("doubt"), DECIMALS).alias("score")))
 
 
 def free_of_base(spans: str) -> Column:
@@ -203,8 +204,8 @@ def contextual(scanned: DataFrame) -> DataFrame:
     tokens = rows.select("row", F.explode(free_of_base("tokens")).alias("t")).select("row", *[f"t.{f}" for f in fields]).where("before != ''")
     keys = scanned.where(F.size("keys") > 0).select("row", F.explode(free_of_base("keys")).alias("t")).select("row", *[f"t.{f}" for f in fields])
     seeds = scanned.select(F.explode(F.concat("base", "keys")).alias("s")).select("s.kind", "s.before", "s.value").where("before != ''").distinct()
-    seeds = settle(seeds)
-    unseen = settle(tokens.select("kind", "before", "value").distinct().join(seeds, ["kind", "before", "value"], "left_anti"))
+    seeds = stored(seeds)
+    unseen = stored(tokens.select("kind", "before", "value").distinct().join(seeds, ["kind", "before", "value"], "left_anti"))
     new = tokens.join(bootstrapped(seeds, unseen), ["kind", "before", "value"])
     return new.select("row", "kind", "start", "stop").union(keys.select("row", "kind", "start", "stop"))
 
