@@ -180,6 +180,11 @@ def test_outcomes_and_degradation(spark):
     rows = spark.createDataFrame([(c[0], c[1]) for c in cases], f"target {t}, spans {stability.PREDICTED}")
     got = rows.select(stability.outcome(F.col("target"), F.col("spans")), stability.outcome(F.col("target"), F.col("spans"), "label")).collect()
     assert [tuple(g) for g in got] == [c[2:] for c in cases]
+    said = spark.createDataFrame([("full",), ("partial",), ("missed",)], "o string")
+    got = said.select(stability.outcome_score(F.col("o"), "full"), stability.outcome_score(F.col("o"))).collect()
+    assert [tuple(g) for g in got] == [(1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    with pytest.raises(ValueError, match="measure"):
+        stability.outcome_score(F.col("o"), "half")
     scored = [("d1", "e1", "base", 1.0), ("d1", "e1", "lower", 0.0), ("d1", "e2", "base", 1.0), ("d1", "e2", "lower", 0.0), ("d2", "e3", "base", 1.0), ("d2", "e3", "lower", 1.0)]
     frame = spark.createDataFrame([(d, e, "name", "patient", "baseline" if v == "base" else "capitalization", v, "full", s) for d, e, v, s in scored], "document_id string, entity string, kind string, role string, dimension string, dimension_value string, outcome string, score double")
     paired = stability.pairs(frame)

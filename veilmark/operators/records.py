@@ -103,6 +103,11 @@ def recorded(entries: DataFrame, measured: DataFrame) -> DataFrame:
     return kept.unionByName(added)
 
 
+def denominators(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """The largest ``size`` of each key over all systems: what a heatmap's row is a share of."""
+    return rows.groupBy(key).agg(F.max(size).alias("denominator"))
+
+
 def pivoted(rows: DataFrame, key: str, value: str, systems: list[str]) -> DataFrame:
     """One column of ``value`` for each system; null where a system has no such row."""
     return rows.groupBy(key).pivot("system", systems).agg(F.max(value))

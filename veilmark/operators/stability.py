@@ -16,6 +16,8 @@ from .draws import heads
 PREDICTED = "array<struct<begin:bigint,end:bigint,label:string,category:string>>"
 #: Cells with fewer pairs or notes are not tested; the level of significance. Fixed values.
 MIN_PAIRS, MIN_NOTES, ALPHA = 5, 5, 0.05
+#: The outcomes that score 1 under each measure; fixed values.
+MEASURES = {"full": ["full"], "full_plus_partial": ["full", "partial"]}
 
 
 def inferred(variants: DataFrame, model: Callable[[], Callable[[str, str], list[dict]]]) -> DataFrame:
@@ -57,12 +59,19 @@ def outcome(target: Column, spans: Column, level: str = "category") -> Column:
     return F.when(full, "full").when(partial, "partial").otherwise("missed")
 
 
-def scored(variants: DataFrame, level: str = "category") -> DataFrame:
-    """document_id, entity, kind, role, dimension, dimension_value, outcome, score (1 unless missed); no texts any more."""
+def outcome_score(said: Column, measure: str = "full_plus_partial") -> Column:
+    """1 for a full outcome, and with ``full_plus_partial`` for a partial one too; else 0. Other measures are an error."""
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure: {measure}")
+    return F.when(said.isin(MEASURES[measure]), 1.0).otherwise(0.0)
+
+
+def scored(variants: DataFrame, level: str = "category", measure: str = "full_plus_partial") -> DataFrame:
+    """document_id, entity, kind, role, dimension, dimension_value, outcome, score by ``measure``; no texts any more."""
     said = outcome(F.col("target"), F.col("spans"), level)
     entity = F.concat_ws("::", "document_id", F.col("target.span_index").cast("string"))
     rows = variants.select("document_id", entity.alias("entity"), "target.kind", "target.role", "target.dimension", "target.dimension_value", said.alias("outcome"))
-    return rows.withColumn("score", F.when(F.col("outcome") == "missed", 0.0).otherwise(1.0))
+    return rows.withColumn("score", outcome_score(F.col("outcome"), measure))
 
 
 def recalls(rows: DataFrame, *keys: str) -> DataFrame:

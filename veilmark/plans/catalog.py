@@ -473,6 +473,12 @@ def pooled_recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.recalls_with_intervals(scored(spark, sf_dir), "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
 
 
+@register(_SCORED + "SELECT kind, role, dimension, CAST(count(*) FILTER (outcome = 'full') AS DOUBLE) AS full_score, CAST(count(*) FILTER (outcome <> 'missed') AS DOUBLE) AS full_plus_partial_score FROM sc GROUP BY kind, role, dimension")
+def outcome_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_measure = [F.sum(stability.outcome_score(F.col("outcome"), m)).alias(f"{m}_score") for m in stability.MEASURES]
+    return scored(spark, sf_dir).groupBy("kind", "role", "dimension").agg(*by_measure)
+
+
 @register(_SCORED + f"SELECT kind, role, dimension, {_COUNTS} FROM sc GROUP BY kind, role, dimension")
 def dimension_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.pooled_over_values(stability.recalls(scored(spark, sf_dir), "kind", "role", "dimension", "dimension_value"))
@@ -616,6 +622,20 @@ def recall_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.pivoted(_each(spark, sf_dir, lambda f: scoring.core_recall_by(f, "label", "gold_label")), "gold_label", "core_pii_recall", SYSTEMS)
 
 
+@register(
+    f"SELECT subannotation_category, a.core_pii_recall AS alpha, b.core_pii_recall AS beta FROM ({_recall_sql('category', 'subannotation_category')}) a FULL JOIN ({_recall_sql('category', 'subannotation_category', 'beta')}) b USING (subannotation_category)"
+)
+def category_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _each(spark, sf_dir, lambda f: scoring.core_recall_by(f, "category", "subannotation_category"))
+    return records.pivoted(rows, "subannotation_category", "core_pii_recall", SYSTEMS)
+
+
+@register(f"SELECT gold_label, max(total_core_pii_chars) AS denominator FROM (SELECT * FROM ({_recall_sql('label', 'gold_label')}) UNION ALL SELECT * FROM ({_recall_sql('label', 'gold_label', 'beta')})) GROUP BY gold_label")
+def heatmap_denominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _each(spark, sf_dir, lambda f: scoring.core_recall_by(f, "label", "gold_label"))
+    return records.denominators(rows, "gold_label", "total_core_pii_chars")
+
+
 @register(f"SELECT prediction_label, coalesce(a.non_pii_redacted_chars, 0) AS alpha, coalesce(b.non_pii_redacted_chars, 0) AS beta FROM ({_redaction_sql('alpha')}) a FULL JOIN ({_redaction_sql('beta')}) b USING (prediction_label)")
 def non_pii_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.pivoted(_each(spark, sf_dir, scoring.redaction_by_label), "prediction_label", "non_pii_redacted_chars", SYSTEMS).na.fill(0)
