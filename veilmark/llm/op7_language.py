@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,10 +84,16 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r["lang"], "\n".join(r["pieces"])) for r in found if any(r["pieces"])]
 
 
-@lru_cache(2)
+#: The automata that a Python worker keeps from task to task.
+_KEPT: dict[tuple[str, ...], list[dict]] = {}
+
+
 def _automata(samples: tuple[str, ...]) -> list[dict]:
-    """One automaton for each sample, kept by a Python worker from task to task."""
-    return [suffix_automaton(s) for s in samples]
+    """One automaton for each sample; a worker keeps those of one model, and lets them go before it builds others."""
+    if samples not in _KEPT:
+        _KEPT.clear()
+        _KEPT[samples] = [suffix_automaton(s) for s in samples]
+    return _KEPT[samples]
 
 
 def predictor(model: list[tuple[str, str]]):
