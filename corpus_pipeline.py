@@ -40,7 +40,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``und`` are null texts and texts without a letter. A low score alone rejects nothing: it mostly marks clean documents in
     more than one language. Without a column lang nothing can be learnt, and it is an error. Repeated rows stay.
     """
-    predict = predictor(learn(docs.where(crc_mod("doc_id", 5) != 0)))
+    # Spark would move the filter on a deterministic prediction below it and parse every text twice, in two workers
+    predict = predictor(learn(docs.where(crc_mod("doc_id", 5) != 0))).asNondeterministic()
     said = docs.select(F.struct(*docs.columns).alias("doc"), predict(F.col("text"))["lang_pred"].alias("said")).where("said != 'und'")
     return said.select(*[F.col("said" if c == "lang" else f"doc.`{c}`").alias(c) for c in docs.columns])
 
