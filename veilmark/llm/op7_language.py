@@ -84,18 +84,6 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r["lang"], "\n".join(r["pieces"])) for r in found if any(r["pieces"])]
 
 
-#: The automata that a Python worker keeps from task to task.
-_KEPT: dict[tuple[str, ...], list[dict]] = {}
-
-
-def _automata(samples: tuple[str, ...]) -> list[dict]:
-    """One automaton for each sample; a worker keeps those of one model, and lets them go before it builds others."""
-    if samples not in _KEPT:
-        _KEPT.clear()
-        _KEPT[samples] = [suffix_automaton(s) for s in samples]
-    return _KEPT[samples]
-
-
 def predictor(model: list[tuple[str, str]]):
     """A column function: struct(lang_pred, score, rate) of a text.
 
@@ -108,7 +96,7 @@ def predictor(model: list[tuple[str, str]]):
 
     @F.pandas_udf("lang_pred string, score double, rate double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automata = _automata(tuple(sample for _, sample in model))
+        automata = [suffix_automaton(sample) for _, sample in model]  # made anew: a worker holds nothing between tasks
         for batch in texts:
             rows = []
             for text in batch:
