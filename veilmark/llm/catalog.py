@@ -16,6 +16,7 @@ from .op7_language import op7_language_id
 from .op8_quality_rules import op8_quality_rules
 from .op9_simhash import op9_simhash_near_dedup
 from .op10_crf import op10_quality_crf
+from .op11_prefix_trie import op11_prefix_trie
 from .op13_negatives import op13_hard_negatives
 
 _ALL = [
@@ -29,6 +30,7 @@ _ALL = [
     op8_quality_rules,
     op9_simhash_near_dedup,
     op10_quality_crf,
+    op11_prefix_trie,
     op13_hard_negatives,
 ]
 
@@ -60,6 +62,20 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_prefix_trie": r"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) r(i)),
+t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, length(coalesce(text, '')) AS n, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS key, turn, coalesce(role, '') AS role FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, n, key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, key) AS i FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ord(s))), lambda crc, b: xor(crc >> 8, crcs[(xor(crc, b) & 255) + 1])), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM o), tab),
+u AS (SELECT c.conv_id, 0 AS own, i, n, key FROM c JOIN o ON o.conv_id = c.base AND i <= h UNION ALL SELECT conv_id, 1, i, n, key FROM c JOIN o USING (conv_id) WHERE i > h),
+w AS (SELECT conv_id, string_agg(key, '' ORDER BY own, i) AS path, list(n ORDER BY own, i) AS sizes FROM u GROUP BY conv_id),
+f AS (SELECT conv_id, coalesce(path, '') AS path, coalesce(sizes, []) AS sizes FROM c LEFT JOIN w USING (conv_id)),
+m AS (SELECT conv_id, path, d, path[1 : 32 * d] AS prefix, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n FROM (SELECT *, unnest(range(len(sizes) + 1)) AS d FROM f)),
+nodes AS (SELECT prefix, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, min(n) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (prefix = path), '')) AS ends_sha256 FROM m GROUP BY prefix),
+kids AS (SELECT prefix[1 : 32 * (depth - 1)] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+v AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (prefix)),
+s AS (SELECT prefix[1 : 32 * a] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM v) GROUP BY 1)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (prefix) LEFT JOIN nodes p ON v.depth > 0 AND p.prefix = v.prefix[1 : 32 * (v.depth - 1)]""",
     "op13_hard_negatives": r"""WITH r AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS anchor_id, a.label AS anchor_label, c.id, c.label, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM r a, r c WHERE a.id % 100 = 0 AND c.id <> a.id),
