@@ -17,6 +17,7 @@ from .op8_quality_rules import op8_quality_rules
 from .op9_simhash import op9_simhash_near_dedup
 from .op10_crf import op10_quality_crf
 from .op11_prefix_trie import op11_prefix_trie
+from .op12_suffix_dedup import op12_suffix_dedup
 from .op13_negatives import op13_hard_negatives
 
 _ALL = [
@@ -31,6 +32,7 @@ _ALL = [
     op9_simhash_near_dedup,
     op10_quality_crf,
     op11_prefix_trie,
+    op12_suffix_dedup,
     op13_hard_negatives,
 ]
 
