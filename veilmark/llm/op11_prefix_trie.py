@@ -19,12 +19,13 @@ from .common import running, settle, table
 
 #: Depths in a band.
 HEIGHT = 8
-#: Conversations whose ids are joined into one piece before hashing.
-PIECE = 10_000
-_ROOT = F.expr("X''")
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
+def _root() -> Column:
+    return F.expr("X''")
+
+
 def _digest(*parts: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
 
@@ -54,8 +55,10 @@ def ends(leaves: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for leaf, part in batch.groupby("leaf", sort=False):
-                yield pd.DataFrame([(leaf, int(part["conv_id"].iloc[0]), ",".join(map(str, part["conv_id"])))], columns=["leaf", "first", "ids"])
+            leaf, ids = batch["leaf"].to_numpy(), batch["conv_id"].tolist()
+            begins = [i for i in range(len(ids)) if not i or leaf[i] != leaf[i - 1]]
+            rows = [(leaf[a], ids[a], ",".join(map(str, ids[a:b]))) for a, b in zip(begins, [*begins[1:], len(ids)], strict=True)]
+            yield pd.DataFrame(rows, columns=["leaf", "first", "ids"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
@@ -129,14 +132,14 @@ def prefix_trie(rebuilt_turns: DataFrame, height: int = HEIGHT) -> DataFrame:
     """
     step = lambda acc, t: _digest(acc, t["key"])
     none = F.array().cast("array<struct<id:binary,n:bigint>>")
-    path = running(F.col("turns"), _ROOT, none, step, lambda acc, t: F.struct(step(acc, t).alias("id"), t["n"].alias("n")))
+    path = running(F.col("turns"), _root(), none, step, lambda acc, t: F.struct(step(acc, t).alias("id"), t["n"].alias("n")))
     told = rebuilt_turns.select("conv_id", path.alias("path"))
-    told = settle(told.select("conv_id", F.when(F.size("path") > 0, F.element_at("path", -1)["id"]).otherwise(_ROOT).alias("leaf"), "path"))
+    told = settle(told.select("conv_id", F.when(F.size("path") > 0, F.element_at("path", -1)["id"]).otherwise(_root()).alias("leaf"), "path"))
     distinct = told.groupBy("leaf").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("path").alias("path"))
     deepest = told.agg(F.max(F.size("path"))).first()[0] or 0
     levels = next(level for level in range(64) if height ** (level + 1) > deepest)
     sizes = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("path", lambda p: p["n"]))
-    ids = F.concat(F.array(_ROOT), F.transform("path", lambda p: p["id"]))
+    ids = F.concat(F.array(_root()), F.transform("path", lambda p: p["id"]))
     rows = with_bands(distinct.select("conv_id", "n_convs", sizes.alias("sizes"), ids.alias("ids")), levels, height)
     rows = rows.withColumn("n", F.get("sizes", F.col("depth"))).drop("sizes")
     same = [c for c in rows.columns if c not in ("conv_id", "n_convs", "id")]
