@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, shared_folder, stored, table
@@ -27,7 +27,7 @@ SPAN, GRAM = 200, 32
 #: Occurrences up to which the contexts of one gram are sorted in one task; those of others are dealt out by their strings.
 CROWD = 4096
 #: Bytes worked on at a time, window starts in a slice, contexts sorted at a time.
-PIECE, SLICE, TOGETHER = 1 << 20, 1 << 20, 20_000
+PIECE, SLICE, TOGETHER = 1 << 18, 1 << 18, 10_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -116,17 +116,14 @@ def _pieces(bodies: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray
 def _with_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds ``keys`` and ``counts``: the grams that strings of a text name, with the number of their places."""
     for batch in batches:
-        keys, counts = [[]] * len(batch), [[]] * len(batch)
         for part, buffer, starts, lengths in _pieces(batch["body"].tolist()):
             text, _, _, _, key = named_grams(buffer, starts, lengths)
             order = np.lexsort((key, text))
             text, key = text[order], key[order]
             new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(text) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(text))).astype(np.int32)
-            bounds = np.searchsorted(text[new], np.arange(len(starts) + 1))
-            for i in range(len(starts)):
-                keys[part.start + i], counts[part.start + i] = key[new][bounds[i] : bounds[i + 1]], times[bounds[i] : bounds[i + 1]]
-        yield batch.assign(keys=keys, counts=counts)
+            key, times = key[new], np.diff(np.append(new, len(text))).astype(np.int32)
+            bounds = np.searchsorted(text[new], np.arange(1, len(starts)))
+            yield batch.iloc[part].assign(keys=np.split(key, bounds), counts=np.split(times, bounds))
 
 
 def distinct_texts(docs: DataFrame, parts: int) -> DataFrame:
@@ -144,7 +141,7 @@ def distinct_texts(docs: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def text_id() -> F.Column:
+def text_id() -> Column:
     return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
 
 
