@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import category_key, first_filled, label_key
-from .draws import heads
+from . import draws
+from .order import placed, same
 
 PREDICTED = "array<struct<begin:bigint,end:bigint,label:string,category:string>>"
 #: Cells with fewer pairs or notes are not tested; the level of significance. Fixed values.
@@ -31,16 +32,55 @@ def inferred(variants: DataFrame, model: Callable[[], Callable[[str, str], list[
     return variants.select("variant_id", "text").mapInPandas(run, f"variant_id string, spans {PREDICTED}")
 
 
-def with_model(variants: DataFrame, model: Callable[[], Callable[[str, str], list[dict]]]) -> DataFrame:
-    """Variants with ``spans`` from a model in one pass, for models that run inside the job; texts are left behind."""
+#: Targets whose variants are predicted before their spans are handed on.
+TARGETS = 200
 
-    @F.pandas_udf(PREDICTED)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        predict = model()
-        for ids, texts in batches:
-            yield pd.Series([predict(i, t) for i, t in zip(ids, texts, strict=True)], dtype=object)
 
-    return variants.withColumn("spans", run("variant_id", "text")).drop("text")
+def with_models(rows: DataFrame, models: dict[str, Callable[[], Callable[[str, str], list[dict]]]]) -> DataFrame:
+    """Rows (model, document_id, target, spans) for each variant of targets with ``options``, all models in one pass.
+
+    A target's text is handed over once; its variants are spliced beside the model, and only their spans come back, for
+    models that run inside the job.
+    """
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("category", pa.string())])
+    kept = ["document_id", "begin", "label", "base_text", "kind", "role", "span_index", "options"]
+    names = list(models)
+
+    def nested(values: pa.Array, counts: list[int]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = [models[n]() for n in names]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TARGETS):
+                batch = whole.slice(at, TARGETS)
+                flat = {k: [] for k in ("begin", "end", "label", "category")}
+                spans, variants = [], []
+                for row in batch.to_pylist():
+                    before, after = row["text"][: row["begin"]], row["text"][row["end"] :]
+                    texts = [(f"{row['document_id']}::{row['span_index']}::{o['dimension']}::{o['value']}", before + o["replacement"] + after) for o in row["options"]]
+                    for predict in loaded:
+                        variants.append(len(texts))
+                        for identity, text in texts:
+                            found = predict(identity, text)
+                            spans.append(len(found))
+                            for x in found:
+                                for k, v in flat.items():
+                                    v.append(x[k])
+                fields = pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in span], fields=list(span))
+                per_model = nested(nested(fields, spans), variants)
+                column = nested(per_model, [len(names)] * batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], column], names=[*kept, "spans"])
+
+    wide = rows.select("text", "end", *kept)
+    types = ", ".join(f"{k} {wide.schema[k].dataType.simpleString()}" for k in kept)
+    found = wide.mapInArrow(run, f"{types}, spans array<array<{PREDICTED}>>")
+    each = found.select(*kept, F.explode(F.zip_with(F.array(*[F.lit(n) for n in names]), "spans", lambda n, s: F.struct(n.alias("model"), s.alias("spans")))).alias("m"))
+    each = each.select(*kept, "m.model", F.explode(F.arrays_zip("options", F.col("m.spans").alias("spans"))).alias("o"))
+    o = F.col("o.options")
+    end = F.col("begin") + F.length(o["replacement"])
+    target = F.struct("begin", end.alias("end"), "label", o["replacement"].alias("text"), "role", "kind", "span_index", o["dimension"].alias("dimension"), o["value"].alias("dimension_value"), "base_text")
+    return each.select("model", "document_id", target.alias("target"), F.col("o.spans").alias("spans"))
 
 
 def with_predictions(variants: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -67,10 +107,10 @@ def outcome_score(said: Column, measure: str = "full_plus_partial") -> Column:
 
 
 def scored(variants: DataFrame, level: str = "category", measure: str = "full_plus_partial") -> DataFrame:
-    """document_id, entity, kind, role, dimension, dimension_value, outcome, score by ``measure``; no texts any more."""
+    """document_id, entity, kind, role, dimension, dimension_value, outcome, score by ``measure``; no texts any more; ``model`` stays."""
     said = outcome(F.col("target"), F.col("spans"), level)
     entity = F.concat_ws("::", "document_id", F.col("target.span_index").cast("string"))
-    rows = variants.select("document_id", entity.alias("entity"), "target.kind", "target.role", "target.dimension", "target.dimension_value", said.alias("outcome"))
+    rows = variants.select(*[c for c in variants.columns if c == "model"], "document_id", entity.alias("entity"), "target.kind", "target.role", "target.dimension", "target.dimension_value", said.alias("outcome"))
     return rows.withColumn("score", outcome_score(F.col("outcome"), measure))
 
 
@@ -92,12 +132,12 @@ def baseline(rows: DataFrame) -> DataFrame:
     return entities.agg(F.count("*").alias("n_targets"), F.avg("score").alias("baseline_recall"))
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """dimension, role, entity, document_id, original, transformed (mean over the dimension's variants)."""
-    own = Window.partitionBy("entity", "role")
+def pairs(rows: DataFrame, *more: str) -> DataFrame:
+    """dimension, role, entity, document_id, original, transformed (mean over the dimension's variants), and ``more``."""
+    own = Window.partitionBy(*more, "entity", "role")
     marked = rows.withColumn("original", F.max(F.when(F.col("dimension") == "baseline", F.col("score"))).over(own))
     moved = marked.where("dimension <> 'baseline' and original is not null")
-    return moved.groupBy("dimension", "role", "entity", "document_id").agg(F.avg("score").alias("transformed"), F.max("original").alias("original"))
+    return moved.groupBy(*more, "dimension", "role", "entity", "document_id").agg(F.avg("score").alias("transformed"), F.max("original").alias("original"))
 
 
 def degradation(paired: DataFrame) -> DataFrame:
@@ -116,49 +156,66 @@ def clusters(values: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return values.groupBy(*keys, "document_id").agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores; small tables would else end up in one task."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+#: Documents of a task of resampling, documents whose draws are made together, sums of a cell in a row, cells in memory.
+SHARE, TOGETHER, BLOCK, HELD = 2_000, 128, 50, 400
 
 
-def _before(seed: int, values: tuple) -> str:
-    return ":".join([str(seed), *[str(v) for v in values if v is not None]])
-
-
-def sign_flip_p(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000, block: int = 50) -> DataFrame:
-    """One- and two-sided p-values of the mean when whole documents change sign, with one added to both counts.
+def resampled(stats: DataFrame, keys: list[str], draw: Callable[[np.ndarray, np.ndarray, int], np.ndarray], purpose: str, seed: int, iterations: int) -> DataFrame:
+    """(keys, block, s, n): for each cell the weighted sums of s and n under every iteration, BLOCK iterations a row.
 
-    Signs are keyed draws, made for many documents and all iterations at once. Each task adds its documents up and hands on
-    arrays of ``block`` sums for each cell, so documents never meet iterations as rows, and neither a cell nor an iteration
-    has to fit into a task. Sums are rounded before ties are judged, since the order of additions is not fixed.
+    ``stats`` has a row for each cell and document. A document has one stream of draws, shared by all its cells. Tasks hold
+    arrays of sums, one for each cell, and Spark adds the tasks' arrays up: documents never meet iterations as rows, no
+    cell has to fit into a task, and work and memory do not depend on a cell's size.
     """
+    cells = [f"`{k}`" for k in keys]
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
 
-        def blocks() -> pd.DataFrame:
-            rows = [(*cell, at // block, total[at : at + block]) for cell, total in sums.items() for at in range(0, iterations, block)]
+        def rows() -> pd.DataFrame:
+            out = [(*cell, at // BLOCK, *both[:, at : at + BLOCK]) for cell, both in sums.items() for at in range(0, iterations, BLOCK)]
             sums.clear()
-            return pd.DataFrame(rows, columns=[*keys, "block", "sums"])
+            return pd.DataFrame(out, columns=[*keys, "block", "s", "n"])
 
         for batch in batches:
-            for cell, part in batch.groupby(keys, dropna=False, sort=False):
-                cell = tuple(None if pd.isna(v) else v for v in cell)
-                total = sums.setdefault(cell, np.zeros(iterations))
-                for at in range(0, len(part), 100):
-                    some = part.iloc[at : at + 100]
-                    odd = heads(_before(seed, cell), 0, iterations, some["document_id"].tolist()) & 1
-                    s = some["s"].to_numpy(float)
-                    total += s.sum() - 2 * (s @ odd)
-                if len(sums) > 200:
-                    yield blocks()
-        yield blocks()
-
-    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
-    parts = _dealt(stats.select(*keys, F.col("document_id").cast("string").alias("document_id"), F.col("s").cast("double").alias("s"))).mapInPandas(summed, f"{fields}, block int, sums array<double>")
-    values = [F.round(F.sum(F.get("sums", F.lit(i))), 9) for i in range(min(block, iterations))]
-    flipped = parts.groupBy(*keys, "block").agg(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    flipped = flipped.select(*keys, F.array(*[f"v{i}" for i in range(len(values))]).alias("values"))
+            cell, cell_names = pd.factorize(pd.MultiIndex.from_frame(batch[keys]) if len(keys) > 1 else batch[keys[0]], use_na_sentinel=False)
+            streams, named = pd.factorize(pd.MultiIndex.from_frame(batch[["key", "lane"]]))
+            named = np.array(named.tolist(), dtype=np.int64).reshape(-1, 2)
+            s, n = batch["s"].to_numpy(float), batch["n"].to_numpy(float)
+            for at in range(0, len(named), TOGETHER):
+                drawn = draw(named[at : at + TOGETHER, 0], named[at : at + TOGETHER, 1], iterations)
+                here = np.flatnonzero((streams >= at) & (streams < at + TOGETHER))
+                met, row = np.unique(cell[here], return_inverse=True)
+                dense = np.zeros((2, len(met), len(drawn)))
+                np.add.at(dense[0], (row, streams[here] - at), s[here])
+                np.add.at(dense[1], (row, streams[here] - at), n[here])
+                found = dense @ drawn
+                for i, c in enumerate(met):
+                    name = cell_names[c] if len(keys) > 1 else (cell_names[c],)
+                    name = tuple(None if pd.isna(v) else v for v in name)
+                    sums[name] = sums[name] + found[:, i] if name in sums else found[:, i]
+                if len(sums) > HELD:
+                    yield rows()
+        yield rows()
+
+    streams = stats.select(*keys, draws.stream(seed, purpose, F.col("document_id")).alias("d"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+    # at most so many tasks as cores, so that partial sums stay few
+    parts = max(1, min(4 * stats.sparkSession.sparkContext.defaultParallelism, stats.count() // SHARE))
+    dealt = streams.select(*keys, "d.key", "d.lane", "s", "n").repartition(parts, "key", "lane").sortWithinPartitions("key", "lane")
+    fields = ", ".join(f"{c} {stats.schema[k].dataType.simpleString()}" for c, k in zip(cells, keys, strict=True))
+    partial = dealt.mapInPandas(added, f"{fields}, block int, s array<double>, n array<double>")
+    several = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("s", "n") for i in range(min(BLOCK, iterations))]
+    whole = partial.groupBy(*keys, "block").agg(*several)
+    size = min(BLOCK, iterations)
+    return whole.select(*keys, "block", *[F.filter(F.array(*[f"{c}{i}" for i in range(size)]), lambda x: x.isNotNull()).alias(c) for c in ("s", "n")])
+
+
+def sign_flip_p(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
+    """One- and two-sided p-values of the mean when whole documents change sign, with one added to both counts.
+
+    Sums are rounded before ties are judged, since the order of additions is not fixed.
+    """
+    flipped = resampled(stats, keys, draws.signs, "sign", seed, iterations).select(*keys, F.transform("s", lambda v: F.round(v, 9)).alias("values"))
     seen = stats.groupBy(*keys).agg(F.round(F.sum("s"), 9).alias("observed"), F.max(F.abs("s")).alias("most"))
     one = F.size(F.filter("values", lambda v: v >= F.col("observed")))
     two = F.size(F.filter("values", lambda v: F.abs(v) >= F.abs("observed")))
@@ -170,83 +227,89 @@ def sign_flip_p(stats: DataFrame, keys: list[str], seed: int = 42, iterations: i
     return counted.select(*keys, p("one").alias("p_one_sided"), p("two").alias("p_two_sided"))
 
 
-#: Documents of a cell whose sums one task of the bootstrap holds, and iterations that it draws.
-CHUNK, STEPS = 2**20, 250
+def intervals(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
+    """95 % percentile interval of the mean when whole documents are resampled: (keys, lower, upper).
 
+    A Poisson bootstrap: each document takes part with an independent Poisson(1) weight in each iteration, which is what drawing
+    documents with replacement tends to as they get many, and adds up over any split of them. Iterations that draw no
+    document are left out. The bounds are order statistics, floor(q * (m - 1)) of m iterations.
+    """
+    blocks = resampled(stats, keys, draws.weights, "weight", seed, iterations)
+    means = F.zip_with("s", "n", lambda s, n: F.when(n > 0, F.round(s / n, 9)))
+    ordered = F.sort_array(F.flatten(F.collect_list(F.filter(means, lambda m: m.isNotNull()))))  # ``iterations`` values
+    found = blocks.groupBy(*keys).agg(ordered.alias("means"))
 
-def cluster_bootstrap(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
-    """95 % percentile interval of the mean when whole documents are drawn with replacement.
+    def bound(q: float) -> Column:
+        return F.get("means", F.floor(F.lit(q) * (F.size("means") - 1)).cast("int"))
 
-    Draw j of iteration b takes the document whose number is a keyed draw. A task makes the draws of STEPS iterations for
-    CHUNK values of j and adds up the documents of one chunk; the sums of chunks meet by iteration. The bounds are order
-    statistics, floor(q * (iterations - 1)).
-    """
-    numbered = stats.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("document_id")) - 1)
-    numbered = numbered.withColumn("size", F.count("*").over(Window.partitionBy(*keys)))
-    held = F.array_sort(F.collect_list(F.struct("number", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))))
-    chunks = numbered.groupBy(*keys, "size", F.floor(F.col("number") / CHUNK).alias("chunk")).agg(held.alias("held"))
-    chunks = chunks.select(*keys, "size", "chunk", F.col("held.s").alias("s"), F.col("held.n").alias("n"))
-    tasks = chunks.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(STEPS)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK))))
-
-    def drawn_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                cell = tuple(row[k] for k in keys)
-                first, size, low = row["first"], row["size"], row["chunk"] * CHUNK
-                held_s, held_n = np.asarray(row["s"], float), np.asarray(row["n"], float)
-                steps = min(STEPS, iterations - first)
-                s, n = np.zeros(steps), np.zeros(steps)
-                for at in range(row["part"] * CHUNK, min(size, (row["part"] + 1) * CHUNK), 2_000):
-                    picked = heads(_before(seed, cell), first, steps, [str(j) for j in range(at, min(at + 2_000, size, (row["part"] + 1) * CHUNK))]).astype(np.int64) % size - low
-                    here = (picked >= 0) & (picked < len(held_s))
-                    picked[~here] = 0
-                    s += (held_s[picked] * here).sum(axis=0)
-                    n += (held_n[picked] * here).sum(axis=0)
-                yield pd.DataFrame([(*cell, first + i, s[i], n[i]) for i in range(steps)], columns=[*keys, "b", "s", "n"])
-
-    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
-    means = _dealt(tasks).mapInPandas(drawn_sums, f"{fields}, b int, s double, n double").groupBy(*keys, "b").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    ordered = means.groupBy(*keys).agg(F.sort_array(F.collect_list(F.round("mean", 9))).alias("means"))  # ``iterations`` values
-    low, high = int(0.025 * (iterations - 1)), int(0.975 * (iterations - 1))
-    return ordered.select(*keys, F.get("means", F.lit(low)).alias("lower"), F.get("means", F.lit(high)).alias("upper"))
+    return found.select(*keys, bound(0.025).alias("lower"), bound(0.975).alias("upper"))
 
 
-def intervals(stats: DataFrame, keys: list[str], seed: int = 42, iterations: int = 10_000) -> DataFrame:
-    """The interval of ``cluster_bootstrap`` for many cells: documents with equal sums are drawn by their number.
+#: The role under which all roles of a cell are counted together; a fixed value.
+POOLED = "__pooled__"
+CELL = ["kind", "role", "dimension", "dimension_value"]
+
+
+def tallies(rows: DataFrame, *more: str) -> DataFrame:
+    """Counts of outcomes by cell and document (and ``more``), the narrow table that all recall tables are made from."""
+    outcomes = [F.count_if(F.col("outcome") == o).alias(o) for o in ("full", "partial", "missed")]
+    return rows.groupBy(*more, *CELL, "document_id").agg(F.count("*").alias("total"), *outcomes)
+
+
+def recall_tables(tally: DataFrame, *more: str) -> DataFrame:
+    """Recall by value, by value with roles pooled, and by dimension, in one pass of grouping sets over ``tallies``.
 
-    How often each kind of document is drawn is multinomial, so the means have the same distribution as when documents are
-    drawn one by one, with other seeded values. A task holds the distinct sums of a cell.
+    ``role`` is POOLED where roles are counted together, ``dimension_value`` null where values are.
     """
-    kinds = stats.select(*keys, F.round("s", 9).alias("s"), F.col("n").cast("long").alias("n")).groupBy(*keys, "s", "n").agg(F.count("*").alias("times"))
+    sets = [[*more, *CELL], [*more, "kind", "dimension", "dimension_value"], [*more, "kind", "role", "dimension"]]
+    counts = [F.sum(c).alias(c) for c in ("total", "full", "partial", "missed")]
+    found = tally.groupingSets(sets, *more, *CELL).agg(*counts, F.countDistinct("document_id").alias("n_clusters"), F.grouping("role").alias("all_roles"))
+    total = F.col("total")
+    shares = [(F.col("full") / total).alias("full_recall"), (F.col("partial") / total).alias("partial_recall"), ((F.col("full") + F.col("partial")) / total).alias("full_plus_partial_recall")]
+    role = F.when(F.col("all_roles") == 1, F.lit(POOLED)).otherwise(F.col("role"))
+    return found.select(*more, "kind", role.alias("role"), "dimension", "dimension_value", "total", "full", "partial", "missed", *shares, "n_clusters")
+
+
+def recall_intervals(tally: DataFrame, *more: str, seed: int = 42, iterations: int = 10_000) -> DataFrame:
+    """(cell, lower, upper) of the full plus partial recall by value, for each role and with roles pooled, in one resampling."""
+    sets = [[*more, *CELL, "document_id"], [*more, "kind", "dimension", "dimension_value", "document_id"]]
+    both = tally.groupingSets(sets, *more, *CELL, "document_id").agg(F.sum(F.col("full") + F.col("partial")).alias("s"), F.sum("total").alias("n"), F.grouping("role").alias("all_roles"))
+    role = F.when(F.col("all_roles") == 1, F.lit(POOLED)).otherwise(F.col("role"))
+    return intervals(both.withColumn("role", role).drop("all_roles"), [*more, *CELL], seed, iterations)
 
-    def bounds(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["s", "n"])
-        cell = tuple(part[k].iloc[0] for k in keys)
-        rng = np.random.default_rng(list(hashlib.md5(_before(seed, cell).encode()).digest()))
-        times, s, n = (part[c].to_numpy(float) for c in ("times", "s", "n"))
-        means = []
-        for at in range(0, iterations, 100):
-            drawn = rng.multinomial(int(times.sum()), times / times.sum(), min(100, iterations - at))
-            means.append((drawn @ s) / (drawn @ n))
-        ordered = np.sort(np.round(np.concatenate(means), 9))
-        return pd.DataFrame([(*cell, ordered[int(0.025 * (iterations - 1))], ordered[int(0.975 * (iterations - 1))])], columns=[*keys, "lower", "upper"])
 
-    fields = ", ".join(f"`{k}` {stats.schema[k].dataType.simpleString()}" for k in keys)
-    return kinds.groupBy(*keys).applyInPandas(bounds, f"{fields}, lower double, upper double")
+def recalls_with_intervals_of(tally: DataFrame, *more: str, seed: int = 42) -> DataFrame:
+    """The rows of ``recall_tables`` by value, with their intervals."""
+    keys = [*more, *CELL]
+    return recall_tables(tally, *more).where("dimension_value is not null").join(recall_intervals(tally, *more, seed=seed), keys)
 
 
 def recalls_with_intervals(rows: DataFrame, *keys: str) -> DataFrame:
-    """``recalls`` with ``lower`` and ``upper`` of the full plus partial recall, documents drawn whole."""
+    """``recalls`` with ``lower`` and ``upper`` of the full plus partial recall, documents resampled whole."""
     return recalls(rows, *keys).join(intervals(clusters(rows, list(keys), F.col("score")), list(keys)), list(keys))
 
 
 def benjamini_hochberg(cells: DataFrame, family: list[str], p: str, order: list[str]) -> DataFrame:
-    """Adds ``q``: adjusted p-values within each family. Values outside [0, 1] are an error; ties follow ``order``."""
+    """Adds ``q``: adjusted p-values within each family. Values outside [0, 1] are an error; ties follow ``order``.
+
+    A distributed rank: rows are range partitioned by family, p and ``order``; each partition numbers its own rows of a family,
+    and the sizes before and the least value after it, of which there is one for each partition and family, are joined
+    back. No task holds a family.
+    """
     checked = cells.withColumn(p, F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.lit("p-values must lie in [0, 1]")).cast("double")))
-    rank = F.row_number().over(Window.partitionBy(*family).orderBy(p, *order))
-    ranked = checked.withColumn("_rank", rank).withColumn("_m", F.count("*").over(Window.partitionBy(*family)))
-    down = Window.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+    by = [*family, p, *order]
+    ranked, ends = placed(checked, family, by)
+    whole = Window.partitionBy(*family)
+    sizes = ends.withColumn("_m", F.sum("_rows").over(whole))
+    # the least p * m / rank from each row on: within the part, and from the first row of the parts after it
+    here = Window.partitionBy(*family, "_part").orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.join(sizes.select(*[F.col(f).alias(f"_{f}") for f in family], F.col("_part").alias("_of"), "_m"), same(family) & (F.col("_part") == F.col("_of")))
+    ranked = ranked.drop("_of", *[f"_{f}" for f in family]).withColumn("_low", F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(here))
+    least = ranked.groupBy(*family, "_part").agg(F.min("_low").alias("_least"))
+    later = F.min("_least").over(whole.orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
+    after = least.select(*[F.col(f).alias(f"_{f}") for f in family], F.col("_part").alias("_of"), later.alias("_later"))
+    joined = ranked.join(after, same(family) & (F.col("_part") == F.col("_of")))
+    return joined.withColumn("q", F.least(F.lit(1.0), "_low", "_later")).select(*cells.columns, "q")
 
 
 def eligible(cells: DataFrame, p: str, min_pairs: int = MIN_PAIRS, min_notes: int = MIN_NOTES) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import names as N
 from ..functions import texts as T
-from ..operators import intervals, perturb, records, scoring, stability
+from ..operators import draws, intervals, perturb, records, scoring, stability
 from ..sources import derived
 from ..session import settle
 from . import sql
@@ -432,8 +432,14 @@ def predicted(spark: SparkSession, sf_dir: str, model: str = "alpha") -> DataFra
     return stability.with_predictions(found.drop("text"), stability.inferred(found, stand_in(MODELS[model])))
 
 
+def scored_all(spark: SparkSession, sf_dir: str, models: list[str], level: str = "category") -> DataFrame:
+    """Scored variants of several models (column ``model``) from one pass over the notes."""
+    targets = perturb.with_options(perturb.targets(derived.notes(spark, sf_dir), PLAN, LOOKUPS), PLAN, LOOKUPS)
+    return stability.scored(stability.with_models(targets, {m: stand_in(MODELS[m]) for m in models}), level)
+
+
 def scored(spark: SparkSession, sf_dir: str, model: str = "alpha", level: str = "category") -> DataFrame:
-    return stability.scored(stability.with_model(_variants(spark, sf_dir), stand_in(MODELS[model])), level)
+    return scored_all(spark, sf_dir, [model], level).drop("model")
 
 
 @register(_V + "SELECT count(*) AS n_variants, CAST(3 * count(*) FILTER (CAST('0x' || substr(md5(variant_id), 1, 1) AS BIGINT) <= 13) AS BIGINT) AS n_spans FROM v")
@@ -462,15 +468,26 @@ def pooled_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stability.recalls(scored(spark, sf_dir), "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
 
 
+@register(
+    _SCORED
+    + f"""SELECT kind, CASE WHEN grouping(role) = 1 THEN '__pooled__' ELSE role END AS role, dimension, dimension_value, {_RECALLS} FROM sc
+GROUP BY GROUPING SETS ((kind, role, dimension, dimension_value), (kind, dimension, dimension_value), (kind, role, dimension))"""
+)
+def recall_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stability.recall_tables(stability.tallies(scored(spark, sf_dir)))
+
+
 @register(None)
 def recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``recall_by_dimension`` with their intervals; a test holds them to plain resampling."""
-    return stability.recalls_with_intervals(scored(spark, sf_dir), "kind", "role", "dimension", "dimension_value")
+    tally = settle(stability.tallies(scored(spark, sf_dir)))
+    return stability.recalls_with_intervals_of(tally).where(F.col("role") != stability.POOLED)
 
 
 @register(None)
 def pooled_recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stability.recalls_with_intervals(scored(spark, sf_dir), "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__"))
+    tally = settle(stability.tallies(scored(spark, sf_dir)))
+    return stability.recalls_with_intervals_of(tally).where(F.col("role") == stability.POOLED)
 
 
 @register(_SCORED + "SELECT kind, role, dimension, CAST(count(*) FILTER (outcome = 'full') AS DOUBLE) AS full_score, CAST(count(*) FILTER (outcome <> 'missed') AS DOUBLE) AS full_plus_partial_score FROM sc GROUP BY kind, role, dimension")
@@ -512,7 +529,9 @@ def paired_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _p_sql(keys: str, seed: int = 42) -> str:
     return f""", cl AS (SELECT {keys}, document_id, sum(original - transformed) AS s, count(*) AS n FROM pairs GROUP BY ALL),
 seen AS (SELECT {keys}, round(sum(s), 9) AS observed, max(abs(s)) AS most FROM cl GROUP BY ALL),
-flips AS (SELECT {keys}, b, round(sum(s * CASE WHEN {sql.drawn(str(seed), *keys.split(', '), 'b', 'document_id')} % 2 = 0 THEN 1 ELSE -1 END), 9) AS v FROM cl, range(0, {ITERATIONS}) r(b) GROUP BY ALL),
+words AS ({sql.draws(seed, 'sign', -(-ITERATIONS // 64), 'cl')}),
+signs AS (SELECT document_id, b, 1 - 2 * ((word >> (b % 32)) & 1) AS sign FROM (SELECT document_id, place, word, unnest(range(32 * place, least(32 * place + 32, {ITERATIONS}))) AS b FROM words)),
+flips AS (SELECT {keys}, b, round(sum(s * sign), 9) AS v FROM cl JOIN signs USING (document_id) GROUP BY ALL),
 ps AS (SELECT {keys}, CASE WHEN most = 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER (v >= observed) + 1) / {ITERATIONS + 1} END AS p_one_sided, CASE WHEN most = 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER (abs(v) >= abs(observed)) + 1) / {ITERATIONS + 1} END AS p_two_sided
   FROM flips JOIN seen USING ({keys}) GROUP BY {keys}, most)
 """
@@ -520,7 +539,7 @@ ps AS (SELECT {keys}, CASE WHEN most = 0 THEN 1.0::DOUBLE ELSE (count(*) FILTER
 
 @register(_SCORED + _pairs_sql() + _p_sql("dimension, role") + "SELECT * FROM ps")
 def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = stability.clusters(stability.pairs(scored(spark, sf_dir)), ["dimension", "role"], F.col("original") - F.col("transformed"))
+    stats = settle(stability.clusters(stability.pairs(scored(spark, sf_dir)), ["dimension", "role"], F.col("original") - F.col("transformed")))
     return stability.sign_flip_p(stats, ["dimension", "role"], iterations=ITERATIONS)
 
 
@@ -528,28 +547,26 @@ def permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     _SCORED
     + _pairs_sql()
     + f""", cl AS (SELECT dimension, role, document_id, sum(original - transformed) AS s, count(*) AS n FROM pairs GROUP BY ALL),
-nb AS (SELECT *, row_number() OVER (PARTITION BY dimension, role ORDER BY document_id) - 1 AS number, count(*) OVER (PARTITION BY dimension, role) AS size FROM cl),
-dr AS (SELECT dimension, role, b, {sql.drawn('42', 'dimension', 'role', 'b', 'number')} % size AS pick FROM nb, range(0, {ITERATIONS}) r(b)),
-me AS (SELECT dr.dimension, dr.role, b, round(sum(s) / sum(n), 9) AS mean FROM dr JOIN nb ON nb.dimension = dr.dimension AND nb.role = dr.role AND nb.number = dr.pick GROUP BY ALL)
-SELECT dimension, role, list_sort(list(mean))[1] AS lower, list_sort(list(mean))[{int(0.975 * (ITERATIONS - 1)) + 1}] AS upper FROM me GROUP BY dimension, role"""
+words AS ({sql.draws(42, 'weight', -(-ITERATIONS // 4), 'cl')}),
+weights AS (SELECT document_id, b, {' + '.join(f'CAST(u >= {t} AS INTEGER)' for t in draws.WEIGHTS)} AS w FROM (SELECT document_id, 2 * place + half AS b, (word >> (16 * half)) & 65535 AS u FROM words, range(2) r(half)) WHERE b < {ITERATIONS}),
+me AS (SELECT dimension, role, b, round(sum(w * s) / sum(w * n), 9) AS mean FROM cl JOIN weights USING (document_id) WHERE w > 0 GROUP BY ALL),
+li AS (SELECT dimension, role, list_sort(list(mean)) AS means FROM me GROUP BY dimension, role)
+SELECT dimension, role, means[CAST(floor(0.025 * (len(means) - 1)) AS BIGINT) + 1] AS lower, means[CAST(floor(0.975 * (len(means) - 1)) AS BIGINT) + 1] AS upper FROM li"""
 )
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = stability.clusters(stability.pairs(scored(spark, sf_dir)), ["dimension", "role"], F.col("original") - F.col("transformed"))
-    return stability.cluster_bootstrap(stats, ["dimension", "role"], iterations=ITERATIONS)
+    stats = settle(stability.clusters(stability.pairs(scored(spark, sf_dir)), ["dimension", "role"], F.col("original") - F.col("transformed")))
+    return stability.intervals(stats, ["dimension", "role"], iterations=ITERATIONS)
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degradation and one-sided p of each model, scope, dimension and role."""
     scope = derived.notes(spark, sf_dir).select("document_id", "scope")
     keys = ["model", "scope", "dimension", "role"]
-    paired = None
-    for model in MODELS:
-        one = stability.pairs(scored(spark, sf_dir, model)).withColumn("model", F.lit(model))
-        paired = one if paired is None else paired.unionByName(one)
+    paired = stability.pairs(scored_all(spark, sf_dir, list(MODELS)), "model")
     paired = paired.join(scope, "document_id")
     stats = settle(stability.clusters(paired, keys, F.col("original") - F.col("transformed")))  # read three times below
     p = stability.sign_flip_p(stats, keys, iterations=ITERATIONS).select(*keys, "p_one_sided")
-    cells = stats.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_clusters"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_degradation"))
+    cells = stats.groupBy(*keys).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_clusters"), F.round(F.round(F.sum("s") / F.sum("n"), 12), 6).alias("mean_degradation"))
     return cells.join(p, keys)
 
 

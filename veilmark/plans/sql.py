@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.texts import MONTHS, SHORT_MONTHS, WEEKDAYS
+from ..operators.draws import MULTIPLIER, ROUNDS, STEP
 from ..sources.derived import FIRST_NAMES, SURNAMES
 
 
@@ -52,6 +53,15 @@ def drawn(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
 
+def draws(seed: int, purpose: str, blocks: int, documents: str) -> str:
+    """(document_id, place, word): two words of 32 bits for each block of a document's stream (Philox 2x32, 10 rounds)."""
+    part = lambda at: f"CAST('0x' || substr(md5('{seed}:{purpose}:' || document_id), {at}, 8) AS UBIGINT)"
+    rounds = f"SELECT document_id, block, CAST(block AS UBIGINT) AS a, lane AS b, key AS k FROM (SELECT document_id, {part(1)} AS key, {part(9)} AS lane FROM (SELECT DISTINCT document_id FROM {documents})), range({blocks}) r(block)"
+    for _ in range(ROUNDS):
+        rounds = f"SELECT document_id, block, xor(xor((a * {MULTIPLIER}::UBIGINT) >> 32, k), b) AS a, (a * {MULTIPLIER}::UBIGINT) & 4294967295::UBIGINT AS b, (k + {STEP}::UBIGINT) & 4294967295::UBIGINT AS k FROM ({rounds})"
+    return f"SELECT document_id, 2 * block + half AS place, CAST(CASE half WHEN 0 THEN a ELSE b END AS BIGINT) AS word FROM ({rounds}), range(2) h(half)"
+
+
 def _dates(date: str) -> dict[str, str]:
     d, m, y = f"CAST(day({date}) AS VARCHAR)", f"CAST(month({date}) AS VARCHAR)", f"CAST(year({date}) AS VARCHAR)"
     full, short, week = f"{items(MONTHS)}[month({date})]", f"{items(SHORT_MONTHS)}[month({date})]", f"{items(WEEKDAYS)}[dayofweek({date}) + 1]"
