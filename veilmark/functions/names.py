@@ -17,8 +17,6 @@ FORMS = ["same", "full_name", "first_only", "initials_only", "first_initials", "
 #: A parsed name; ``written`` are its parts in the order of the text, each with its sort: first, last, initial or comma.
 PARTS = "title string, first_name string, last_name string, pattern string, first_initial string, written array<struct<sort:string,text:string>>"
 _INITIAL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]\.?")
-#: Draws of another name before the last one is taken as it is.
-DRAWS = 10
 
 
 @dataclass(frozen=True)
@@ -154,21 +152,36 @@ def listed(values: list[str]) -> Column:
     return F.split(F.lit("\u001f".join(values)), "\u001f")
 
 
-def other_name(parts: Column, lookups: Lookups, draw: Callable[[Column, str], Column]) -> Column:
-    """A listed name written like the parsed one but not equal to it; the last of DRAWS draws if none differs.
+def distinct(values: list[str]) -> list[str]:
+    """The first of each group of names that are equal in small letters."""
+    return list({v.lower(): v for v in reversed(values)}.values())[::-1]
 
-    ``draw`` gives a number for an attempt and ``f`` or ``l``. A draw must bring a new first name if only that is written, a
-    new surname if that is written alone or with an initial, otherwise one of both.
+
+def place(values: list[str], name: Column) -> Column:
+    """The place of a name among ``distinct`` values, from 1 on, ignoring case; 0 if it is not there."""
+    return F.coalesce(F.array_position(listed([v.lower() for v in distinct(values)]), F.lower(name)), F.lit(0))
+
+
+def drawn_apart(values: list[str], number: Column, at: Column) -> Column:
+    """The value that a number picks from all but the one at ``at``: one draw, and equal chances for all others.
+
+    The value at ``at`` itself only if there is no other.
     """
-    written = F.transform(parts["written"], lambda w: w["sort"])
-    has_first, has_last = F.array_contains(written, "first"), F.array_contains(written, "last")
+    kept = distinct(values)
+    among = F.greatest(F.lit(len(kept)) - F.when(at > 0, 1).otherwise(0), F.lit(1))
+    i = F.pmod(number, among)
+    return F.get(listed(kept), F.least(i + F.when((at > 0) & (i >= at - 1), 1).otherwise(0), F.lit(len(kept) - 1)).cast("int"))
 
-    def pick(attempt: Column) -> Column:
-        return F.struct(*[F.get(listed(values), F.pmod(draw(attempt, kind), F.lit(len(values))).cast("int")).alias(name) for name, kind, values in (("first", "f", lookups.first_names), ("last", "l", lookups.surnames))])
 
-    def fresh(name: Column) -> Column:
-        first, last = F.lower(name["first"]) != F.lower(parts["first_name"]), F.lower(name["last"]) != F.lower(parts["last_name"])
-        return F.when(~has_last, first).when(~has_first, last).otherwise(first | last)
+def other_name(parts: Column, lookups: Lookups, first_at: Column, last_at: Column, draw: Callable[[str], Column]) -> Column:
+    """A listed name written like the parsed one but not equal to it, unless the lists hold no other.
 
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS - 1)), pick(F.lit(0)), lambda name, attempt: F.when(fresh(name), name).otherwise(pick(attempt)))
-    return F.get(F.transform(F.array(chosen), lambda name: composed(parts, name["first"], name["last"])), F.lit(0))
+    ``draw`` gives a number for ``f`` or ``l``; ``first_at`` and ``last_at`` are the parsed names' places. Only a first name: it is new.
+    A surname alone or with an initial: it is new. Both: the surname is new where the first name is drawn again.
+    """
+    written = F.transform(parts["written"], lambda w: w["sort"])
+    has_first, has_last = F.array_contains(written, "first"), F.array_contains(written, "last")
+    nowhere = F.lit(0)
+    first = drawn_apart(lookups.first_names, draw("f"), F.when(has_last, nowhere).otherwise(first_at))
+    last = lambda name: drawn_apart(lookups.surnames, draw("l"), F.when(has_first & (F.lower(name) != F.lower(parts["first_name"])), nowhere).otherwise(last_at))
+    return F.get(F.transform(F.transform(F.array(first), lambda name: F.struct(name.alias("first"), last(name).alias("last"))), lambda name: composed(parts, name["first"], name["last"])), F.lit(0))

@@ -63,8 +63,9 @@ def name_options(plan: Plan, lookups: Lookups) -> Column:
     tried = F.concat(tried, _options("format", [(F.lit(f), names.rendered(parts, f, plan.title)) for f in plan.forms]))
 
     def other(trial: Column) -> Column:
-        draw = lambda attempt, kind: drawn(F.lit(str(plan.seed)), F.col("document_id"), F.col("span_index").cast("string"), trial.cast("string"), attempt.cast("string"), F.lit(kind))
-        return F.struct(F.lit("name_source").alias("dimension"), F.concat(F.lit("other_"), trial.cast("string")).alias("value"), names.other_name(parts, lookups, draw).alias("replacement"))
+        draw = lambda kind: drawn(F.lit(str(plan.seed)), F.col("document_id"), F.col("span_index").cast("string"), trial.cast("string"), F.lit(kind))
+        found = names.other_name(parts, lookups, F.col("first_at"), F.col("last_at"), draw)
+        return F.struct(F.lit("name_source").alias("dimension"), F.concat(F.lit("other_"), trial.cast("string")).alias("value"), found.alias("replacement"))
 
     others = F.transform(F.sequence(F.lit(0), F.lit(plan.trials - 1)), other) if plan.trials > 0 else _options("name_source", [])
     return F.concat(_new(tried, base), _new(others, base))
@@ -108,6 +109,7 @@ def targets(notes: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
 def with_options(rows: DataFrame, plan: Plan, lookups: Lookups) -> DataFrame:
     """Targets with ``options``: all changes as array<struct<dimension, value, replacement>>, the unchanged baseline first."""
     base, kind, first_year = F.col("base_text"), F.col("kind"), F.col("first_year")
+    rows = rows.withColumn("first_at", names.place(lookups.first_names, F.col("parts.first_name"))).withColumn("last_at", names.place(lookups.surnames, F.col("parts.last_name")))
     rows = rows.withColumn("named", F.when(kind == "name", name_options(plan, lookups)))
     rows = rows.withColumn("date", F.when(kind == "date", date_parsed(base))).withColumn("first_year", F.when(kind == "date", F.get(years(base), F.lit(0))))
     grid = F.array(*[F.lit(y) for y in range(plan.year_min, plan.year_max + 1, max(1, plan.year_step))]).cast("array<int>")

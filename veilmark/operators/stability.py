@@ -56,17 +56,23 @@ def with_models(rows: DataFrame, models: dict[str, Callable[[], Callable[[str, s
                 batch = whole.slice(at, TARGETS)
                 flat = {k: [] for k in ("begin", "end", "label", "category")}
                 spans, variants = [], []
-                for row in batch.to_pylist():
-                    before, after = row["text"][: row["begin"]], row["text"][row["end"] :]
-                    texts = [(f"{row['document_id']}::{row['span_index']}::{o['dimension']}::{o['value']}", before + o["replacement"] + after) for o in row["options"]]
+                options, at = batch.column("options"), 0
+                changes = [options.flatten().field(k).to_pylist() for k in ("dimension", "value", "replacement")]
+                sizes = options.value_lengths().to_pylist()
+                for document, index, text, begin, end, size in zip(*[batch.column(k).to_pylist() for k in ("document_id", "span_index", "text", "begin", "end")], sizes, strict=True):
+                    before, after, name = text[:begin], text[end:], f"{document}::{index}::"
+                    texts = [(f"{name}{d}::{v}", f"{before}{r}{after}") for d, v, r in zip(*[c[at : at + size] for c in changes], strict=True)]
+                    at += size
                     for predict in loaded:
-                        variants.append(len(texts))
-                        for identity, text in texts:
-                            found = predict(identity, text)
+                        variants.append(size)
+                        for identity, whole_text in texts:
+                            found = predict(identity, whole_text)
                             spans.append(len(found))
                             for x in found:
-                                for k, v in flat.items():
-                                    v.append(x[k])
+                                flat["begin"].append(x["begin"])
+                                flat["end"].append(x["end"])
+                                flat["label"].append(x["label"])
+                                flat["category"].append(x["category"])
                 fields = pa.StructArray.from_arrays([pa.array(flat[f.name], f.type) for f in span], fields=list(span))
                 per_model = nested(nested(fields, spans), variants)
                 column = nested(per_model, [len(names)] * batch.num_rows)

@@ -103,7 +103,12 @@ def variants(year_min: int, year_max: int, step: int, trials: int, seed: int) ->
         ("format", "first_initials", "f || ' ' || upper(substr(l, 1, 1)) || '.'", both),
         ("format", "title_dr", "'dr. ' || CASE WHEN k % 7 IN (3, 5) THEN l WHEN k % 7 = 2 THEN f ELSE f || ' ' || l END", "true"),
     ]
-    pick = lambda kind, values: f"{items(values)}[{drawn(str(seed), 'document_id', 'span_index', 't', 'a', chr(39) + kind + chr(39))} % {len(values)} + 1]"
+    def pick(kind: str, values: list[str], original: str | None = None) -> str:
+        n = drawn(str(seed), "document_id", "span_index", "t", f"'{kind}'")
+        if not original:
+            return f"{items(values)}[{n} % {len(values)} + 1]"
+        return f"list_filter({items(values)}, lambda x: lower(x) <> lower({original}))[{n} % {len(values) - 1} + 1]"
+
     ages = ["%s jaar", "%s j.", "%s jr.", "%s-jarige", "%s jaar oud", "%sj"]
     rows = [f"SELECT *, '{d}' AS dimension, '{v}' AS value, {r} AS repl, {i} AS ord, 'w' AS grp FROM target WHERE kind = 'name' AND {c}" for i, (d, v, r, c) in enumerate(names)]
     rows += [f"SELECT *, 'date_format', '{p}', {sql}, {i}, 'f' FROM target WHERE kind = 'date'" for i, (p, sql) in enumerate(_dates("dt").items())]
@@ -112,11 +117,10 @@ def variants(year_min: int, year_max: int, step: int, trials: int, seed: int) ->
     first, last, ini = style.replace("x", "nf"), style.replace("x", "nl"), style.replace("x", "substr(nf, 1, 1) || '.'")
     form = f"title || CASE k % 7 WHEN 1 THEN {last} || ' ' || {first} WHEN 2 THEN {first} WHEN 3 THEN {last} WHEN 4 THEN {last} || ', ' || {first} WHEN 5 THEN {ini} || ' ' || {last} ELSE {first} || ' ' || {last} END"
     return f"""WITH {NOTES},
-tries AS (SELECT *, {pick('f', FIRST_NAMES)} AS nf, {pick('l', SURNAMES)} AS nl FROM (SELECT target.*, t, a FROM target, range(0, {trials}) AS x(t), range(0, 10) AS y(a) WHERE kind = 'name')),
-apt AS (SELECT *, CASE WHEN k % 7 = 2 THEN lower(nf) <> lower(f) WHEN k % 7 IN (3, 5) THEN lower(nl) <> lower(l) ELSE lower(nf) <> lower(f) OR lower(nl) <> lower(l) END AS ok FROM tries),
-other AS (SELECT * FROM apt QUALIFY row_number() OVER (PARTITION BY document_id, span_index, t ORDER BY CASE WHEN ok THEN a ELSE 100 - a END) = 1),
+tries AS (SELECT *, CASE WHEN k % 7 = 2 THEN {pick('f', FIRST_NAMES, 'f')} ELSE {pick('f', FIRST_NAMES)} END AS nf FROM (SELECT target.*, t FROM target, range(0, {trials}) AS x(t) WHERE kind = 'name')),
+other AS (SELECT *, CASE WHEN k % 7 IN (3, 5) OR lower(nf) = lower(f) THEN {pick('l', SURNAMES, 'l')} ELSE {pick('l', SURNAMES)} END AS nl FROM tries),
 opt AS ({' UNION ALL '.join(rows)}
-  UNION ALL SELECT * EXCLUDE (t, a, nf, nl, ok), 'name_source', 'other_' || t, {form}, CAST(t AS INTEGER), 'o' FROM other),
+  UNION ALL SELECT * EXCLUDE (t, nf, nl), 'name_source', 'other_' || t, {form}, CAST(t AS INTEGER), 'o' FROM other),
 kept AS (SELECT * FROM opt WHERE repl <> base QUALIFY row_number() OVER (PARTITION BY document_id, span_index, grp, repl ORDER BY ord) = 1),
 shift AS (SELECT target.*, 'date_value_shift' AS dimension, CAST(y AS VARCHAR) AS value, replace(base, CAST(year(dt) AS VARCHAR), CAST(y AS VARCHAR)) AS repl FROM target, range({year_min}, {year_max + 1}, {step}) AS r(y)
   WHERE kind = 'date' AND contains(base, CAST(year(dt) AS VARCHAR)) AND y <> year(dt)),
