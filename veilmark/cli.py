@@ -12,26 +12,54 @@ import importlib
 import json
 import sys
 from functools import reduce
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import perturb, report, scoring, stability
+from .operators import charts, perturb, report, scoring, stability
 from .session import settle
-from .sources import config, documents
+from .sources import artifacts, config, documents, inputs
+
+
+class Scope(argparse.Action):
+    """Collects NAME=PATH arguments into a mapping; malformed ones and repeated names are errors."""
+
+    def __call__(self, parser: argparse.ArgumentParser, namespace: argparse.Namespace, value: str, flag: str | None = None) -> None:
+        held = dict(getattr(namespace, self.dest) or {})
+        name, path = (*map(str.strip, value.split("=", 1)), "")[:2]
+        if not name or not path:
+            raise argparse.ArgumentError(self, f"not NAME=PATH: {value}")
+        if name in held:
+            raise argparse.ArgumentError(self, f"given twice: {name}")
+        setattr(namespace, self.dest, held | {name: path})
 
 
 def scopes(values: list[str]) -> dict[str, str]:
-    """NAME=PATH arguments; malformed ones and repeated names are errors."""
-    out: dict[str, str] = {}
-    for value in values:
-        name, found, path = value.partition("=")
-        if not (found and name.strip() and path.strip()) or name.strip() in out:
-            raise ValueError(f"not a new NAME=PATH: {value}")
-        out[name.strip()] = path.strip()
-    return out
+    """What ``--scope`` arguments give."""
+    action, held = Scope(["--scope"], "scope"), argparse.Namespace(scope={})
+    try:
+        for value in values:
+            action(None, held, value)
+    except argparse.ArgumentError as error:
+        raise ValueError(str(error)) from error
+    return held.scope
+
+
+#: Flags of the adapter and the source fields they name; fixed values.
+FIELDS = ["patient_first", "patient_last", "patient_initials", "caregiver_first", "caregiver_last", "doc_date"]
+
+
+def adapt(spark: SparkSession, args: argparse.Namespace) -> str:
+    """Battery input from another source, by flags or by the settings' section; says what was written."""
+    if args.config:
+        source, out, how = config.read_adapter(args.config, args.out)
+    elif args.source:
+        fields = {f: v for f in FIELDS if (v := getattr(args, f))}
+        source, out, how = args.source, args.out or "input.jsonl", inputs.Adapter(args.field, args.id_field, args.metadata_field, fields)
+    else:
+        raise ValueError("either --config or --from is required")
+    return f"wrote {out} ({inputs.adapt(spark, source, out, how).count()} docs)"
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -48,12 +76,13 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
 COUNTERS = {"name_source": "other", "date_value_shift": "value_shift", "date_format": "format", "age_format": "format"}
 #: Columns of the recall table and the scopes that are adjusted together; fixed values.
 RECALL_COLUMNS = ["model", "level", "kind", "role", "dimension", "dimension_value", "total", "full", "partial", "missed", "full_recall", "partial_recall", "full_plus_partial_recall", "n_clusters", "bootstrap_ci95_lower", "bootstrap_ci95_upper"]
+RECALL_TYPES = ", ".join(f"{c} {'bigint' if c in ('total', 'full', 'partial', 'missed', 'n_clusters') else 'double' if c.endswith(('recall', 'lower', 'upper')) else 'string'}" for c in RECALL_COLUMNS)
 SCOPES = ["uza", "synthetic", "primary-care"]
 
 
 def expand(spark: SparkSession, settings: config.Settings, names: str, dry_run: bool) -> dict:
     """Write variants and a summary of their counts."""
-    rows = documents.read_gold(spark, settings.dataset, settings.max_docs)
+    rows = documents.read_gold(spark, settings.dataset, settings.max_docs, ordinal=True)
     if settings.text_source:
         rows = documents.with_texts(rows.withColumn("plain_text", F.lit(None).cast("string")), documents.read_texts(spark, settings.text_source))
     notes = rows.select("document_id", "text", F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label"))).alias("spans"))
@@ -116,7 +145,7 @@ def analyze(spark: SparkSession, settings: config.Settings, only: list[str] | No
     level), with intervals, and a report in Markdown for each model.
     """
     variants, done = spark.read.parquet(f"{settings.output_dir}/variants").drop("text"), 0
-    recall, pooled, cells = [], [], []
+    recall, cells = [], []
     for model in chosen(settings, only):
         predictions = _predictions(spark, f"{settings.output_dir}/predictions/{model.id}")
         if predictions is None:
@@ -126,21 +155,23 @@ def analyze(spark: SparkSession, settings: config.Settings, only: list[str] | No
         for level in ("category", "label"):
             rows = settle(stability.scored(joined, level))  # narrow, and read by all that follows
             mark = lambda df, m=model.id, v=level: df.withColumn("model", F.lit(m)).withColumn("level", F.lit(v))
-            ends = lambda df: df.withColumnsRenamed({"lower": "bootstrap_ci95_lower", "upper": "bootstrap_ci95_upper"})
-            recall.append(mark(ends(stability.recalls_with_intervals(rows, "kind", "role", "dimension", "dimension_value"))).select(*RECALL_COLUMNS))
-            pooled.append(mark(ends(stability.recalls_with_intervals(rows, "kind", "dimension", "dimension_value").withColumn("role", F.lit("__pooled__")))).select(*RECALL_COLUMNS))
+            tally = settle(stability.tallies(rows))
+            shown = stability.recalls_with_intervals_of(tally, seed=settings.plan.seed)
+            recall.append(mark(shown.withColumnsRenamed({"lower": "bootstrap_ci95_lower", "upper": "bootstrap_ci95_upper"})).select(*RECALL_COLUMNS))
             paired, keys = stability.pairs(rows), ["dimension", "role"]
             stats = settle(stability.clusters(paired, keys, F.col("original") - F.col("transformed")))
             tested = stability.sign_flip_p(stats, keys, settings.plan.seed).join(stability.intervals(stats, keys, settings.plan.seed), keys)
             one = settle(stability.degradation(paired).join(tested, keys))
             cells.append(mark(one))
             if level == "category":
-                text = report.stability_report(model.id, stability.baseline(rows).first(), [r.asDict() for r in one.collect()])
+                run = {"dataset": settings.dataset, "seed": settings.plan.seed}
+                text = report.stability_report(model.id, stability.baseline(rows).first(), [r.asDict() for r in one.collect()], [r.asDict() for r in stability.recall_tables(tally).collect()], run)
                 report.write_text(text, f"{settings.output_dir}/{model.id}.md")
     if not done:
         raise ValueError("no model has predictions")
-    for name, parts in (("recall", recall), ("pooled_recall", pooled)):
-        reduce(DataFrame.unionByName, parts).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{name}")
+    whole = settle(reduce(DataFrame.unionByName, recall))
+    for name, fits in (("recall", F.col("role") != stability.POOLED), ("pooled_recall", F.col("role") == stability.POOLED)):
+        whole.where(fits).write.mode("overwrite").option("header", True).csv(f"{settings.output_dir}/{name}")
     reduce(DataFrame.unionByName, cells).write.mode("overwrite").partitionBy("model", "level").parquet(f"{settings.output_dir}/degradation")
 
 
@@ -159,6 +190,25 @@ def adjust(spark: SparkSession, files: dict[str, str], output: str, expected: li
     report.write_json([r.asDict() for r in stability.manifest(adjusted).collect()], f"{output}/stability_multiple_testing.json")
 
 
+def plot(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Tables of score artifacts as CSV under ``tables``, and figures where matplotlib is there."""
+    found = settle(artifacts.read_artifacts(spark, args.scores).drop("v"))
+    report.figures([r.asDict() for r in found.orderBy("number").collect()], args.output_dir, [f.strip() for f in args.formats.split(",")], args.dpi)
+    rows = artifacts.read_artifacts(spark, args.scores)
+    for table in artifacts.DETAILS:
+        documents.write_table(artifacts.detail(rows, table), f"{args.output_dir}/tables/{table}", "overwrite")
+    documents.write_table(charts.runtimes(found), f"{args.output_dir}/tables/accuracy_runtime", "overwrite")
+
+
+def plot_stability(spark: SparkSession, analysis: str, output: str) -> None:
+    """Tables of an analysis as they are drawn, as CSV: grouped bars, the line of years, the forest of changes."""
+    tables = spark.read.option("header", True).schema(RECALL_TYPES).csv([f"{analysis}/recall", f"{analysis}/pooled_recall"]).where("level = 'category'")
+    shown = tables.withColumnsRenamed({"bootstrap_ci95_lower": "lower", "bootstrap_ci95_upper": "upper"})
+    cells = spark.read.parquet(f"{analysis}/degradation").where("level = 'category'")
+    for name, table in (("bars", charts.bars(shown)), ("year_shift", charts.year_line(shown)), ("forest", charts.forest(cells))):
+        documents.write_table(table, f"{output}/{name}", "overwrite")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veilmark")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -174,6 +224,12 @@ def main(argv: list[str] | None = None) -> int:
     two.add_argument("--output-dir", required=True)
     two.add_argument("--formats", default="png,pdf")
     two.add_argument("--dpi", type=int, default=300)
+    three = commands.add_parser("adapt")
+    for flag in ("--config", "--metadata-field", "--out", *[f"--{f.replace('_', '-')}" for f in FIELDS]):
+        three.add_argument(flag)
+    three.add_argument("--from", dest="source")
+    three.add_argument("--field", default=inputs.Adapter.text_field)
+    three.add_argument("--id-field", default=inputs.Adapter.id_field)
     steps = commands.add_parser("stability").add_subparsers(dest="step", required=True)
     for step in ("expand", "infer", "analyze", "run"):
         sub = steps.add_parser(step)
@@ -182,20 +238,27 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("--max-docs", type=int)
         sub.add_argument("--dry-run", action="store_true")
         sub.add_argument("--only", type=lambda v: [x.strip() for x in v.split(",") if x.strip()])
+    sub = steps.add_parser("plot")
+    sub.add_argument("--analysis", required=True)
+    sub.add_argument("--output-dir", required=True)
     sub = steps.add_parser("adjust")
-    sub.add_argument("--scope", action="append", required=True)
+    sub.add_argument("--scope", action=Scope, required=True)
     sub.add_argument("--expected", type=lambda v: [x.strip() for x in v.split(",") if x.strip()], default=SCOPES)
     sub.add_argument("--output-dir", required=True)
     args = parser.parse_args(argv)
     try:
         if args.command == "plot":
-            report.figures([json.loads(Path(p).read_text(encoding="utf-8")) for p in args.scores], args.output_dir, [f.strip() for f in args.formats.split(",")], args.dpi)
+            plot(SparkSession.builder.getOrCreate(), args)
             return 0
         spark = SparkSession.builder.getOrCreate()
         if args.command == "score":
             score(spark, args)
+        elif args.command == "adapt":
+            print(adapt(spark, args))
+        elif args.step == "plot":
+            plot_stability(spark, args.analysis, args.output_dir)
         elif args.step == "adjust":
-            adjust(spark, scopes(args.scope), args.output_dir, args.expected)
+            adjust(spark, args.scope, args.output_dir, args.expected)
         else:
             settings = config.read_settings(args.config)
             if args.max_docs is not None:

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from . import scoring
+from .stability import ALPHA, MIN_NOTES, MIN_PAIRS, POOLED
 
 METHODS = ["human", "rule", "neural", "generative", "unknown"]
 
@@ -51,20 +52,47 @@ def percent(x: float | None) -> str:
     return "n/a" if x is None else f"{100 * x:.1f}%"
 
 
-def stability_report(model: str, baseline: Any, cells: list[dict]) -> str:
-    """Markdown with the baseline and a line for each dimension and role."""
-    lines = [f"# Stability of {model}", "", f"Baseline recall: {percent(baseline['baseline_recall'])} of {baseline['n_targets']} targets.", "", "| dimension | role | pairs | notes | change |", "|---|---|---|---|---|"]
-    for c in sorted(cells, key=lambda c: (c["dimension"], c["role"])):
-        change = "n/a" if c["mean_degradation"] is None else f"{-100 * c['mean_degradation']:+.1f} pp"
-        lines.append(f"| {c['dimension']} | {c['role']} | {c['n_pairs']} | {c['n_clusters']} | {change} |")
-    return "\n".join(lines) + "\n"
+def _change(cell: dict | None) -> str:
+    """A cell's change in points with its counts; a star marks a nominal one-sided p below ALPHA."""
+    if not cell or cell["mean_degradation"] is None:
+        return "n/a"
+    counts = f"(pairs={cell['n_pairs']}, notes={cell['n_clusters']})"
+    if cell["n_pairs"] < MIN_PAIRS or cell["n_clusters"] < MIN_NOTES:
+        return f"not estimated {counts}"
+    p = cell.get("p_one_sided")
+    star = " *" if p is not None and p < ALPHA and cell["mean_degradation"] > 0 else ""
+    return f"{-100 * cell['mean_degradation']:+.1f}pp{star} {counts}"
+
+
+def _table(head: list[str], rows: list[list[str]]) -> list[str]:
+    return ["| " + " | ".join(x) + " |" for x in (head, ["---"] * len(head), *rows)] + [""]
+
+
+def stability_report(model: str, baseline: Any, cells: list[dict], recalls: list[dict] = (), run: dict[str, Any] | None = None) -> str:
+    """Markdown: the run, the baseline, recall and change by dimension and role, and the values of the richest name dimensions.
+
+    ``recalls`` are the rows of ``stability.recall_tables`` as dictionaries; those with roles pooled are left out.
+    """
+    own = [r for r in recalls if r["role"] != POOLED]
+    lines = [f"# Stability of {model}", "", *[f"- {k}: {v}" for k, v in (run or {}).items()], f"- baseline recall: {percent(baseline['baseline_recall'])} over {baseline['n_targets']} targets", ""]
+    lines += [f"`*` marks a nominal one-sided p < {ALPHA}; only q < {ALPHA} of the adjustment over all scopes confirms. Cells need {MIN_PAIRS} pairs from {MIN_NOTES} notes.", ""]
+    by_cell = {(c["dimension"], c["role"]): c for c in cells}
+    rolled = {(r["dimension"], r["role"]): r for r in own if r["dimension_value"] is None and r["dimension"] != "baseline"}
+    shown = sorted(by_cell.keys() | rolled.keys(), key=lambda k: (k[0] or "", k[1] or ""))
+    rows = [[d, role or "-", percent(r["full_plus_partial_recall"]) if (r := rolled.get((d, role))) else "n/a", str(r["total"]) if r else "n/a", _change(by_cell.get((d, role)))] for d, role in shown]
+    lines += _table(["dimension", "role", "recall", "n", "change (pairs, notes)"], rows)
+    for dimension in ("capitalization", "format"):
+        values = sorted((r for r in own if r["dimension"] == dimension and r["dimension_value"] is not None), key=lambda r: (r["role"] or "", r["dimension_value"]))
+        if values:
+            lines += [f"## {dimension}", "", *_table(["role", "value", "recall", "n"], [[r["role"] or "-", r["dimension_value"], percent(r["full_plus_partial_recall"]), str(r["total"])] for r in values])]
+    return "\n".join(lines)
 
 
 def figures(payloads: list[dict], folder: str, formats: list[str], dpi: int = 300) -> list[str]:
-    """Bars of the three headline numbers for each system; nothing without matplotlib. Formats: png, pdf, svg."""
+    """Bars of the three headline numbers of ``artifacts.read_artifacts`` rows; nothing without matplotlib. Formats: png, pdf, svg."""
     if bad := [f for f in formats if f not in ("png", "pdf", "svg")]:
         raise ValueError(f"unknown figure formats: {bad}")
-    names = [(p.get("run") or {}).get("name") or f"System {i + 1}" for i, p in enumerate(payloads)]
+    names = [p.get("name") or (p.get("run") or {}).get("name") or f"System {i + 1}" for i, p in enumerate(payloads)]
     if not payloads or len(set(names)) != len(names):
         raise ValueError("figures need at least one score artifact, each with its own name")
     try:

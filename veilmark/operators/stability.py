@@ -162,8 +162,8 @@ def clusters(values: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return values.groupBy(*keys, "document_id").agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-#: Documents of a task of resampling, documents whose draws are made together, sums of a cell in a row, cells in memory.
-SHARE, TOGETHER, BLOCK, HELD = 2_000, 128, 50, 400
+#: Rows of a task of resampling, documents whose draws are made together, sums of a cell in a row, cells in memory.
+SHARE, TOGETHER, BLOCK, HELD = 50_000, 128, 50, 1_500
 
 
 def resampled(stats: DataFrame, keys: list[str], draw: Callable[[np.ndarray, np.ndarray, int], np.ndarray], purpose: str, seed: int, iterations: int) -> DataFrame:
@@ -205,7 +205,7 @@ def resampled(stats: DataFrame, keys: list[str], draw: Callable[[np.ndarray, np.
         yield rows()
 
     streams = stats.select(*keys, draws.stream(seed, purpose, F.col("document_id")).alias("d"), F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n"))
-    # at most so many tasks as cores, so that partial sums stay few
+    # few tasks for few rows: each hands on an array for each of its cells
     parts = max(1, min(4 * stats.sparkSession.sparkContext.defaultParallelism, stats.count() // SHARE))
     dealt = streams.select(*keys, "d.key", "d.lane", "s", "n").repartition(parts, "key", "lane").sortWithinPartitions("key", "lane")
     fields = ", ".join(f"{c} {stats.schema[k].dataType.simpleString()}" for c, k in zip(cells, keys, strict=True))

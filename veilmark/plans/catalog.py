@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import names as N
 from ..functions import texts as T
-from ..operators import draws, intervals, perturb, records, scoring, stability
-from ..sources import derived
-from ..session import settle
+from ..operators import charts, draws, intervals, order, perturb, records, scoring, stability
+from ..session import settle, shared_folder
+from ..sources import derived, documents, inputs
+from ..streaming import results
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -731,3 +733,119 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {sql.SPANS} SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(n, 0) AS num_entities FROM documents LEFT JOIN (SELECT document_id, count(*) AS n FROM alpha_all GROUP BY document_id) p ON p.document_id = CAST(doc_id AS VARCHAR)")
 def ordered_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.backfilled(*_docs_and_done(spark, sf_dir)).select("document_id", F.size("spans").cast("long").alias("num_entities"))
+
+
+@register(f"WITH {sql.SPANS} SELECT CAST(doc_id AS VARCHAR) AS document_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, coalesce(n, 0) AS num_entities FROM documents LEFT JOIN (SELECT document_id, count(*) AS n FROM alpha_all GROUP BY document_id) p ON p.document_id = CAST(doc_id AS VARCHAR)")
+def backfill_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in the input, found without one task that sees them all."""
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"))
+    ranked = order.placed(docs, [], ["doc_id"])[0].select("document_id", (F.col("_rank") - 1).alias("place"))
+    return results.in_order(ranked, derived.predictions(spark, sf_dir), "place").select("document_id", "place", F.size("spans").cast("long").alias("num_entities"))
+
+
+@register(f"WITH {sql.SPANS} SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(n, 0) AS num_entities FROM documents LEFT JOIN (SELECT document_id, count(*) AS n FROM alpha_all GROUP BY document_id) p ON p.document_id = CAST(doc_id AS VARCHAR)")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that was killed in its second batch and resumed: the log has the rows of one run.
+
+    A first batch is committed, a second one is left without its commit, and the resumed run does what is left.
+    """
+    docs = derived.table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("document_id"))
+    none = F.array().cast("array<struct<begin:bigint,end:bigint,label:string>>")
+    model = derived.predictions(spark, sf_dir)
+    predict = lambda some: some.select("document_id").join(model, "document_id", "left").withColumn("spans", F.coalesce("spans", none))
+    log = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    results.record(predict(docs.where("doc_id % 3 = 0")), log, 0)
+    torn = docs.where("doc_id % 3 = 1").select(F.col("document_id").alias("doc_id"), F.lit(0).cast("long").alias("num_entities"), none.alias("entities"))
+    torn.write.json(f"{log}/rows/batch=1")
+    return results.resume(docs, log, predict).select("document_id", F.size("spans").cast("long").alias("num_entities"))
+
+
+def _lines_of(rows: DataFrame, key: str) -> str:
+    """Rows written as JSON Lines into several files whose names follow ``key``; the folder."""
+    folder = f"{shared_folder(rows.sparkSession)}/lines-{uuid.uuid4().hex}"
+    rows.repartitionByRange(4, key).sortWithinPartitions(key).write.json(folder)
+    return folder
+
+
+@register("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'doc_' || (row_number() OVER (ORDER BY o_orderkey) - 1) WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE 'x' || o_orderkey END AS document_id, o_orderkey AS k FROM orders")
+def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of lines over several files: doc_<n> where a line has none, n counted over all files in the order of their names."""
+    key = F.col("o_orderkey")
+    rows = derived.table(spark, sf_dir, "orders").select(key.alias("k"), F.when(key % 3 == 1, key).alias("doc_id"), F.when(key % 3 == 2, F.concat(F.lit("x"), key.cast("string"))).alias("id"), F.when(key % 3 == 0, "").alias("document_id"))
+    found = documents.numbered(documents.lines(spark, _lines_of(rows, "k")))
+    named = documents.identity("document_id", "doc_id", "id", default=F.concat(F.lit("doc_"), F.col("number").cast("string")))
+    return found.select(named.alias("document_id"), documents.field("k", "bigint").alias("k"))
+
+
+@register(
+    """SELECT CASE WHEN c_custkey = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS doc_id, c_name AS text, CASE WHEN c_custkey % 2 = 0 THEN 'Jan ' || c_nationkey WHEN c_custkey % 5 = 0 THEN 'Old' END AS given_name, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN c_name END AS family_name,
+CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS caregivers, CASE WHEN c_custkey % 4 = 0 THEN '19800102' WHEN c_custkey % 5 = 0 THEN '2001-02-03' END AS date, CAST(CASE WHEN c_custkey % 5 = 0 THEN c_nationkey END AS BIGINT) AS deep,
+CASE WHEN c_custkey % 5 = 0 THEN 3 END AS shift FROM customer"""
+)
+def adapted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Battery input made from another source's lines: explicit metadata under what the fields give, read back and projected."""
+    key = F.col("c_custkey")
+    meta = F.struct(F.struct(F.lit("Old").alias("given_name")).alias("patient"), F.lit("2001-02-03").alias("document_creation_date"), F.lit(3).alias("date_shift_days"), F.struct(F.array(F.struct(F.col("c_nationkey").alias("k"))).alias("v")).alias("known_values"))
+    first, last = F.when(key % 2 == 0, F.concat(F.lit(" Jan "), F.col("c_nationkey").cast("string"))), F.when((key % 2 == 0) & (key % 3 == 0), F.col("c_name"))
+    rows = derived.table(spark, sf_dir, "customer").select(key.alias("id"), F.col("c_name").alias("raw text"), F.when(key % 5 == 0, meta).alias("meta"), first.alias("p.first"), last.alias("p.last"), F.when(key % 7 == 0, "Noor").alias("care"), F.when(key % 4 == 0, 19800102).alias("date"))
+    how = inputs.Adapter("raw text", "id", "meta", {"patient_first": "p.first", "patient_last": "p.last", "caregiver_first": "care", "doc_date": "date"})
+    made = inputs.adapt(spark, _lines_of(rows, "id"), f"{shared_folder(spark)}/input-{uuid.uuid4().hex}", how)
+    found = made.select("doc_id", "text", F.to_variant_object(inputs.postprocessed(inputs.resolved(F.col("metadata"), "from_input"))).alias("m"))
+    get = lambda path, kind="string": F.try_variant_get("m", f"$.{path}", kind)
+    caregivers = F.size(F.coalesce(get("caregivers", "array<variant>"), F.array().cast("array<variant>")))
+    return found.select("doc_id", "text", get("patient.given_name").alias("given_name"), get("patient.family_name").alias("family_name"), caregivers.alias("caregivers"), get("document_creation_date").alias("date"), get("known_values.v[0].k", "bigint").alias("deep"), get("date_shift_days", "int").alias("shift"))
+
+
+# --- orders in figures ------------------------------------------------------------------------------------------------
+
+#: Categories and labels of the derived annotations, in the order in which figures show them; others come after them.
+CATEGORIES, LABELS = ["Name", "Age_Birthdate", "Date"], ["Name:Patient", "Name:Other"]
+
+
+@register(f"""WITH {sql.SPANS}, l AS (SELECT DISTINCT label FROM (SELECT label FROM gold UNION ALL SELECT label FROM alpha_all)),
+r AS (SELECT label, coalesce(list_position({sql.items(CATEGORIES)}, split_part(label, ':', 1)), 99) AS a, coalesce(list_position({sql.items(LABELS)}, label), 99) AS b FROM l)
+SELECT label, CAST(row_number() OVER (ORDER BY a, b, lower(label), label) - 1 AS INTEGER) AS place FROM r""")
+def labels_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = derived.gold_documents(spark, sf_dir).select(F.explode("spans.label").alias("label"))
+    found = gold.union(derived.predictions(spark, sf_dir).select(F.explode("spans.label").alias("label"))).distinct()
+    return charts.in_label_order(found, "label", CATEGORIES, LABELS)
+
+
+@register(f"SELECT prediction_label, coalesce(a.non_pii_redacted_chars, 0) AS alpha, coalesce(b.non_pii_redacted_chars, 0) AS beta, CAST(row_number() OVER (ORDER BY coalesce(a.non_pii_redacted_chars, 0) + coalesce(b.non_pii_redacted_chars, 0) DESC, lower(prediction_label), prediction_label) - 1 AS INTEGER) AS place FROM ({_redaction_sql('alpha')}) a FULL JOIN ({_redaction_sql('beta')}) b USING (prediction_label)")
+def non_pii_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.by_total(non_pii_heatmap(spark, sf_dir), "prediction_label", SYSTEMS)
+
+
+_VALUE_RANK = "CASE dimension " + " ".join(f"WHEN '{d}' THEN coalesce(list_position({sql.items(v)}, dimension_value), 99)" for d, v in charts.VALUES.items()) + " END"
+
+
+@register(
+    _BOTH
+    + f""", sh AS (SELECT * FROM sc WHERE NOT (model = 'beta' AND dimension_value IN ('upper', 'textual_full'))),
+c AS (SELECT model, dimension, dimension_value, count(*) AS total, count(*) FILTER (outcome <> 'missed') / count(*) AS recall, count(DISTINCT document_id) AS n_clusters FROM sh GROUP BY ALL),
+b AS (SELECT model, kind, count(*) FILTER (outcome <> 'missed') / count(*) AS baseline FROM sh WHERE dimension = 'baseline' GROUP BY ALL),
+g AS (SELECT DISTINCT dimension, dimension_value, m.model, CASE dimension WHEN 'date_format' THEN 'date' ELSE 'name' END AS kind FROM sh, (SELECT DISTINCT model FROM sh) m WHERE dimension IN ('capitalization', 'format', 'date_format'))
+SELECT dimension, dimension_value, model, recall, coalesce(total, 0) AS total, n_clusters, baseline, CAST(dense_rank() OVER (PARTITION BY dimension ORDER BY {_VALUE_RANK}, lower(dimension_value), dimension_value) - 1 AS INTEGER) AS place
+FROM g LEFT JOIN c USING (model, dimension, dimension_value) LEFT JOIN b USING (model, kind)"""
+)
+def bars_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped bars of two models, one of which lacks two values; intervals are in ``bars_with_intervals``."""
+    rows = scored_all(spark, sf_dir, list(MODELS)).where("not (model = 'beta' and dimension_value in ('upper', 'textual_full'))")
+    tables = stability.recall_tables(stability.tallies(rows, "model"), "model").where("dimension_value is not null")
+    none = F.lit(None).cast("double")
+    return charts.bars(tables.withColumn("lower", none).withColumn("upper", none)).drop("lower", "upper")
+
+
+@register(None)
+def bars_with_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars with their intervals; tests hold the bars to brute force and the intervals to plain resampling."""
+    tally = settle(stability.tallies(scored_all(spark, sf_dir, list(MODELS)), "model"))
+    return charts.bars(stability.recalls_with_intervals_of(tally, "model"))
+
+
+_FOREST_RANK = f"coalesce(list_position({sql.items(charts.FOREST)}, dimension || ' ' || role), 99)"
+
+
+@register(_SCORED + _pairs_sql() + f"SELECT dimension, role, CAST(row_number() OVER (ORDER BY {_FOREST_RANK}, dimension, role) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT dimension, role FROM pairs)")
+def forest_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.in_forest_order(stability.pairs(scored(spark, sf_dir)).select("dimension", "role").distinct())

@@ -12,20 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import first_filled
+from ..operators.order import ordinals
 from ..operators.scoring import last_rows
 
 _SUB = "array<struct<begin:bigint,end:bigint,category:string>>"
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(ord, v): a VARIANT for each line that is not blank, numbered in reading order: by path as given, then by line."""
+def lines(spark: SparkSession, path: str | list[str], torn: bool = False) -> DataFrame:
+    """(ord, v): a VARIANT for each line that is not blank; ``ord`` sorts in reading order: paths as given, files by name, lines.
+
+    Lines that are not JSON are an error, or passed over with ``torn``: what is left of a write that was cut off.
+    """
+    parse = F.try_parse_json if torn else F.parse_json
     parts = []
     for i, one in enumerate([path] if isinstance(path, str) else path):
-        text = spark.read.text(one).where("trim(value) <> ''")
-        parts.append(text.select((F.monotonically_increasing_id() + i * 2**50).alias("ord"), F.parse_json("value").alias("v")))
+        text = spark.read.text(one).select("value", "_metadata.file_path", "_metadata.file_block_start").where("trim(value) <> ''")
+        piece = F.struct(F.lit(i).alias("source"), F.col("file_path").alias("file"), F.col("file_block_start").alias("block"))
+        parts.append(text.select(F.struct(piece.alias("piece"), F.monotonically_increasing_id().alias("at")).alias("ord"), parse("value").alias("v")))
     return reduce(DataFrame.unionAll, parts)
 
 
+def numbered(rows: DataFrame, name: str = "number") -> DataFrame:
+    """Rows of ``lines`` with their place from 0 on over all files, found from counts by file and block."""
+    flat = rows.select("*", F.col("ord.piece").alias("_of"), F.col("ord.at").alias("_at"))
+    return ordinals(flat, "_of", "_at", name).drop("_of", "_at")
+
+
 def field(path: str, kind: str = "string", of: str = "v") -> Column:
     return F.try_variant_get(F.col(of) if isinstance(of, str) else of, f"$.{path}", kind)
 
@@ -34,10 +46,10 @@ def has_key(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
 
 
-def identity(*names: str) -> Column:
-    """The first of the fields that is filled and not zero, as text; ``None`` without any."""
+def identity(*names: str, default: Column | None = None) -> Column:
+    """The first of the fields that is filled and not zero, as text; ``default`` or ``None`` without any."""
     texts = [field(n) for n in names]
-    return F.coalesce(*[F.when((t != "") & (t != "0"), t) for t in texts], F.lit("None"))
+    return F.coalesce(*[F.when((t != "") & (t != "0"), t) for t in texts], F.lit("None") if default is None else default)
 
 
 def _whole(name: str, v: Column) -> Column:
@@ -46,9 +58,16 @@ def _whole(name: str, v: Column) -> Column:
     return F.coalesce(value, F.raise_error(F.lit(f"span without a valid {name}")).cast("bigint"))
 
 
-def read_gold(spark: SparkSession, path: str | list[str], first: int = 0) -> DataFrame:
-    """document_id, text, spans, has_nested, subannotations as scoring takes them; of the ``first`` documents read, or all."""
+def read_gold(spark: SparkSession, path: str | list[str], first: int = 0, ordinal: bool = False) -> DataFrame:
+    """document_id, text, spans, has_nested, subannotations as scoring takes them; of the ``first`` documents read, or all.
+
+    With ``ordinal`` a document without an id is doc_<n>, n its place in reading order from 0 on, and ``id`` counts as an id.
+    """
     rows = lines(spark, path)
+    if ordinal:
+        rows = numbered(rows)
+    names = ("document_id", "doc_id", "id") if ordinal else ("document_id", "doc_id")
+    named = identity(*names, default=F.concat(F.lit("doc_"), F.col("number").cast("string")) if ordinal else None)
     spans = F.coalesce(F.try_variant_get("v", "$.spans", "array<variant>"), F.array().cast("array<variant>"))
 
     def subs(v: Column) -> Column:
@@ -67,7 +86,7 @@ def read_gold(spark: SparkSession, path: str | list[str], first: int = 0) -> Dat
     text = F.when(has_key(F.col("v"), "text"), F.coalesce(field("text"), F.lit("None"))).otherwise("")
     docs = rows.select(
         "ord",
-        identity("document_id", "doc_id").alias("document_id"),
+        named.alias("document_id"),
         text.alias("text"),
         F.transform(spans, span).alias("spans"),
         F.exists(spans, lambda s: has_key(s, "subannotations")).alias("has_nested"),
@@ -111,9 +130,9 @@ def has_document(whole: DataFrame) -> bool:
 
 def read_finished(spark: SparkSession, path: str) -> DataFrame:
     """(document_id, spans) of a resume log; torn lines are passed over, later ones win."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.try_parse_json("value").alias("v")).where("v is not null")
     kind = "array<struct<begin:bigint,end:bigint,label:string>>"
-    found = rows.select("ord", field("doc_id").alias("document_id"), F.coalesce(F.try_variant_get("v", "$.entities", kind), F.array().cast(kind)).alias("spans"))
+    found = lines(spark, path, torn=True).where("v is not null")
+    found = found.select("ord", field("doc_id").alias("document_id"), F.coalesce(F.try_variant_get("v", "$.entities", kind), F.array().cast(kind)).alias("spans"))
     return last_rows(found.where("document_id is not null"), "document_id", "ord").drop("ord")
 
 
@@ -128,6 +147,6 @@ def write_entities(found: DataFrame, path: str) -> None:
     found.select(F.col("document_id").alias("doc_id"), F.size("spans").alias("num_entities"), F.col("spans").alias("entities")).write.json(path)
 
 
-def write_table(rows: DataFrame, path: str) -> None:
+def write_table(rows: DataFrame, path: str, mode: str = "error") -> None:
     """A CSV with a header."""
-    rows.write.option("header", True).csv(path)
+    rows.write.mode(mode).option("header", True).csv(path)
