@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,7 +193,7 @@ def test_outcomes_and_degradation(spark):
     assert (row["n_pairs"], row["n_clusters"]) == (3, 2) and row["mean_degradation"] == pytest.approx(2 / 3)
     stats = stability.clusters(paired, ["dimension", "role"], F.col("original") - F.col("transformed"))
     p = stability.sign_flip_p(stats, ["dimension", "role"], iterations=200).first()
-    ci = stability.cluster_bootstrap(stats, ["dimension", "role"], iterations=200).first()
+    ci = stability.intervals(stats, ["dimension", "role"], iterations=200).first()
     assert 0.3 < p["p_one_sided"] < 0.7 and 0.9 < p["p_two_sided"] <= 1.0 and (ci["lower"], ci["upper"]) == (0.0, 1.0)
     flat_stats = stats.withColumn("s", F.lit(0.0))
     assert stability.sign_flip_p(flat_stats, ["dimension", "role"], iterations=50).first()["p_one_sided"] == 1.0
@@ -252,26 +253,58 @@ def test_timings(spark):
     assert got == [("cpu", 2.0, "measured"), ("cpu", 7.0, "manual"), ("gpu", 1.23, "measured"), ("gpu", 8.0, "")]
 
 
+def philox(key, lane, block):
+    """One block of the generator, written out."""
+    a, b = block, lane
+    for i in range(10):
+        product = 0xD256D193 * a
+        a, b = (product >> 32) ^ ((key + i * 0x9E3779B9) % 2**32) ^ b, product % 2**32
+    return a, b
+
+
+def test_generator_gives_the_published_answers(spark):
+    assert philox(0, 0, 0) == (0xFF1DAE59, 0x6CD10DF2) and philox(0x13198A2E, 0x85A308D3, 0x243F6A88) == (0xDD7CE038, 0xF62A4C12)
+    keys, lanes = np.array([0, 2**32 - 1, 7]), np.array([0, 5, 2**32 - 1])
+    got = draws.philox(keys, lanes, 9)
+    assert [[tuple(row[2 * i : 2 * i + 2]) for i in range(9)] for row in got.tolist()] == [[philox(k, n, i) for i in range(9)] for k, n in zip(keys.tolist(), lanes.tolist())]
+    many = draws.weights(np.arange(400), np.arange(400), 1000)
+    assert abs(many.mean() - 1) < 0.01 and abs(many.var() - 1) < 0.02 and abs(draws.signs(np.arange(400), np.arange(400), 1000).mean()) < 0.01
+
+
 def test_resampling_draws_against_brute_force(spark):
-    head = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
-    after = ["1", "599999", "é", "a" * 70]
-    got = draws.heads("42:date:4-NOT SPECIFIED", 7, 1100, after)
-    assert all(got[i, b - 7] == head(42, "date", "4-NOT SPECIFIED", b, a) for i, a in enumerate(after) for b in (7, 9, 10, 99, 100, 999, 1000, 1106))
+    def words(purpose, doc, count):
+        digest = hashlib.md5(f"42:{purpose}:{doc}".encode()).hexdigest()
+        return [w for i in range(count) for w in philox(int(digest[:8], 16), int(digest[8:16], 16), i)]
+
     r = random.Random(5)
-    cells = {(d, role): {str(i): (r.choice([-1.0, 0.0, 0.5, 1.0]), r.randrange(1, 4)) for i in range(r.randrange(5, 30))} for d in ("x", "y") for role in ("a", "b")}
+    cells = {(d, role): {str(i): (r.choice([-1.0, 0.0, 0.5, 1.0]), r.randrange(1, 4)) for i in range(r.randrange(5, 30))} for d in ("x", "y") for role in ("a", None)}
     rows = [(*k, doc, s, n) for k, docs in cells.items() for doc, (s, n) in docs.items()]
     stats = spark.createDataFrame(rows, "dimension string, role string, document_id string, s double, n long").repartition(3)
+    known = stats.where("role is not null")
     for times in (123, 10):
-        p = {(x["dimension"], x["role"]): (x["p_one_sided"], x["p_two_sided"]) for x in stability.sign_flip_p(stats, ["dimension", "role"], iterations=times).collect()}
-        ci = {(x["dimension"], x["role"]): (x["lower"], x["upper"]) for x in stability.cluster_bootstrap(stats, ["dimension", "role"], iterations=times).collect()}
+        p = {(x["dimension"], x["role"]): (x["p_one_sided"], x["p_two_sided"]) for x in stability.sign_flip_p(known, ["dimension", "role"], iterations=times).collect()}
+        ci = {(x["dimension"], x["role"]): (x["lower"], x["upper"]) for x in stability.intervals(stats, ["dimension", "role"], iterations=times).collect()}
+        assert len(ci) == 4 and len(p) == 2
         for cell, docs in cells.items():
             whole = round(sum(s for s, _ in docs.values()), 9)
-            flips = [round(sum(s * (-1) ** head(42, *cell, b, doc) for doc, (s, _) in docs.items()), 9) for b in range(times)]
-            assert p[cell] == pytest.approx(((sum(v >= whole for v in flips) + 1) / (times + 1), (sum(abs(v) >= abs(whole) for v in flips) + 1) / (times + 1)))
-            ordered = [docs[k] for k in sorted(docs)]
-            taken = [[ordered[head(42, *cell, b, j) % len(ordered)] for j in range(len(ordered))] for b in range(times)]
-            means = sorted(round(sum(s for s, _ in t) / sum(n for _, n in t), 9) for t in taken)
-            assert ci[cell] == pytest.approx((means[int(0.025 * (times - 1))], means[int(0.975 * (times - 1))]))
+            bits = {doc: words("sign", doc, 2) for doc in docs}
+            flips = [round(sum(s * (1 - 2 * (bits[doc][b // 32] >> (b % 32) & 1)) for doc, (s, _) in docs.items()), 9) for b in range(times)]
+            if cell in p:
+                assert p[cell] == pytest.approx(((sum(v >= whole for v in flips) + 1) / (times + 1), (sum(abs(v) >= abs(whole) for v in flips) + 1) / (times + 1)))
+            weight = {doc: [sum((w >> (16 * half) & 0xFFFF) >= t for t in draws.WEIGHTS) for w in words("weight", doc, 31) for half in (0, 1)] for doc in docs}
+            sums = [(sum(weight[d][b] * s for d, (s, _) in docs.items()), sum(weight[d][b] * n for d, (_, n) in docs.items())) for b in range(times)]
+            means = sorted(round(s / n, 9) for s, n in sums if n)
+            assert ci[cell] == pytest.approx((means[int(0.025 * (len(means) - 1))], means[int(0.975 * (len(means) - 1))]))
+
+
+def test_interval_is_that_of_drawing_documents(spark):
+    """On many documents the interval agrees with plain drawing with replacement, whose draws are others."""
+    r = random.Random(11)
+    docs = [(float(r.random() < 0.3) * n, n) for n in [r.randrange(1, 4) for _ in range(400)]]
+    stats = spark.createDataFrame([("x", str(i), s, n) for i, (s, n) in enumerate(docs)], "dimension string, document_id string, s double, n long")
+    got = stability.intervals(stats, ["dimension"], iterations=4000).first()
+    means = sorted(sum(s for s, _ in t) / sum(n for _, n in t) for t in ([r.choice(docs) for _ in docs] for _ in range(2000)))
+    assert abs(got["lower"] - means[50]) < 0.01 and abs(got["upper"] - means[1950]) < 0.01
 
 
 def test_registered_resampling_can_reject(spark):

@@ -31,7 +31,7 @@ class Scope(argparse.Action):
         if not name or not path:
             raise argparse.ArgumentError(self, f"not NAME=PATH: {value}")
         if name in held:
-            raise argparse.ArgumentError(self, f"given twice: {name}")
+            raise argparse.ArgumentError(self, f"NAME=PATH with a name given twice: {name}")
         setattr(namespace, self.dest, held | {name: path})
 
 
