@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark import cli
-from veilmark.functions import names
+from veilmark.functions import names, texts
 from veilmark.operators import charts, order, report, stability
 from veilmark.sources import artifacts, config, documents, inputs
 from veilmark.streaming import results
@@ -245,3 +245,10 @@ def test_report_says_what_is_not_estimated():
     assert "- seed: 7" in text and "n/a over 0 targets" in text and "## format" in text and "| patient | title_dr | 50.0% | 8 |" in text
     assert "| format | patient | 50.0% | 8 | -25.0pp * (pairs=9, notes=9) |" in text and "not estimated (pairs=2, notes=2)" in text
     assert "| name_source | patient | n/a | n/a | n/a |" in text and "-10.0pp (pairs=9, notes=9)" in text
+
+
+def test_dates_are_read_and_relative_ones_are_not(spark):
+    cases = {"12-05-1983": "1983-05-12", "12 mei 1983": "1983-05-12", "do 12 mei 1983": "1983-05-12", "Donderdag, 12 MEI '83": "1983-05-12", "1983-05-12": "1983-05-12", "3 sept. 2001": "2001-09-03", "12/5/03": "2003-05-12", "1e maart 1999": "1999-03-01"}
+    none = ["43 jr", "volgende week", "gisteren", "31-02-2001", "12-13-2001", "mei 1983", "1983", "12 mei", "", None, "12-05-1983 en 13-05-1983", "3 dagen geleden"]
+    got = spark.createDataFrame([(x,) for x in [*cases, *none]], "t string").select("t", texts.date_parsed(F.col("t")).cast("string").alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == cases | dict.fromkeys(none)

@@ -10,6 +10,8 @@ _YEAR = r"(?<!\p{Nd})(?:1[0-9]{3}|20[0-9]{2})(?!\p{Nd})"
 MONTHS = ["januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december"]
 SHORT_MONTHS = ["jan", "feb", "mrt", "apr", "mei", "jun", "jul", "aug", "sep", "okt", "nov", "dec"]
 WEEKDAYS = ["zo", "ma", "di", "wo", "do", "vr", "za"]
+LONG_WEEKDAYS = ["zondag", "maandag", "dinsdag", "woensdag", "donderdag", "vrijdag", "zaterdag"]
+SPELLINGS = {"sept": 9, "maa": 3, "mar": 3}
 #: Day-precision date formats in order; fixed values.
 DATE_PROFILES = ["numeric_slash_long", "numeric_dash_long", "numeric_dot_long", "textual_full", "textual_abbr_dot", "textual_hyphen", "weekday_textual", "numeric_slash_short"]
 
@@ -99,19 +101,26 @@ def date_rendered(date: Column, profile: str) -> Column:
 
 
 def date_parsed(text: Column) -> Column:
-    """The calendar date that a text in one of DATE_PROFILES writes; null for anything else.
+    """The calendar date that a text writes with day, month and year; null for anything else, relative dates among it.
 
-    Two-digit years above 50 are of the last century.
+    One pattern over the whole text: an optional weekday, then day, month and year in numbers or with the month's name (long,
+    short or SPELLINGS, any of them with a dot), an ordinal ending after the day, an apostrophe before a short year; or year,
+    month and day. Two-digit years above 50 are of the last century.
     """
-    parts = F.split(F.regexp_replace(F.lower(F.trim(text)), "^(?:" + "|".join(WEEKDAYS) + ") ", ""), r"[-/. ]+")
-    day, month, year = (F.get(parts, F.lit(i)) for i in range(3))
-    names = {n: i + 1 for group in (MONTHS, SHORT_MONTHS) for i, n in enumerate(group)}
-    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, i)]), month), month.try_cast("int"))
-    y = year.try_cast("int")
-    whole = F.when(F.length(year) == 2, F.when(y > 50, y + 1900).otherwise(y + 2000)).when(F.length(year) == 4, y)
-    written = F.concat_ws("-", F.lpad(whole.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-    fits = (F.size(parts) == 3) & day.rlike("^[0-9]{1,2}$") & number.isNotNull() & whole.isNotNull()
-    return F.when(fits, F.try_to_date(written, "yyyy-MM-dd"))
+    names = {n: i + 1 for group in (MONTHS, SHORT_MONTHS) for i, n in enumerate(group)} | SPELLINGS
+    month = "|".join(sorted(names, key=lambda n: (-len(n), n)))
+    week = "|".join([*LONG_WEEKDAYS, *WEEKDAYS])
+    gap = r"(?: ?[-/.] ?| )"
+    form = rf"^(?:(?:{week})[.,]? )?(?:op )?(?:([0-9]{{1,2}})(?:e|ste|de)?{gap}((?:{month})\.?|[0-9]{{1,2}}){gap}('?[0-9]{{2}}|[0-9]{{4}})|([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}}))$"
+    low = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+    part = lambda i: F.nullif(F.regexp_extract(low, form, i), F.lit(""))
+    name = F.regexp_replace(part(2), r"\.$", "")
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, i)]), name), name.try_cast("int"), part(5).try_cast("int"))
+    short = F.regexp_replace(part(3), "'", "")
+    y = short.try_cast("int")
+    whole = F.coalesce(F.when(F.length(short) == 2, F.when(y > 50, y + 1900).otherwise(y + 2000)).otherwise(y), part(4).try_cast("int"))
+    written = F.concat_ws("-", F.lpad(whole.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(F.coalesce(part(1), part(6)), 2, "0"))
+    return F.when(whole.isNotNull() & number.isNotNull(), F.try_to_date(written, "yyyy-MM-dd"))
 
 
 def device(value: Column) -> Column:

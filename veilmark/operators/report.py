@@ -21,7 +21,8 @@ def _rows(df: DataFrame, size: str, *names: str) -> list[dict]:
 
 def score_artifact(flat: scoring.Flat, run: dict[str, Any] | None = None) -> dict[str, Any]:
     """All headline numbers, five detail tables, and the run's filled-in metadata."""
-    out = scoring.score_summary(flat).first().asDict()
+    flat = scoring.kept(flat)
+    out = scoring.summed(flat).first().asDict()
     out["details"] = {
         "recall_by_gold_label": _rows(scoring.core_recall_by(flat, "label", "gold_label"), "total_core_pii_chars", "gold_label"),
         "recall_by_subannotation_category": _rows(scoring.core_recall_by(flat, "category", "subannotation_category"), "total_core_pii_chars", "subannotation_category"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import core_category, is_core
+from ..session import settle
 from .intervals import inside, measure, side, swept
 
 
@@ -53,6 +54,21 @@ def flattened(gold: DataFrame, pred: DataFrame) -> Flat:
     return Flat(sized.select("document_id", size.alias("size")), own, found, core.where(is_core(F.col("category"))))
 
 
+def kept(flat: Flat) -> Flat:
+    """The same as one narrow table, written once: what takes several measures starts from it, not from the documents."""
+    none = F.lit(None).cast("string")
+    sides = [
+        flat.docs.select("document_id", F.lit("d").alias("side"), F.lit(0).cast("bigint").alias("begin"), F.col("size").alias("end"), none.alias("label"), none.alias("category")),
+        flat.gold.select("document_id", F.lit("g").alias("side"), "begin", "end", "label", none.alias("category")),
+        flat.pred.select("document_id", F.lit("p").alias("side"), "begin", "end", "label", none.alias("category")),
+        flat.core.select("document_id", F.lit("c").alias("side"), "begin", "end", "label", "category"),
+    ]
+    whole = settle(reduce(DataFrame.unionByName, sides))
+    one = lambda side: whole.where(F.col("side") == side)
+    spans = ["document_id", "begin", "end", "label"]
+    return Flat(one("d").select("document_id", F.col("end").alias("size")), one("g").select(*spans), one("p").select(*spans), one("c").select("document_id", "label", "category", "begin", "end"))
+
+
 def ratio(a: Column, b: Column, empty: float) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty))
 
@@ -110,7 +126,12 @@ def core_and_redaction(flat: Flat) -> DataFrame:
 
 
 def score_summary(flat: Flat) -> DataFrame:
-    """All headline numbers in one row."""
+    """All headline numbers in one row, from spans that are written once."""
+    return summed(kept(flat))
+
+
+def summed(flat: Flat) -> DataFrame:
+    """All headline numbers in one row, of spans that are written already."""
     chars = char_scores(flat).select("character_precision", "character_recall")
     rest = core_and_redaction(flat).select("core_pii_recall", "non_pii_redacted_chars", "non_pii_characters", "non_pii_redaction_rate")
     return exact_scores(flat).drop("exact_gold", "exact_pred").join(chars, how="cross").join(rest, how="cross")  # one row each

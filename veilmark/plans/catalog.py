@@ -796,6 +796,33 @@ def adapted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", get("patient.given_name").alias("given_name"), get("patient.family_name").alias("family_name"), caregivers.alias("caregivers"), get("document_creation_date").alias("date"), get("known_values.v[0].k", "bigint").alias("deep"), get("date_shift_days", "int").alias("shift"))
 
 
+@register("SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderkey % 12 < 10 THEN CAST(o_orderdate AS DATE) END AS read_as FROM orders")
+def date_forms_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in forms beyond the eight profiles and read back; relative dates and impossible ones are none."""
+    orders = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
+    part = lambda f: F.date_format("d", f)
+    day, year = F.dayofmonth("d").cast("string"), F.year("d").cast("string")
+    named = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
+    month, short = named(T.MONTHS, F.month("d") - 1), named(T.SHORT_MONTHS, F.month("d") - 1)
+    week = named(T.LONG_WEEKDAYS, F.dayofweek("d") - 1)
+    forms = [
+        part("yyyy-MM-dd"),
+        F.concat(week, F.lit(" "), day, F.lit(" "), month, F.lit(" "), year),
+        F.concat(F.initcap(week), F.lit(", "), day, F.lit("  "), F.upper(month), F.lit(" "), year),
+        F.concat(day, F.lit("e "), month, F.lit(" "), year),
+        F.concat(day, F.lit(" "), short, F.lit(" '"), part("yy")),
+        F.concat(F.lit("op "), day, F.lit(" "), short, F.lit(". "), year),
+        F.concat(day, F.lit("."), short, F.lit("."), year),
+        F.concat(F.lit(" "), part("dd / MM / yyyy"), F.lit(" ")),
+        F.concat(day, F.lit("ste "), short, F.lit(". "), part("yy")),
+        part("d-M-yyyy"),
+        F.lit("volgende week"),
+        F.concat(F.lit("31-02-"), year),
+    ]
+    text = F.coalesce(*[F.when(F.col("k") % 12 == i, f) for i, f in enumerate(forms)])
+    return orders.select(F.col("k").cast("string").alias("document_id"), T.date_parsed(text).alias("read_as"))
+
+
 # --- orders in figures ------------------------------------------------------------------------------------------------
 
 #: Categories and labels of the derived annotations, in the order in which figures show them; others come after them.
