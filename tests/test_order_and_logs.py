@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark import cli
-from veilmark.functions import names, texts
+from veilmark.functions import labels, names, texts
 from veilmark.operators import charts, order, report, stability
 from veilmark.sources import artifacts, config, documents, inputs
 from veilmark.streaming import results
@@ -252,3 +252,20 @@ def test_dates_are_read_and_relative_ones_are_not(spark):
     none = ["43 jr", "volgende week", "gisteren", "31-02-2001", "12-13-2001", "mei 1983", "1983", "12 mei", "", None, "12-05-1983 en 13-05-1983", "3 dagen geleden"]
     got = spark.createDataFrame([(x,) for x in [*cases, *none]], "t string").select("t", texts.date_parsed(F.col("t")).cast("string").alias("d")).collect()
     assert {r["t"]: r["d"] for r in got} == cases | dict.fromkeys(none)
+
+
+def test_spans_are_validated_and_cut_out(spark, tmp_path):
+    rows = [
+        {"doc_id": "a", "text": "Eva zag \U0001f600 Bo.", "spans": [3, None, {"begin": 0, "end": 3, "label": "Name:Patient"}, {"start": "10", "end": 12.0, "Category": "Name", "subtype": "Caregiver"}, {"begin": 0, "end": 3, "label": "Date"}]},
+        {"text": "Eva", "spans": {"begin": 0, "end": 3, "label": "Name:Patient"}},
+        {"text": "Eva", "spans": [{"begin": 0, "end": 4, "label": "Name:Patient"}, {"begin": 2, "end": 2, "label": "Name:Patient"}, {"begin": "x", "end": 2, "label": "Name:Patient"}, {"end": 2, "label": "Name:Patient"}, {"begin": 1, "end": 3, "type": "NamePatient"}]},
+    ]
+    (tmp_path / "g.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = documents.read_target_spans(spark, str(tmp_path / "g.jsonl"), ["Name:Patient", "name-caregiver"]).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 0, 3, "Name:Patient", "Eva"), ("a", 1, 10, 12, "Name:Caregiver", "Bo"), ("doc_2", 4, 1, 3, "", "va")]
+    none = dict.fromkeys(labels.LABEL_FIELDS, F.lit(None).cast("string"))
+    said = spark.range(1).select(labels.label_value(none | {"label": F.lit(""), "type": F.lit("T")}), labels.label_value(none)).first()
+    assert tuple(said) == ("T", "")
+    documents.write_lines(spark.createDataFrame([("v", None, [(1, None)])], "variant_id string, text string, spans array<struct<begin:int,label:string>>"), str(tmp_path / "out"))
+    written = [line for f in (tmp_path / "out").glob("part-*") for line in f.read_text().splitlines()]
+    assert [json.loads(x) for x in written] == [{"variant_id": "v", "text": None, "spans": [{"begin": 1, "label": None}]}]

@@ -67,3 +67,8 @@ def canonical_label(fields: dict[str, Column]) -> Column:
     category, subtype = first_filled(fields["Category"], fields["category"]), first_filled(fields["SubType"], fields["subtype"])
     both = F.when(category.isNotNull() & subtype.isNotNull(), F.concat(category, F.lit(":"), subtype))
     return F.coalesce(first_filled(fields["label"]), both, category, F.lit(""))
+
+
+def label_value(fields: dict[str, Column]) -> Column:
+    """The first filled of a span's label, category and type; empty without any."""
+    return F.coalesce(first_filled(*[fields[f] for f in ("label", "Category", "category", "type")]), F.lit(""))

@@ -796,6 +796,25 @@ def adapted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", get("patient.given_name").alias("given_name"), get("patient.family_name").alias("family_name"), caregivers.alias("caregivers"), get("document_creation_date").alias("date"), get("known_values.v[0].k", "bigint").alias("deep"), get("date_shift_days", "int").alias("shift"))
 
 
+@register(
+    f"""WITH {sql.NOTES}, n AS (SELECT document_id, 'Seen: ' || name AS whole, length(name) AS n, k % 6 AS form, label FROM note)
+SELECT document_id, CAST(CASE WHEN form = 1 THEN 1 ELSE 0 END AS INTEGER) AS place, 6::BIGINT AS begin, CAST(6 + n AS BIGINT) AS "end", label, substr(whole, 7, n) AS text FROM n WHERE form IN (0, 1) AND label <> 'Name:Other'"""
+)
+def target_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of loose lines, validated and cut out: some rows have no list, other things in it, or offsets that do not hold."""
+    notes = derived.notes(spark, sf_dir)
+    span, size = F.col("spans")[0], F.length("text")
+    form = F.col("document_id").cast("long") % 6
+    start, label = span["begin"], span["label"]
+    good = F.to_json(F.struct(F.when(form == 0, start).alias("begin"), F.when(form == 1, start.cast("string")).alias("start"), span["end"].alias("end"), F.when(form == 0, label).alias("label"), F.when(form == 1, F.split_part(label, F.lit(":"), F.lit(1))).alias("Category"), F.when(form == 1, F.split_part(label, F.lit(":"), F.lit(2))).alias("subtype")))
+    bad = F.to_json(F.struct(F.lit(0).alias("begin"), (F.when(form == 3, size + 1).otherwise(0)).alias("end"), F.lit("Name:Patient").alias("label")))
+    items = F.when(form == 0, F.format_string("[%s, 3, null]", good)).when(form == 1, F.format_string('["x", {}, %s]', good)).when(form == 2, '"none"').when(form == 5, '[{"begin": "a", "end": 2, "label": "Name:Patient"}]').otherwise(F.format_string("[%s]", bad))
+    rows = notes.select("document_id", F.format_string('{"document_id": %s, "text": %s, "spans": %s}', F.to_json(F.array("document_id")).substr(F.lit(2), F.length(F.to_json(F.array("document_id"))) - 2), F.to_json(F.array(F.split_part("text", F.lit(" on "), F.lit(1)))).substr(F.lit(2), F.length(F.to_json(F.array(F.split_part("text", F.lit(" on "), F.lit(1))))) - 2), items).alias("value"))
+    folder = f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}"
+    rows.select("value").write.text(folder)
+    return documents.read_target_spans(spark, folder, ["Name:Patient", "Name:Caregiver"])
+
+
 @register("SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CASE WHEN o_orderkey % 12 < 10 THEN CAST(o_orderdate AS DATE) END AS read_as FROM orders")
 def date_forms_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates written in forms beyond the eight profiles and read back; relative dates and impossible ones are none."""

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.labels import first_filled
+from ..functions.labels import LABEL_FIELDS, canonical_label, first_filled, matches, span_keys
 from ..operators.order import ordinals
 from ..operators.scoring import last_rows
 
@@ -46,10 +46,25 @@ def has_key(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
 
 
+def part(v: Column, name: str, kind: str = "variant") -> Column:
+    """A field by its name, whatever characters that has."""
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get(v, f"$['{quoted}']", kind)
+
+
+def filled(v: Column, name: str | None) -> Column:
+    """A field as text; null where it is absent, null, empty, zero or false."""
+    if not name:
+        return F.lit(None).cast("string")
+    text = part(v, name, "string")
+    number = part(v, name, "double")
+    is_text = F.schema_of_variant(part(v, name)) == "STRING"
+    return F.when((text != "") & (is_text | ~F.coalesce(number == 0, F.lit(False))) & (is_text | (text != "false")), text)
+
+
 def identity(*names: str, default: Column | None = None) -> Column:
-    """The first of the fields that is filled and not zero, as text; ``default`` or ``None`` without any."""
-    texts = [field(n) for n in names]
-    return F.coalesce(*[F.when((t != "") & (t != "0"), t) for t in texts], F.lit("None") if default is None else default)
+    """The first of the fields that is filled, as text; ``default`` or ``None`` without any."""
+    return F.coalesce(*[filled(F.col("v"), n) for n in names], F.lit("None") if default is None else default)
 
 
 def _whole(name: str, v: Column) -> Column:
@@ -96,6 +111,37 @@ def read_gold(spark: SparkSession, path: str | list[str], first: int = 0, ordina
     return (last.orderBy("ord").limit(first) if first > 0 else last).drop("ord")
 
 
+def span_objects(v: Column) -> Column:
+    """The objects in a row's list of spans as array<variant>; what is no list, and what is no object in it, counts as nothing."""
+    listed = F.coalesce(F.try_variant_get(v, "$.spans", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(listed, lambda s: F.coalesce(F.schema_of_variant(s).startswith("OBJECT"), F.lit(False)))
+
+
+def _offset(s: Column, *names: str) -> Column:
+    """An offset under the first of the names that is present, as a whole number; null if it is none, -1 without any."""
+    out = F.lit(-1).cast("bigint")
+    for name in reversed(names):
+        whole = F.coalesce(F.try_variant_get(s, f"$.{name}", "bigint"), F.try_variant_get(s, f"$.{name}", "double").cast("bigint"))
+        out = F.when(has_key(s, name), whole).otherwise(out)
+    return out
+
+
+def read_target_spans(spark: SparkSession, path: str | list[str], labels: list[str]) -> DataFrame:
+    """(document_id, place, begin, end, label, text) of the spans whose labels match, cut out of their texts.
+
+    Offsets are ``begin`` or ``start``, and ``end``; spans with offsets that are no numbers, are empty or lie outside the text are passed
+    over, and so is what is no object. ``place`` counts a document's objects; ``label`` is the canonical one.
+    """
+    rows = numbered(lines(spark, path))
+    named = identity("document_id", "doc_id", "id", default=F.concat(F.lit("doc_"), F.col("number").cast("string")))
+    text = F.coalesce(field("text"), F.lit(""))
+    spans = rows.select(named.alias("document_id"), text.alias("whole"), F.posexplode(span_objects(F.col("v"))).alias("place", "s"))
+    fields = {f: F.try_variant_get("s", f"$.{f}", "string") for f in LABEL_FIELDS}
+    found = spans.where(matches(span_keys(fields), labels)).select("document_id", "place", "whole", _offset(F.col("s"), "begin", "start").alias("begin"), _offset(F.col("s"), "end").alias("end"), canonical_label(fields).alias("label"))
+    found = found.where("begin >= 0 and end > begin and end <= length(whole)")
+    return found.select("document_id", "place", "begin", "end", "label", F.substring("whole", F.col("begin").cast("int") + 1, (F.col("end") - F.col("begin")).cast("int")).alias("text"))
+
+
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """document_id, spans."""
     return read_gold(spark, path).select("document_id", F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["label"].alias("label"))).alias("spans"))
@@ -150,3 +196,8 @@ def write_entities(found: DataFrame, path: str) -> None:
 def write_table(rows: DataFrame, path: str, mode: str = "error") -> None:
     """A CSV with a header."""
     rows.write.mode(mode).option("header", True).csv(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON Lines with all their fields, nested ones too: variants, predictions; the committer makes the write atomic."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)

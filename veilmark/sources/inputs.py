@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import RETIRED
-from .documents import lines
+from .documents import filled, lines, part
 
 _MAP = "map<string,variant>"
 #: Keys of metadata that post-processing takes as they are, where they are not null; fixed values.
@@ -31,22 +31,6 @@ class Adapter:
     metadata_fields: dict[str, str] = field(default_factory=dict)
 
 
-def part(v: Column, name: str, kind: str = "variant") -> Column:
-    """A field by its name, whatever characters that has."""
-    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-    return F.try_variant_get(v, f"$['{quoted}']", kind)
-
-
-def filled(v: Column, name: str | None) -> Column:
-    """A field as text; null where it is absent, null, empty, zero or false."""
-    if not name:
-        return F.lit(None).cast("string")
-    text = part(v, name, "string")
-    number = part(v, name, "double")
-    is_text = F.schema_of_variant(part(v, name)) == "STRING"
-    return F.when((text != "") & (is_text | ~F.coalesce(number == 0, F.lit(False))) & (is_text | (text != "false")), text)
-
-
 def _person(first: Column, last: Column, initials: Column) -> Column:
     """A map of the parts that are there; null without any."""
     parts = [("given_name", F.trim(first)), ("family_name", F.trim(last)), ("initials", initials)]
