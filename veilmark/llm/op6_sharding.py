@@ -19,9 +19,9 @@ SLOTS = 4096
 PARTS = 16
 
 
-def slot_of(doc_id: Column, slots: int = SLOTS) -> Column:
-    """The fixed virtual slot of an id; all null ids share one."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(slots)).cast("int")
+def slot_of(doc_id: Column, text_crc32: Column, size: Column, slots: int = SLOTS) -> Column:
+    """The fixed virtual slot of a record: by id and text, so that null and repeated ids are spread like others."""
+    return F.pmod(F.xxhash64(doc_id, text_crc32, size), F.lit(slots)).cast("int")
 
 
 def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
@@ -90,9 +90,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path:
 
     The law is ``bytes``: shards are near equal in bytes, as far as single slots allow. size is the UTF-8 length of the
     text plus 16; a null text has no bytes and the checksum of an empty one. slot is the row's place in its shard,
-    gapless from 0, by virtual slot, part, id (null first), checksum and size; equal rows are in any order. Null ids share
-    a virtual slot, so very many of them weigh one shard down; repeated rows each get a place of their own; other columns are
-    left out; an empty table gives an empty result.
+    gapless from 0, by virtual slot, part, id (null first), checksum and size; equal rows are in any order. Rows that
+    are equal in id and text share a virtual slot, so very many of them weigh one shard down; null and repeated ids with other
+    texts do not. Repeated rows each get a place of their own; other columns are left out; an empty table gives an empty result.
 
     The map is kept at ``path``, in the shared folder by default: version 0 if there is none yet, then a version rebalanced by
     the bytes of ``docs``, which the rows are placed by as it is read back.
@@ -104,7 +104,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
     )
-    sized = settle(sized.withColumn("virtual_slot", slot_of(F.col("doc_id"), slots)).withColumn("part", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(PARTS)).cast("int")))
+    sized = settle(sized.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots)).withColumn("part", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(PARTS)).cast("int")))
     counts = settle(sized.groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     per_slot = counts.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("bytes").alias("bytes"))
     try:
