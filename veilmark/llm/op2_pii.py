@@ -223,7 +223,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,stop:int>>")).alias("added"))
 
 
-def places(spans: str) -> Column:
+def places(spans: str | Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
 
 
@@ -268,19 +268,21 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """The same rows and columns (a column n_chars follows its text) with all personal data in ``text`` replaced.
 
     A null text stays null. Rows that are equal in doc_id and text, repeated ones too, get the same spans. Other columns,
-    whatever their names, are handed on. An empty table gives an empty result. The patterns are searched once: the spans of
-    texts that have any are stored and joined by id and text.
+    whatever their names, are handed on. An empty table gives an empty result. Only the spans that the method adds are stored and
+    joined by id and text, and those are few; base spans are found again beside the text, so that no text is shuffled for them.
     """
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("h"))
-    scanned = scan(docs.select(key.alias("row"), "text"))
-    every = scanned.where(F.size("base") > 0).select("row", F.explode(places("base")).alias("s")).select("row", "s.*").union(contextual(scanned))
-    spans = stored(every.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("spans")))
-    joined = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("row")).join(spans, "row", "left")
-    done = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(redacted(F.col("doc.text"), F.col("spans")))
+    added = contextual(scan(docs.select(key.alias("row"), "text")))
+    kind = "array<struct<kind:int,start:int,stop:int>>"
+    added = stored(added.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "stop")).cast(kind).alias("added")))
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("row")).join(added, "row", "left")
+    base = places(base_spans(F.coalesce("doc.text", F.lit("")))).cast(kind)
+    found = joined.select("doc", F.array_union(base, F.coalesce("added", F.array().cast(kind))).alias("spans"))
+    done = F.when(F.col("doc.text").isNotNull(), redacted(F.col("doc.text"), F.col("spans")))
     changed = {"text": done}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(done).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _is_kind(number: int) -> Callable[[Column], Column]:
