@@ -336,36 +336,48 @@ def test_url_templates_whole(spark):
     assert got[9999]["template"] == "/*" * 300 and got[9999]["purity"] == 0.5
 
 
-def tree(urls, level=0, template=""):
-    """{path: template} of one host's paths [(path, segments, n, block, allow)], by plain recursion."""
-    going = [u for u in urls if len(u[1]) > level]
-    total = [sum(u[i] for u in going) for i in (2, 3, 4)]
-    out = {u[0]: template for u in urls if len(u[1]) <= level}
-    if total[0] < 5 or not any(0 < x < total[0] for x in total[1:]):
-        return out | {u[0]: template + "/*" * (len(u[1]) - level) for u in going}
-    angle = lambda n, b, a: 2 * np.arcsin(np.sqrt(min(1, max(0, (b + (n - b - a) / 2) / n))))
-    sizes = collections.Counter()
-    for u in going:
-        sizes[u[1][level]] += u[2]
-    branch = collections.defaultdict(list)
-    for u in going:
-        branch[u[1][level] if sizes[u[1][level]] >= 5 else None].append(u)
-    add = lambda us: [sum(u[i] for u in us) for i in (2, 3, 4)]
-    bins = collections.defaultdict(list)
-    for segment, us in branch.items():
-        bins[min(int(angle(*add(us)) / np.pi * 32), 31)].append(segment)
-    groups, last = [], None
-    for b in sorted(bins):
-        now = add([u for s in bins[b] for u in branch[s]])
-        if last is None or abs(angle(*now) - angle(*last)) * np.sqrt(now[0] * last[0] / (now[0] + last[0])) >= 2:
-            groups.append([])
-        groups[-1] += bins[b]
-        last = now
-    keeps = [len(groups) > 1 and len(g) == 1 and g[0] is not None for g in groups]
-    for i, g in enumerate(groups):
-        token = f"/{g[0]}" if keeps[i] else f"/*{i + 1}" if keeps.count(False) > 1 else "/*"
-        out |= tree([u for s in g for u in branch[s]], level + 1, template + token)
-    return out
+def tree(urls):
+    """{path: template} of one host's paths [(path, segments, n, block, allow)], comparing every segment with its siblings."""
+    forms = ["", r"[0-9]+", r".*\.[^.]*", r".*[0-9].*", r".*[-_].*", r".*"]
+    shape = lambda s: next(i for i, f in enumerate(forms) if re.fullmatch(f, s, re.S))
+    angle = lambda n, b, a: 2 * np.arcsin(np.sqrt((b + (n - b - a) / 2) / n))
+    branches = collections.defaultdict(lambda: collections.defaultdict(lambda: (np.zeros(3), np.zeros(19))))
+    shapes = {u[0]: [shape(s) for s in u[1]] for u in urls}
+    for path, segments, *counts in urls:
+        for i, s in enumerate(segments):
+            rest = len(segments) - i - 1
+            sums, profile = branches[tuple(shapes[path][:i])][s]
+            sums += counts
+            profile[1 + (min(rest, 3) - 1) * 6 + shapes[path][i + 1] if rest else 0] += counts[0]
+    kept = set()
+    for place, siblings in branches.items():
+        for s, (sums, profile) in siblings.items():
+            group = [v for t, v in siblings.items() if t != s and shape(t) == shape(s) and v[1].argmax() == profile.argmax()]
+            if sums[0] < 5 or len(siblings) == 1:
+                continue
+            others, ways = sum((v[0] for v in group), np.zeros(3)), sum((v[1] for v in group), np.zeros(19))
+            n, m = sums[0], others[0]
+            if not m or np.abs(profile / n - ways / m).sum() / 2 > 0.25 + np.sqrt(1 / n + 1 / m) or abs(angle(*sums) - angle(*others)) * np.sqrt(n * m / (n + m)) >= 2:
+                kept.add((place, s))
+    return {path: "".join("/" + s if (tuple(shapes[path][:i]), s) in kept else "/*" for i, s in enumerate(segments)) for path, segments, *_ in urls}
+
+
+def test_url_trees_of_any_depth(spark):
+    rules = [("block", "h.com", "/" + "a/" * 999 + "b")]
+    rows = [(i, "http://h.com/" + "a/" * 999 + f"{'b' if i < 20 else 'c'}{i}") for i in range(24)] + [(99, "http://long.com/" + "x" * 2_000_000)]
+    got = {r["page_id"]: r for r in op5_url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {r["verdict"] for i, r in got.items() if i < 24} == {"block"} and got[23]["rule"] is None and got[23]["template"] == "/*" * 1000
+    assert got[99]["template"] == "/*" and got[99]["verdict"] == "allow"
+
+
+def test_url_branches_merge_by_what_follows(spark):
+    rules = [("block", "h.com", "/alice/1"), ("block", "h.com", "/bob/1"), ("allow", "h.com", "/blog/")]
+    rows = [(100 * k + i, f"http://h.com/{who}/{i + 1}") for k, who in enumerate(["alice", "bob", "carol"]) for i in range(20)]
+    rows += [(1000 + i, f"http://h.com/blog/2020/{'abcdefghij'[i % 10]}-post/x") for i in range(30)] + [(2000, "http://h.com/dave/7")]
+    got = {r["page_id"]: r for r in op5_url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    # users are alike and differ from the blog in how they go on; one more of few urls is judged with them
+    assert {got[i]["template"] for i in (0, 101, 2000)} == {"/*/*"} and got[2000]["verdict"] == "block" and got[1000]["template"].startswith("/blog/")
+    assert got[1000]["verdict"] == "allow"
 
 
 def test_url_tree_against_brute_force(spark):

@@ -1,26 +1,32 @@
 """URL filtering: fixed rules first, then templates of each host's paths judged by smoothed labelled purity.
 
-Urls that a rule decides are the labelled ones. A path template tree grows level by level below each host: segments of few
-urls are variable and go into one branch; branches whose urls lean alike, from all allowed over unlabelled to all blocked,
-merge into a wildcard; a branch that leans unlike its siblings keeps its segment.
+Urls that a rule decides are the labelled ones. A segment stands below the shapes of the segments before it; its siblings
+are all segments of its host that stand below the same shapes. Segments of few urls are variable. Siblings of one shape, below
+which urls mostly go on alike, are compared: those whose continuations and labels are like the others' merge into a wildcard,
+one that goes on or leans otherwise keeps its segment, and so does one of a form of its own. The sequence of a path's tokens
+is its template. Shapes are known from the url alone, so all levels of the tree are worked on at once, however deep it is.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import running, settle, stored, table
 
 #: (verdict, host, path); fixed values of the query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MIN_ROWS, Z, PRIOR_ROWS, PURITY = 5, 2.0, 5, 0.8
-#: Steps of the lean that siblings are sorted into, so that a parent has a bounded number of them to compare.
-BINS = 32
+#: Half the sum of differences of two profiles that counts as alike, besides what chance allows.
+ALIKE = 0.25
+#: Shapes of a segment, the first that fits: its pattern. The last is that of all others.
+SHAPES = ["", r"[0-9]+", r".*\.[^.]*", r".*[0-9].*", r".*[-_].*"]
+_N_SHAPES = len(SHAPES) + 1
+#: Ways to go on after a segment: not at all, or with 1, 2, or more segments, the next of some shape.
+DEPTHS = 3
+CELLS = 1 + DEPTHS * _N_SHAPES
 #: Parts of a host's or template's paths, so that a hot one is spread over tasks.
-SALTS = 8
+SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,10 +48,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def _spread(paths: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """The join of paths with a table of one row for each key, the paths of a key being dealt over SALTS parts."""
+def _spread(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", by: str = "path") -> DataFrame:
+    """The join of rows with a table of one row for each key, the rows of a key being dealt over SALTS parts by ``by``."""
     salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")
 
 
 def _angle(n: Column, block: Column, allow: Column) -> Column:
@@ -53,66 +59,72 @@ def _angle(n: Column, block: Column, allow: Column) -> Column:
     return 2 * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (block + (n - block - allow) / 2) / n))))
 
 
-def _tokens(branch: DataFrame) -> DataFrame:
-    """(host, template, segment, token) of the branches of open parents; segment null is that of variable segments.
+def shape_of(segment: Column) -> Column:
+    """The number of the first of SHAPES that the whole segment fits."""
+    shape = F.lit(len(SHAPES))
+    for number, pattern in reversed(list(enumerate(SHAPES))):
+        shape = F.when(segment.rlike(f"(?s)^(?:{pattern})\\z"), number).otherwise(shape)
+    return shape
+
+
+def _segments(paths: DataFrame) -> DataFrame:
+    """(path_id, at, place, segment, shape, way, n, block, allow): a row for each segment of each path.
+
+    ``place`` is a hash of the host and the shapes before the segment, ``way`` the number of how the path goes on after it.
+    """
+    shaped = paths.withColumn("shapes", F.transform("segments", shape_of))
+    none = F.array().cast("array<bigint>")
+    shaped = shaped.withColumn("places", running(F.col("shapes"), F.xxhash64("host"), none, lambda at, s: F.xxhash64(at, s), lambda at, s: at))
+
+    def way(i: Column) -> Column:
+        rest = F.size("shapes") - i - 1
+        return F.when(rest <= 0, 0).otherwise(1 + (F.least(rest, F.lit(DEPTHS)) - 1) * _N_SHAPES + F.get("shapes", i + 1))
+
+    one = F.transform("segments", lambda s, i: F.struct(F.get("places", i).alias("place"), s.alias("segment"), F.get("shapes", i).alias("shape"), way(i).alias("way")))
+    return shaped.select("path_id", "n", "block", "allow", F.posexplode(one).alias("at", "s")).select("path_id", "at", "s.*", "n", "block", "allow")
+
+
+def literals(segments: DataFrame) -> DataFrame:
+    """(place, segment) of the segments that keep their text.
 
-    ``branch`` has host, template, segment, n, block and allow. Branches of MIN_ROWS urls stand for themselves. Sorted by
-    lean in BINS steps, neighbouring steps merge unless their urls lean differently by Z standard errors. A group of one
-    literal segment keeps it, if there are others; groups of more are wildcards, numbered if there are several.
+    Siblings are grouped by shape and by the way in which most of their urls go on (the first of several). A segment of
+    MIN_ROWS urls, with siblings at all, keeps its text if it is alone in its group, if its profile of ways differs from that
+    of the others by more than ALIKE and Z half standard errors, or if its urls lean differently by Z standard errors.
+    Sums are combined before each shuffle; what is joined are the segments of MIN_ROWS urls and one row for each group.
     """
-    counts, parent = ("n", "block", "allow"), ["host", "template"]
-    own = F.when(F.col("n") >= MIN_ROWS, F.col("segment"))
-    branch = branch.withColumn("segment", own).groupBy(*parent, "segment").agg(*[F.sum(c).alias(c) for c in counts])
-    step = F.least(F.floor(_angle(*map(F.col, counts)) / F.pi() * BINS), F.lit(BINS - 1)).cast("int")
-    branch = settle(branch.withColumn("bin", step))
-    bins = branch.groupBy(*parent, "bin").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("members"), F.count("segment").alias("literal"))
-    order = Window.partitionBy(*parent).orderBy("bin")
-    before = {c: F.lag(c).over(order) for c in counts}
-    apart = F.abs(_angle(*map(F.col, counts)) - _angle(*before.values())) * F.sqrt(F.col("n") * before["n"] / (F.col("n") + before["n"]))
-    bins = bins.withColumn("cut", F.when(before["n"].isNull() | (apart >= Z), 1).otherwise(0)).withColumn("part", F.sum("cut").over(order))
-    parts = bins.groupBy(*parent, "part").agg(F.sum("members").alias("members"), F.sum("literal").alias("literal"), F.collect_list("bin").alias("bins"))
-    alone = (F.col("members") == 1) & (F.col("literal") == 1)
-    whole = Window.partitionBy(*parent)
-    parts = parts.withColumn("parts", F.count("*").over(whole)).withColumn("keeps", alone & (F.col("parts") > 1))
-    several = F.count_if(~F.col("keeps")).over(whole) > 1
-    parts = parts.withColumn("wild", F.when(F.col("keeps"), None).when(several, F.concat(F.lit("/*"), F.col("part").cast("string"))).otherwise("/*"))
-    named = branch.join(parts.select(*parent, "wild", F.explode("bins").alias("bin")), [*parent, "bin"])
-    return named.select(*parent, "segment", F.coalesce("wild", F.concat(F.lit("/"), F.col("segment"))).alias("token"))
+    counts = ("n", "block", "allow")
+    sums = [F.sum(c).alias(c) for c in counts]
+    cells = [F.sum(F.when(F.col("way") == i, F.col("n")).otherwise(0)) for i in range(CELLS)]
+    branch = segments.groupBy("place", "segment", "shape").agg(*sums, F.array(*cells).alias("profile"))
+    branch = settle(branch.withColumn("mostly", F.array_position("profile", F.array_max("profile")).cast("int")))
+    group = ["place", "shape", "mostly"]
+    pool = branch.groupBy(*group).agg(*[F.sum(c).alias(f"all_{c}") for c in counts], F.array(*[F.sum(F.get("profile", F.lit(i))) for i in range(CELLS)]).alias("whole"))
+    place = branch.groupBy("place").agg(F.sum("n").alias("at_place"))
+    big = branch.where(F.col("n") >= MIN_ROWS)
+    big = _spread(_spread(big, pool, group, by="segment"), place, ["place"], by="segment")
+    n, m = F.col("n"), F.col("all_n") - F.col("n")
+    apart = F.aggregate(F.zip_with("profile", "whole", lambda p, w: F.abs(p / n - (w - p) / m)), F.lit(0.0), lambda total, x: total + x) / 2
+    lean = _angle(n, F.col("block"), F.col("allow")) - _angle(m, F.col("all_block") - F.col("block"), F.col("all_allow") - F.col("allow"))
+    unlike = (apart > ALIKE + Z / 2 * F.sqrt(1 / n + 1 / m)) | (F.abs(lean) * F.sqrt(n * m / (n + m)) >= Z)
+    return big.where((F.col("at_place") > n) & F.when(m == 0, True).otherwise(unlike)).select("place", "segment")
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, path, template, n, block, allow) of every distinct (host, path); ``urls`` has host, path and verdict (null: unlabelled).
 
-    Counts are combined before each shuffle, by host, parent and segment, so a host with very many urls is spread over its
-    segments; joins with parents are salted. Below a parent of few rows, or whose rows are all labelled alike, nothing can
-    differ: its paths are finished at once, with wildcards, and levels are worked on only as far as some parent is still open.
+    A fixed number of jobs, whatever the depth of the paths. A row for each segment of a path is shuffled by place, with the
+    paths of a hot place dealt over SALTS parts, and by path; nothing but a path's own segments comes together in a task.
     """
-    counts, parent = ("n", "block", "allow"), ["host", "template"]
-    paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow"))
-    state = settle(paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/", -1)).withColumn("template", F.lit("")))
-    level, finished = 0, []
-
-    def mixed(c: str) -> Column:
-        return (F.col(c) > 0) & (F.col(c) < F.col("n"))
-
-    while True:
-        rows = state.withColumn("segment", F.get("segments", F.lit(level)))
-        branch = rows.where(F.size("segments") > level).groupBy(*parent, "segment").agg(*[F.sum(c).alias(c) for c in counts])
-        sums = branch.groupBy(*parent).agg(*[F.sum(c).alias(c) for c in counts])
-        open_ = sums.where((F.col("n") >= MIN_ROWS) & (mixed("block") | mixed("allow"))).select(*parent)
-        tokens = settle(_tokens(branch.join(open_, parent, "left_semi")))
-        known = tokens.groupBy(*parent).agg(F.max(F.when(F.col("segment").isNull(), F.col("token"))).alias("variable"), F.lit(True).alias("open"))
-        rows = _spread(rows, known, parent, "left").withColumn("more", F.coalesce("open", F.lit(False)) & (F.size("segments") > level))
-        rows = settle(rows.drop("open"))
-        rest = F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))
-        finished.append(rows.where("not more").select("host", "path", F.concat("template", rest).alias("template"), *counts))
-        rows = rows.where("more").drop("more")
-        if rows.isEmpty():
-            break
-        rows = _spread(rows, tokens.where("segment is not null"), [*parent, "segment"], "left")
-        state = settle(rows.withColumn("template", F.concat("template", F.coalesce("token", "variable"))).drop("segment", "token", "variable"))
-        level += 1
-    return reduce(DataFrame.unionByName, finished)
+    counts = [F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("block"), F.count_if(F.col("verdict") == "allow").alias("allow")]
+    paths = urls.groupBy("host", "path").agg(*counts)
+    paths = paths.withColumn("path_id", F.md5(F.concat(F.length("host").cast("string"), F.lit(":"), F.col("host"), F.col("path"))))
+    paths = settle(paths.withColumn("segments", F.split(F.ltrim(F.col("path"), F.lit("/")), "/", -1)))
+    segments = settle(_segments(paths))
+    kept = stored(literals(segments).withColumn("kept", F.lit(True)))
+    tokens = _spread(segments.select("path_id", "at", "place", "segment"), kept, ["place", "segment"], "left", by="path_id")
+    tokens = tokens.select("path_id", "at", F.when(F.col("kept"), F.concat(F.lit("/"), F.col("segment"))).otherwise("/*").alias("token"))
+    whole = tokens.groupBy("path_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda t: t["token"]), "").alias("template"))
+    return settle(paths.drop("segments").join(whole, "path_id").drop("path_id"))
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -121,7 +133,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     Null urls and urls without ``://`` have an empty host and path and are judged as such. A template is rejected if the
     blocked share of its labelled urls, with PRIOR_ROWS more counted as one half, reaches PURITY; without labels nothing is.
     Ties between rules of equal length go to the later one in the list. Repeated rows each keep their row and count as urls
-    each. Other columns are ignored; an empty table gives an empty result.
+    each. Time is linear in the length of a url, also in its number of segments; other columns are ignored; an empty table gives
+    an empty result.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
