@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -604,6 +605,24 @@ def test_simhash_links_lose_none(spark, bucket):
     assert groups(roots) == groups(want)
 
 
+def test_crf_learns_whole_chains():
+    r = np.random.default_rng(5)
+    features = [r.normal(size=(n, op10_crf.WIDTH)) + y for y in (0, 1) for n in (1, 2, 3, 9, 16, 50)]
+    labels = np.repeat([0, 1], 6)
+    whole = op10_crf.train(features, labels, steps=20, block=1000)
+    for block in (1, 3, 8, 50):
+        assert np.allclose(op10_crf.train(features, labels, steps=20, block=block), whole, atol=1e-9)
+    # the messages against all ways through a chain of seven lines in blocks of three
+    score, hop = r.normal(size=(7, 2)), r.normal(size=(2, 2))
+    ways = np.array(list(itertools.product((0, 1), repeat=7)))
+    odds = np.exp(score[range(7), ways].sum(axis=1) + hop[ways[:, :-1], ways[:, 1:]].sum(axis=1))
+    padded, real = np.zeros((3, 3, 2)), np.arange(9).reshape(3, 3) < 7
+    padded[real] = score
+    a, b = op10_crf._messages(padded, real, hop, np.arange(3))
+    both = np.exp(a + b)[real]
+    assert np.allclose(both, [[odds[ways[:, t] == k].sum() for k in (0, 1)] for t in range(7)])
+
+
 def test_crf(spark, docs, none):
     r = random.Random(17)
     same, e = (1.3, 0.4), np.array([r.uniform(-2, 2) for _ in range(6)])

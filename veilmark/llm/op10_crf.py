@@ -17,8 +17,8 @@ from .common import crc_mod, labelled_sample, table
 
 #: The bounded sample that is fitted on: whole documents of each class.
 SAMPLE_DOCS = 600
-#: Lines of one training sequence; a document of more lines is learnt whole, as several sequences.
-CHAIN = 64
+#: Lines that training takes at a time from each document; messages pass from block to block, so the result is that of whole chains.
+BLOCK_LINES = 64
 THRESHOLD = 0.7
 _CLASSES = 9  # 0 space, 1 lower case and other letters, 2 upper case, 3 digit, 4 symbol, 5 bar, 6 exclamation mark, 7 other marks, 8 later bytes of a character
 _CLASS = np.array(
@@ -86,27 +86,55 @@ def marginals(emission: np.ndarray, same: tuple[float, float]) -> np.ndarray:
     return np.array(out)
 
 
-def chains(features: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """All lines of all documents as sequences of at most CHAIN lines, with each sequence's label and lines of its document."""
-    cut = [(f[i : i + CHAIN], y, len(f)) for f, y in zip(features, labels, strict=True) for i in range(0, len(f), CHAIN)]
-    return [c[0] for c in cut], np.array([c[1] for c in cut], int), np.array([c[2] for c in cut], int)
+def _either(first: np.ndarray, second: np.ndarray, message: np.ndarray) -> np.ndarray:
+    """What two unit messages lead to, put together for an actual one (..., 2), in logarithms."""
+    return np.logaddexp(first + message[..., :1], second + message[..., 1:])
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 150) -> np.ndarray:
-    """Weights of the line features, then the two transition scores, by Adam on the regularised likelihood.
+def _messages(score: np.ndarray, real: np.ndarray, hop: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of every line, (blocks, lines, 2) each, in logarithms.
 
-    Every line of a document carries the document's label. Sequences are padded and all advance together.
+    ``score`` has the scores of both states of each line, ``place`` the number of each block in its document, whose blocks
+    follow each other. All blocks are worked through at once, for both unit messages that might reach them; then actual
+    messages go from block to block of the documents.
+    """
+    n, lines = real.shape
+    unit = np.array([[0.0, -np.inf], [-np.inf, 0.0]])
+    ahead, back = np.empty((2, n, lines, 2)), np.empty((2, n, lines, 2))
+    for i in (0, 1):
+        ahead[i, :, 0], back[i, :, -1] = score[:, 0] + unit[i], unit[i]
+        for t in range(1, lines):
+            ahead[i, :, t] = np.where(real[:, t, None], score[:, t] + _either(hop[0], hop[1], ahead[i, :, t - 1]), ahead[i, :, t - 1])
+        for t in range(lines - 2, -1, -1):
+            back[i, :, t] = np.where(real[:, t + 1, None], _either(hop[:, 0], hop[:, 1], score[:, t + 1] + back[i, :, t + 1]), unit[i])
+    into, out = np.zeros((n, 2)), np.zeros((n, 2))
+    by_place = [np.flatnonzero(place == j) for j in range(1, place.max() + 1)]
+    for at in by_place:
+        into[at] = _either(hop[0], hop[1], _either(ahead[0, at - 1, -1], ahead[1, at - 1, -1], into[at - 1]))
+    for at in reversed(by_place):
+        out[at - 1] = _either(hop[:, 0], hop[:, 1], score[at, 0] + _either(back[0, at, 0], back[1, at, 0], out[at]))
+    return _either(*ahead, into[:, None]), _either(*back, out[:, None])
+
+
+def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 150, block: int = BLOCK_LINES) -> np.ndarray:
+    """Weights of the line features, then the two transition scores, by Adam on the regularised likelihood of whole chains.
+
+    Every line of a document carries the document's label. Documents are padded to blocks of ``block`` lines, which
+    advance together; the result does not depend on their size but for rounding.
     """
     out = np.zeros(WIDTH + 2)
     if not features or len(set(labels.tolist())) < 2:
         return out
     good_docs, bad_docs = (labels == 1).sum(), (labels == 0).sum()
-    features, labels, lines = chains(features, labels)
-    n, longest = len(features), max(map(len, features))
+    cut = [(i // block, f[i : i + block], y, len(f)) for f, y in zip(features, labels, strict=True) for i in range(0, len(f), block)]
+    place, lines = np.array([c[0] for c in cut]), np.array([c[3] for c in cut])
+    labels = np.array([c[2] for c in cut], int)
+    n, longest = len(cut), max(len(c[1]) for c in cut)
     x = np.zeros((n, longest, WIDTH))
     real = np.zeros((n, longest), bool)
-    for i, f in enumerate(features):
+    for i, (_, f, _, _) in enumerate(cut):
         x[i, : len(f)], real[i, : len(f)] = f, True
+    later = np.flatnonzero(place > 0)
     y = np.repeat(labels[:, None] == 1, longest, axis=1)
     weight = np.where(labels == 1, 0.5 / good_docs, 0.5 / bad_docs) / np.sqrt(lines)
     first, second = np.zeros_like(out), np.zeros_like(out)
@@ -115,17 +143,15 @@ def train(features: list[np.ndarray], labels: np.ndarray, steps: int = 150) -> n
         score = np.zeros((n, longest, 2))
         score[:, :, 1] = np.where(real, np.clip(x @ w, -30, 30), 0)
         hop = np.array([[bb, 0.0], [0.0, gg]])
-        a, b = np.zeros_like(score), np.zeros_like(score)
-        a[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            a[:, t] = np.where(real[:, t, None], score[:, t] + np.logaddexp(a[:, t - 1, 0, None] + hop[0], a[:, t - 1, 1, None] + hop[1]), a[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            later = score[:, t + 1] + b[:, t + 1]
-            b[:, t] = np.where(real[:, t + 1, None], np.logaddexp(hop[:, 0] + later[:, 0, None], hop[:, 1] + later[:, 1, None]), 0)
-        total = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
+        a, b = _messages(score, real, hop, place)
+        total = np.logaddexp(a[:, -1, 0] + b[:, -1, 0], a[:, -1, 1] + b[:, -1, 1])
         good = np.exp(a[:, :, 1] + b[:, :, 1] - total[:, None])
         pairs = real[:, 1:] * weight[:, None]
-        stay = [(pairs * (np.exp(a[:, :-1, s] + hop[s, s] + score[:, 1:, s] + b[:, 1:, s] - total[:, None]) - (y[:, 1:] == s))).sum() for s in (1, 0)]
+        stay = []
+        for s in (1, 0):
+            within = np.exp(a[:, :-1, s] + hop[s, s] + score[:, 1:, s] + b[:, 1:, s] - total[:, None]) - (y[:, 1:] == s)
+            between = np.exp(a[later - 1, -1, s] + hop[s, s] + score[later, 0, s] + b[later, 0, s] - total[later]) - (y[later, 0] == s)
+            stay.append((pairs * within).sum() + (weight[later] * between).sum())
         slope = np.append(np.einsum("ntf,nt->f", x, (good - y) * real * weight[:, None]), stay) + 2e-3 * out
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         out = out - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
