@@ -117,6 +117,28 @@ def test_repeated_bytes_are_what_brute_force_gives(spark, tmp_path, monkeypatch,
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_crowded_grams_are_not_dealt_out_by_strings(spark, tmp_path, monkeypatch):
+    r = random.Random(11)
+    sizes = []
+
+    def counted(frame, stored=op12_suffix_dedup.stored):
+        done = stored(frame)
+        sizes.append(done.count())
+        return done
+
+    monkeypatch.setattr(op12_suffix_dedup, "CROWD", 20)
+    monkeypatch.setattr(op12_suffix_dedup, "stored", counted)
+    # a common passage whose surroundings agree for a few bytes in many texts, and whole copies
+    shared, edge = prose(r, 50), lambda: "".join(r.choice("ab") for _ in range(9))
+    texts = [prose(r, 30) + edge() + shared + edge() + prose(r, 30) for _ in range(150)]
+    texts += [edge() + shared[k:] + prose(r, 30) for k in range(0, 60, 2)] + texts[:30]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op12_suffix_dedup.op12_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, *cut) for i, cut in enumerate(cut_by_hand(texts))]
+    assert max(sizes) <= 2 * sizes[0], sizes
+    assert len(sizes) > 6, sizes
+
+
 def test_suffix_order_and_plain_comparison(spark):
     r = random.Random(3)
     base = prose(r, 200).encode()

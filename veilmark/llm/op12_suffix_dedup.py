@@ -14,6 +14,7 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from .common import settle, shared_folder, stored, table
 
 #: Length of a repeated string and of a gram, in bytes.
 SPAN, GRAM = 200, 32
-#: Occurrences up to which the contexts of one gram are sorted in one task; those of others are dealt out by their strings.
+#: Occurrences up to which the contexts of one gram are sorted in one task; those of others are cut into groups of longer cores.
 CROWD = 4096
 #: Bytes worked on at a time, window starts in a slice, contexts sorted at a time.
 PIECE, SLICE, TOGETHER = 1 << 18, 1 << 18, 10_000
@@ -345,13 +346,76 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solved(rows)
 
 
-def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(context, at, string): a hash of each string of a context."""
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            count = len(row.body) - SPAN + 1
-            strings = [hashlib.blake2b(row.body[i : i + SPAN], digest_size=16).digest() for i in range(count)]
-            yield pd.DataFrame({"context": [row.context] * count, "at": range(count), "string": strings})
+def _parts(rows: DataFrame, width: int) -> DataFrame:
+    """Contexts (id, at, lead, places, body) cut into those of their strings with lead // ``width`` alike; adds context and key.
+
+    ``rows`` have strings of leads in one range of 2 * ``width`` at most, so a row makes one or two. Strings that are equal
+    have equal leads, so they stay together; all strings of a part hold its core, whose hash is the new key.
+    """
+    low = F.col("lead") - (F.length("body") - SPAN)
+    cut = F.col("lead") - F.col("lead") % width
+
+    def part(first: Column, last: Column) -> Column:
+        return F.struct((F.col("at") + F.col("lead") - last).alias("at"), last.alias("lead"), F.substring("body", F.col("lead") - last + 1, SPAN + last - first).alias("body"))
+
+    each = rows.select("id", "places", F.explode(F.filter(F.array(part(F.greatest(low, cut), F.col("lead")), part(low, cut - 1)), lambda p: F.length(p["body"]) >= SPAN)).alias("p")).select("id", "places", "p.*")
+    begin = F.col("lead") - F.col("lead") % width
+    end = F.least(begin + width - 1, F.lit(SPAN - GRAM))
+    core = F.substring("body", F.col("lead") - begin + 1, SPAN - (end - begin))
+    context = F.unhex(F.substring(F.sha2(F.concat(F.lpad(F.col("lead").cast("string"), 3, "0").cast("binary"), "body"), 256), 1, 32))
+    return each.select("id", "at", "lead", "places", "body", context.alias("context"), F.xxhash64(core, begin).alias("key"))
+
+
+def _met(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` joined by context with ``found`` (context, places, ...).
+
+    Contexts of more than CROWD places are broadcast, which are at most one for CROWD places, so none gathers in a task.
+    """
+    wide = found.where(F.col("places") > CROWD)
+    others = rows.join(F.broadcast(wide.select("context")), "context", "left_anti")
+    return rows.join(F.broadcast(wide), "context").unionByName(others.join(found.where(F.col("places") <= CROWD), "context"))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One row for each context of ``parts``; ``id`` is null where there are several places, since all its strings repeat there."""
+    several = F.sum("places") > 1
+    one = parts.groupBy("context").agg(F.sum("places").alias("places"), F.when(~several, F.first("id")).alias("id"), *[F.first(c).alias(c) for c in ("at", "lead", "key", "body")])
+    return stored(one)
+
+
+def crowded_ranges(contexts: DataFrame) -> DataFrame:
+    """(id, ranges) of the contexts of grams with very many places, as ``repeated_ranges`` gives them.
+
+    Equal contexts are merged. Grams that still have more than CROWD are cut: the contexts' strings are halved by their leads, each
+    half has a longer core in common than the gram and is grouped by that, and so on down to single strings. What agrees
+    in many texts merges, what does not is told apart by the core, so that only the contexts at the edges of a common passage are cut again.
+    """
+    none = F.lit(0).cast("bigint")
+    # no place here: a context of several places is a partner of the others and done itself
+    rows = contexts.select(F.col("context").alias("id"), none.alias("at"), "lead", F.size("starts").cast("bigint").alias("places"), "body", "context", "key")
+    once = _merged(rows)
+    ends = F.array("at", F.col("at") + F.length("body"))
+    found = [once.where("places > 1").select(F.col("context").alias("id"), ends.alias("ranges"))]
+    width = 1 << (SPAN - GRAM).bit_length()
+    while True:
+        sizes = once.groupBy("key").agg(F.count("*").alias("n"), F.count("id").alias("left")).where(F.col("n") > CROWD)
+        crowds = stored(sizes)  # at most one for CROWD contexts
+        few = once.join(F.broadcast(crowds.select("key")), "key", "left_anti")
+        # two places stand for several
+        starts = F.when(F.col("places") > 1, F.array("at", "at")).otherwise(F.array("at"))
+        few = few.select("id", "context", starts.alias("starts"), "lead", "key", "body").repartition("key").sortWithinPartitions("key", "context")
+        found.append(few.mapInPandas(_compared, "id binary, ranges array<bigint>").where("id is not null"))
+        if crowds.where(F.col("left") > 0).isEmpty():
+            break
+        width //= 2
+        parts = stored(_parts(once.join(F.broadcast(crowds.where(F.col("left") > 0).select("key")), "key", "left_semi"), width))
+        once = _merged(parts)
+        found.append(_met(parts.where("id is not null").select("id", "context", ends.alias("ranges")), once.where("places > 1").select("context", "places")).select("id", "ranges"))
+    whole = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("found"))
+    places = contexts.groupBy("context").agg(F.count("*").alias("places"))
+    whole = stored(whole.join(places, F.col("id") == F.col("context")).select("context", "places", "found"))
+    covered = F.flatten(F.transform("starts", lambda s: F.transform("found", lambda x: x + s)))
+    return _met(contexts.select("id", "context", "starts"), whole).select("id", covered.alias("ranges"))
 
 
 def repeated_ranges(texts: DataFrame) -> DataFrame:
@@ -363,16 +427,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     contexts = stored(contexts)
     few = contexts.where(F.col("many") <= CROWD).repartition("key").sortWithinPartitions("key", "context")
     ranges = few.mapInPandas(_compared, "id binary, ranges array<bigint>")
-    # grams of very many places: contexts are counted first, then the strings of those left, each by its hash of 128 bits
-    crowd = contexts.where(F.col("many") > CROWD)
-    once = stored(crowd.groupBy("context").agg(F.sum(F.size("starts")).alias("places"), F.first("body").alias("body")))
-    strings = stored(once.select("context", "body").mapInPandas(_strings, "context binary, at int, string binary"))
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    found = strings.join(twice, "string").join(once.where("places = 1").select("context"), "context").groupBy("context").agg(F.collect_list("at").alias("at"))
-    whole = once.where("places > 1").select("context", F.sequence(F.lit(0), F.length("body") - SPAN).alias("at"))
-    both = found.unionByName(whole)
-    covered = F.flatten(F.transform("starts", lambda s: F.flatten(F.transform("at", lambda a: F.array(s + a, s + a + SPAN)))))
-    return ranges.unionByName(crowd.select("id", "context", "starts").join(both, "context").select("id", covered.alias("ranges")))
+    return ranges.unionByName(crowded_ranges(contexts.where(F.col("many") > CROWD)))
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
